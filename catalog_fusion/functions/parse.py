@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from catalog_fusion.functions.text import strip
+from catalog_fusion.functions.text import has_text, strip
 
 # The JVM's double parser also takes "1d", "inf" and the like, so only text of
 # this shape reaches it.
@@ -31,7 +31,7 @@ _ISO_DATE = (
 def is_empty(value: Column, data_type: T.DataType) -> Column:
     """Null, NaN or a string of white space only; never null itself."""
     if isinstance(data_type, T.StringType):
-        return value.isNull() | (strip(value) == "")
+        return value.isNull() | ~has_text(value)
     if isinstance(data_type, (T.DoubleType, T.FloatType)):
         return value.isNull() | F.isnan(value)
     return value.isNull()

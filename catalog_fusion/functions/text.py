@@ -14,6 +14,7 @@ ARTICLES = ["the", "a", "an", "el", "la", "le", "les", "der", "die", "das"]
 # Every character that counts as white space when a value is stripped.
 WHITESPACE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 
+_NOT_SPACE = f"[^{WHITESPACE}]"
 _LIST_SEPARATORS = r"[|;,]"
 _NOT_WORD = r"[^\p{L}\p{N}_]+"
 
@@ -48,8 +49,13 @@ def strip(value: Column) -> Column:
     return F.btrim(value, F.lit(WHITESPACE))
 
 
+def has_text(value: Column) -> Column:
+    """Whether a value has any character that is not white space."""
+    return value.rlike(_NOT_SPACE)
+
+
 def blank_to_null(value: Column) -> Column:
-    return F.when(strip(value) != "", value)
+    return F.when(has_text(value), value)
 
 
 def fold_text(value: Column) -> Column:
@@ -112,7 +118,7 @@ def match_key(title_norm: Column, year: Column) -> Column:
 
 def has_id(imdb_id: Column) -> Column:
     """Whether a film id is usable; never null."""
-    return F.coalesce(~strip(imdb_id).isin("", "<NA>"), F.lit(False))
+    return F.coalesce(has_text(imdb_id) & (strip(imdb_id) != "<NA>"), F.lit(False))
 
 
 def dedup_key(imdb_id: Column, title_norm: Column, year: Column) -> Column:
