@@ -194,8 +194,8 @@ class RatingModel:
             raise ValueError("no film has a rating")
         split = temporal_split(rated, film_order())
         encoder = TargetEncoder.fit(prepare_features(split.train), ENCODED_KEYS, "rating")
-        train = _stored_features(split.train, encoder, "train")
-        test = _stored_features(split.test, encoder, "test")
+        train = stored_features(split.train, encoder, "train")
+        test = stored_features(split.test, encoder, "test")
         preparation = _preparation(train)
         prepared = preparation.transform(train).select("rating", _TREE_INPUT, _RIDGE_INPUT)
         trees, ridge = fit_trees(prepared, rounds), fit_ridge(prepared)
@@ -297,7 +297,7 @@ REPORT_SCHEMA = (
 )
 
 
-def _stored_features(films: DataFrame, encoder: TargetEncoder, label: str) -> DataFrame:
+def stored_features(films: DataFrame, encoder: TargetEncoder, label: str) -> DataFrame:
     """Rating, features and one uniform draw per importance round, written once."""
     draws = [F.rand(IMPORTANCE_SEED + i).alias(f"draw_{i}") for i in range(IMPORTANCE_ROUNDS)]
     rows = feature_frame(films, encoder)
