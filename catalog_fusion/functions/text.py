@@ -58,8 +58,8 @@ def blank_to_null(value: Column) -> Column:
     return F.when(has_text(value), value)
 
 
-def fold_text(value: Column) -> Column:
-    """NFKC plus case folding.
+def folded_words(value: Column) -> Column:
+    """The words of a text after NFKC and case folding, separated by spaces.
 
     Spark has no NFKC function. Latin text needs none, so it stays in the JVM;
     all other values take one Arrow batch function, which sees nulls elsewhere.
@@ -68,12 +68,12 @@ def fold_text(value: Column) -> Column:
     # A local function travels by value, so workers need not have this package.
     @F.pandas_udf("string")
     def full(values: pd.Series) -> pd.Series:
-        return values.map(lambda text: unicodedata.normalize("NFKC", text).casefold(), na_action="ignore")
+        folded = values.map(lambda text: unicodedata.normalize("NFKC", text).casefold(), na_action="ignore")
+        return folded.str.replace(r"\W+", " ", regex=True)
 
     rare = value.rlike(_NEEDS_FULL_FOLDING)
-    return F.when(rare, full(F.when(rare, value))).otherwise(
-        F.replace(F.lower(value), F.lit("ß"), F.lit("ss"))
-    )
+    latin = F.regexp_replace(F.replace(F.lower(value), F.lit("ß"), F.lit("ss")), _NOT_WORD, " ")
+    return F.when(rare, full(F.when(rare, value))).otherwise(latin)
 
 
 def normalize_title(value: Column) -> Column:
@@ -81,7 +81,7 @@ def normalize_title(value: Column) -> Column:
 
     Null gives the blank string.
     """
-    words = F.split(F.regexp_replace(fold_text(value.cast("string")), _NOT_WORD, " "), " ")
+    words = F.split(folded_words(value.cast("string")), " ")
     kept = F.filter(words, lambda word: (word != "") & ~word.isin(ARTICLES))
     return F.coalesce(F.array_join(kept, " "), F.lit(""))
 

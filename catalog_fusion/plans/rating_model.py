@@ -6,7 +6,7 @@ import json
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import Imputer, SQLTransformer, VectorAssembler
+from pyspark.ml.feature import Imputer, SQLTransformer, VarianceThresholdSelector, VectorAssembler
 from pyspark.ml.regression import (
     GBTRegressionModel,
     GBTRegressor,
@@ -81,8 +81,10 @@ def _preparation(features: DataFrame) -> PipelineModel:
     ]
     filled = [f"{c}_filled" if c in optional else c for c in used]
     stages += [
-        VectorAssembler(inputCols=filled, outputCol=_RIDGE_INPUT),
-        VectorAssembler(inputCols=[_RIDGE_INPUT, *[f"{c}_missing" for c in optional]], outputCol=_TREE_INPUT),
+        VectorAssembler(inputCols=filled, outputCol="filled_features"),
+        # A constant feature adds nothing to a linear model and would make its equations singular.
+        VarianceThresholdSelector(featuresCol="filled_features", outputCol=_RIDGE_INPUT, varianceThreshold=0.0),
+        VectorAssembler(inputCols=["filled_features", *[f"{c}_missing" for c in optional]], outputCol=_TREE_INPUT),
     ]
     if not optional:
         stages = stages[2:]
