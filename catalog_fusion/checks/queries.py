@@ -468,10 +468,10 @@ def target_encode_fit(spark, sf_dir):
     return fitted.withColumn("encoded", F.round("encoded", 6))
 
 
-def _encoded_lines(spark, sf_dir, broadcast_rows):
+def _encoded_lines(spark, sf_dir, **bounds):
     lines = _rated_lines(spark, sf_dir)
     encoder = encode.TargetEncoder.fit(_older(lines), ["l_returnflag", "l_suppkey"], "rating")
-    return encoder.transform(lines, broadcast_rows).select(
+    return encoder.transform(lines, **bounds).select(
         "l_orderkey",
         "l_linenumber",
         "l_suppkey",
@@ -481,13 +481,13 @@ def _encoded_lines(spark, sf_dir, broadcast_rows):
 
 @query
 def target_encode_apply(spark, sf_dir):
-    return _encoded_lines(spark, sf_dir, encode.BROADCAST_ROWS)
+    return _encoded_lines(spark, sf_dir)
 
 
 @query
 def target_encode_apply_large(spark, sf_dir):
     """The same lookup by the way that tables beyond the broadcast bound take."""
-    return _encoded_lines(spark, sf_dir, 2)
+    return _encoded_lines(spark, sf_dir, broadcast_bytes=0, hot_keys=2)
 
 
 @query

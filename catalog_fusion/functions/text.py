@@ -15,6 +15,7 @@ ARTICLES = ["the", "a", "an", "el", "la", "le", "les", "der", "die", "das"]
 WHITESPACE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 
 _NOT_SPACE = f"[^{WHITESPACE}]"
+USABLE_ID = rf"^(?!(?:\\N|nan|[{WHITESPACE}]*(?:<NA>)?[{WHITESPACE}]*)\z)"
 _LIST_SEPARATORS = r"[|;,]"
 _NOT_WORD = r"[^\p{L}\p{N}_]+"
 
@@ -41,7 +42,8 @@ def _jvm_safe_class(limit: int = 0x250) -> str:
     return "".join(f"\\x{{{lo:x}}}-\\x{{{hi:x}}}" for lo, hi in ranges)
 
 
-_NEEDS_FULL_FOLDING = f"[^{_jvm_safe_class()}]"
+# The first range turns most characters away before the long list is looked at.
+_NEEDS_FULL_FOLDING = f"[\\x{{80}}-\\x{{10ffff}}&&[^{_jvm_safe_class()}]]"
 
 
 def strip(value: Column) -> Column:
@@ -59,7 +61,7 @@ def blank_to_null(value: Column) -> Column:
 
 
 def folded_words(value: Column) -> Column:
-    """The words of a text after NFKC and case folding, separated by spaces.
+    """The words of a text after NFKC and case folding.
 
     Spark has no NFKC function. Latin text needs none, so it stays in the JVM;
     all other values take one Arrow batch function, which sees nulls elsewhere.
@@ -71,9 +73,10 @@ def folded_words(value: Column) -> Column:
         folded = values.map(lambda text: unicodedata.normalize("NFKC", text).casefold(), na_action="ignore")
         return folded.str.replace(r"\W+", " ", regex=True)
 
-    rare = value.rlike(_NEEDS_FULL_FOLDING)
-    latin = F.regexp_replace(F.replace(F.lower(value), F.lit("ß"), F.lit("ss")), _NOT_WORD, " ")
-    return F.when(rare, full(F.when(rare, value))).otherwise(latin)
+    # Plain ASCII is told by its byte length alone.
+    rare = (F.length(value) != F.octet_length(value)) & value.rlike(_NEEDS_FULL_FOLDING)
+    latin = F.replace(F.lower(value), F.lit("ß"), F.lit("ss"))
+    return F.when(rare, F.split(full(F.when(rare, value)), " ")).otherwise(F.split(latin, _NOT_WORD))
 
 
 def normalize_title(value: Column) -> Column:
@@ -81,8 +84,8 @@ def normalize_title(value: Column) -> Column:
 
     Null gives the blank string.
     """
-    words = F.split(folded_words(value.cast("string")), " ")
-    kept = F.filter(words, lambda word: (word != "") & ~word.isin(ARTICLES))
+    words = folded_words(value.cast("string"))
+    kept = F.filter(words, lambda word: ~word.isin("", *ARTICLES))
     return F.coalesce(F.array_join(kept, " "), F.lit(""))
 
 
@@ -117,8 +120,8 @@ def match_key(title_norm: Column, year: Column) -> Column:
 
 
 def has_id(imdb_id: Column) -> Column:
-    """Whether a film id is usable; never null."""
-    return F.coalesce(has_text(imdb_id) & (strip(imdb_id) != "<NA>"), F.lit(False))
+    """Whether a film id is usable: not blank and no null marker; never null."""
+    return F.coalesce(imdb_id.rlike(USABLE_ID), F.lit(False))
 
 
 def dedup_key(imdb_id: Column, title_norm: Column, year: Column) -> Column:

@@ -46,21 +46,20 @@ def rename_aliases(df: DataFrame) -> DataFrame:
 
 def conform_schema(df: DataFrame, source: str) -> DataFrame:
     """All unified columns in order, null where missing; ``source`` by default ``source``."""
-    missing = {"title_norm": F.lit("")}
-    columns = {
-        f.name: F.col(f"`{f.name}`") if f.name in df.columns else missing.get(f.name, F.lit(None)).cast(f.dataType)
-        for f in UNIFIED_SCHEMA
-    }
-    if "source" in df.columns:
-        columns["source"] = F.coalesce(text.blank_to_null(columns["source"].cast("string")), F.lit(source))
-    else:
-        columns["source"] = F.lit(source)
-    return df.select(*[column.alias(name) for name, column in columns.items()])
+
+    def column(field: T.StructField) -> str:
+        if field.name in df.columns:
+            return f"`{field.name}`"
+        return f"CAST({'NULL' if field.name != 'title_norm' else repr('')} AS {field.dataType.simpleString()}) AS `{field.name}`"
+
+    default = F.lit(source)
+    given = text.blank_to_null(F.col("source").cast("string")) if "source" in df.columns else default
+    return df.selectExpr(*[column(f) for f in UNIFIED_SCHEMA]).withColumn("source", F.coalesce(given, default))
 
 
-def replace_null_tokens(df: DataFrame) -> DataFrame:
+def replace_null_tokens(df: DataFrame, skip: Sequence[str] = ()) -> DataFrame:
     """Null for every string cell that is exactly a null token."""
-    strings = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
+    strings = [f.name for f in df.schema if isinstance(f.dataType, T.StringType) and f.name not in skip]
     return df.replace(NULL_TOKENS, None, subset=strings) if strings else df
 
 
@@ -106,7 +105,7 @@ def clean_fields(df: DataFrame) -> DataFrame:
         if name in ranges:
             value = parse.within(value, *ranges[name])
         elif name == "imdb_id":
-            value = F.when(text.has_id(value), value)
+            value = F.when(value.rlike(text.USABLE_ID), value)
         elif name not in parsers:
             value = text.blank_to_null(value)
         if name == "year" and "release_date" in types:
@@ -114,7 +113,8 @@ def clean_fields(df: DataFrame) -> DataFrame:
         return value.cast(UNIFIED_SCHEMA[name].dataType)
 
     present = [c for c in UNIFIED_COLUMNS if c in types and c != "title_norm"]
-    values = replace_null_tokens(df).select(*[parsed(c).alias(c) for c in present])
+    # The id check knows the null tokens; one expression keeps the pushed-down filter cheap.
+    values = replace_null_tokens(df, skip=["imdb_id"]).select(*[parsed(c).alias(c) for c in present])
     checks = {c: checked(c) for c in present}
     if "title" in types:
         checks["title_norm"] = text.normalize_title(F.col("title"))

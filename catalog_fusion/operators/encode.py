@@ -12,11 +12,13 @@ from catalog_fusion.scratch import materialize
 
 SMOOTHING = 18.0  # fixed value: weight of the global mean, in rows
 
-# A lookup table of at most this many rows is sent to every task. Names are
-# short, so this is a few tens of megabytes at most.
-BROADCAST_ROWS = 200_000
-# Beyond it, this many of the most frequent keys are still looked up that way.
+# A lookup table of at most this size, as counted, is sent to every task.
+BROADCAST_BYTES = 32 * 1024 * 1024
+# Beyond it, the most frequent keys are still looked up that way: at most this
+# many, none longer than this, which is 10 MB at the very most.
 HOT_KEYS = 10_000
+HOT_KEY_BYTES = 1024
+_ROW_BYTES = 32  # numbers and row overhead beside the key
 _SPREAD = 4096
 
 
@@ -53,7 +55,7 @@ def target_encoding(
 
 @dataclass(frozen=True)
 class TargetEncoder:
-    """A fitted encoding: its table, the default for unseen keys, rows per column."""
+    """A fitted encoding: its table, the default for unseen keys, bytes per column."""
 
     table: DataFrame
     default: float
@@ -72,20 +74,23 @@ class TargetEncoder:
 
     @classmethod
     def of(cls, table: DataFrame, default: float, columns: Sequence[str]) -> TargetEncoder:
-        """An encoder over a stored table; its size per column decides the join."""
-        counted = {r["column"]: r["rows"] for r in table.groupBy("column").agg(F.count("*").alias("rows")).collect()}
+        """An encoder over a stored table; its counted size per column decides the join."""
+        size = F.sum(F.octet_length("key") + F.lit(_ROW_BYTES))
+        counted = {r["column"]: r["size"] for r in table.groupBy("column").agg(size.alias("size")).collect()}
         return cls(table, default, {c: counted.get(c, 0) for c in columns})
 
-    def transform(self, df: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    def transform(
+        self, df: DataFrame, broadcast_bytes: int = BROADCAST_BYTES, hot_keys: int = HOT_KEYS
+    ) -> DataFrame:
         """Add ``<column>_enc``: the encoded key, or the default for an unseen one."""
-        for column, rows in self.sizes.items():
+        for column, size in self.sizes.items():
             lookup = self.table.filter(F.col("column") == column).select(
                 F.col("key").alias("_key"), F.col("n").alias("_n"), F.col("encoded").alias("_encoded")
             )
-            if rows <= broadcast_rows:
+            if size <= broadcast_bytes:
                 found = _broadcast_lookup(df, column, lookup)
             else:
-                found = _large_lookup(df, column, lookup, min(HOT_KEYS, broadcast_rows))
+                found = _large_lookup(df, column, lookup, hot_keys)
             df = found.withColumn(
                 f"{column}_enc", F.coalesce("_encoded", F.lit(self.default)).cast("float")
             ).drop("_key", "_encoded")
@@ -103,7 +108,8 @@ def _large_lookup(df: DataFrame, column: str, lookup: DataFrame, hot_keys: int)
     rows enter the shuffled join under spread keys that match nothing, and only
     the long tail meets its partner there.
     """
-    hot = lookup.orderBy(F.desc("_n"), "_key").limit(hot_keys).select(
+    short = lookup.filter(F.octet_length("_key") <= HOT_KEY_BYTES)
+    hot = short.orderBy(F.desc("_n"), "_key").limit(hot_keys).select(
         F.col("_key").alias("_hot_key"), F.col("_encoded").alias("_hot")
     )
     own = _key(column)

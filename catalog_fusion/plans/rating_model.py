@@ -332,14 +332,16 @@ def recommend_release_slots(
     hours: tuple[int, ...] = SLOT_HOURS,
     top_n: int = TOP_N,
 ) -> DataFrame:
-    """Best release slots of requests within one window."""
+    """Best release slots within one window: for a DataFrame by ``request_id``, or for one film."""
     if window_end < window_start:
         raise ValueError("the window ends before it starts")
     requests = _as_frame(movie).withColumns(
         {"window_start": F.lit(window_start), "window_end": F.lit(window_end)}
     )
-    if "request_id" not in requests.columns:
-        requests = requests.withColumn("request_id", F.expr("uuid()"))
+    if isinstance(movie, dict):
+        requests = requests.withColumn("request_id", F.lit(1))
+    elif "request_id" not in requests.columns:
+        raise ValueError("requests need a unique request_id")
     slots = _loaded(model).recommend(requests, hours=hours, top_n=top_n)
     return slots.select(
         "request_id", "title", "release_date", "release_hour", "weekday", "predicted_rating", "slot_rank"

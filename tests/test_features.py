@@ -55,8 +55,8 @@ def test_encoder_formula(spark):
     assert got["a"] == pytest.approx((2 * 6 + 18 * 7) / 20) == pytest.approx(6.9)
 
 
-@pytest.mark.parametrize("broadcast_rows", [1000, 1, 5])
-def test_encoder_against_brute_force_both_ways(spark, broadcast_rows):
+@pytest.mark.parametrize("bounds", [{}, {"broadcast_bytes": 0}, {"broadcast_bytes": 0, "hot_keys": 1}])
+def test_encoder_against_brute_force_both_ways(spark, bounds):
     df, keys = lines(spark)
     encoder = encode.TargetEncoder.fit(df, ["k"], "y")
     sums, counts = defaultdict(float), Counter()
@@ -66,7 +66,7 @@ def test_encoder_against_brute_force_both_ways(spark, broadcast_rows):
     mean = sum(i % 11 for i in range(600)) / 600
     want = {k: (sums[k] + 18 * mean) / (counts[k] + 18) for k in counts}
     probe = df.select("k").unionByName(spark.createDataFrame([("unseen",), ("\x00" + "7",)], "k string"))
-    out = encoder.transform(probe, broadcast_rows).collect()
+    out = encoder.transform(probe, **bounds).collect()
     assert len(out) == 602
     for r in out:
         assert r["k_enc"] == pytest.approx(want.get(r["k"] or "", mean), rel=1e-6)
@@ -78,7 +78,7 @@ def test_encoder_plans(spark):
     plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
     small = plan(encoder.transform(df))
     assert "BroadcastHashJoin" in small and "Exchange hashpartitioning" not in small
-    assert "CartesianProduct" not in plan(encoder.transform(df, 1))
+    assert "CartesianProduct" not in plan(encoder.transform(df, broadcast_bytes=0))
 
 
 def test_split(spark):
