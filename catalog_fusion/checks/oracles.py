@@ -330,6 +330,16 @@ ORACLES: dict[str, str] = {
     "top_importances": """
         SELECT CAST(l_partkey AS VARCHAR) AS feature, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS importance
         FROM lineitem GROUP BY l_partkey ORDER BY importance DESC, feature LIMIT 12""",
+    "training_report": f"""
+        WITH {_MERGED}, r AS (SELECT * FROM merged WHERE rating IS NOT NULL),
+        c AS (SELECT quantile_cont(year, 0.8) AS cut FROM r),
+        n AS (SELECT count(*) FILTER (WHERE year < cut) AS train, count(*) FILTER (WHERE year >= cut) AS test,
+                     count(*) FILTER (WHERE year IS NULL) AS unknown, count(*) AS rows, any_value(cut) AS cut FROM r, c)
+        SELECT CASE WHEN train >= 200 AND test >= 50 THEN 'year' ELSE 'position' END AS split,
+               CAST(CASE WHEN train >= 200 AND test >= 50 THEN cut END AS DOUBLE) AS cutoff_year,
+               CAST(CASE WHEN train >= 200 AND test >= 50 THEN train ELSE floor(rows * 0.8) END AS BIGINT) AS n_train,
+               CAST(CASE WHEN train >= 200 AND test >= 50 THEN test ELSE rows - floor(rows * 0.8) END AS BIGINT) AS n_test,
+               unknown AS n_without_year FROM n""",
     "saved_model": "SELECT p_partkey AS request_id, true AS same FROM part",
 }
 ORACLES["merge_job"] = f"""WITH {_MERGED} {_published("numbered", "printf('mv%07d', n)")}"""

@@ -597,6 +597,14 @@ def train_choose(spark, sf_dir):
     )
 
 
+@query
+def training_report(spark, sf_dir):
+    """How the training job split the rated films."""
+    return _model(spark, sf_dir).report_frame(spark).select(
+        "split", "cutoff_year", "n_train", "n_test", "n_without_year"
+    )
+
+
 @query
 def batch_score(spark, sf_dir):
     return _model(spark, sf_dir).predict_requests(_requests(spark, sf_dir)).select("request_id", "predicted_rating")

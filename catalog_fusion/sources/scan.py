@@ -46,6 +46,23 @@ def null_markers_to_null(df: DataFrame) -> DataFrame:
     )
 
 
+def _plain_headers(columns: Sequence[str]) -> list[str]:
+    """Headers as the file has them: no byte order mark, and repeats told apart.
+
+    The reader appends their position to all headers that repeat. The first of
+    them gets its own name back, later ones a count.
+    """
+    repeated = [c[: -len(str(i))] if c.endswith(str(i)) else c for i, c in enumerate(columns)]
+    bases = [c.lower() for c in repeated]
+    names, seen = [], {}
+    for i, column in enumerate(columns):
+        if repeated[i] != column and bases.count(bases[i]) > 1:
+            count = seen[bases[i]] = seen.get(bases[i], -1) + 1
+            column = f"{repeated[i]}.{count}" if count else repeated[i]
+        names.append(column.lstrip("\ufeff"))
+    return names if len(set(names)) == len(names) else list(columns)
+
+
 def scan_text(
     spark: SparkSession,
     path: str | Sequence[str],
@@ -70,6 +87,7 @@ def scan_text(
         encoding="UTF-8",
         multiLine=multiline,
     )
+    raw = raw.toDF(*_plain_headers(raw.columns))
     if columns is not None:
         raw = raw.select(*[F.col(f"`{c}`") for c in columns])
     return null_markers_to_null(raw)

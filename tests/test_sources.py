@@ -2,6 +2,7 @@ import gzip
 
 import pytest
 
+from catalog_fusion.operators import collapse, conform
 from catalog_fusion.plans import fuse
 from catalog_fusion.sources import scan, sink
 
@@ -26,6 +27,23 @@ def test_bad_bytes_are_replaced_and_quoted_breaks_kept(spark, tmp_path):
     assert scan.scan(spark, str(tmp_path / "lines.csv"), multiline=True).first()["a"] == "x\ny"
 
 
+def test_repeated_headers_and_byte_order_mark(spark, tmp_path):
+    (tmp_path / "twice.csv").write_bytes(b"\xef\xbb\xbffilm,year,Title,title,year\nx,2000,y,z,2001\n")
+    raw = scan.scan(spark, str(tmp_path / "twice.csv"))
+    assert raw.columns == ["film", "year", "Title", "title.1", "year.1"]
+    row = conform.conform(raw, "s").first()
+    assert (row["title"], row["year"]) == ("x", 2000)
+
+
+def test_staged_filters_reach_the_scan(spark, tmp_path):
+    spark.createDataFrame([("tt1", "x", 2000)], "tconst string, film string, year int").write.parquet(str(tmp_path / "s.parquet"))
+    fuse.ingest_to_parquet(spark, scan.Source(str(tmp_path / "s.parquet")), str(tmp_path / "staged"))
+    plan = collapse.resolve(spark.read.parquet(str(tmp_path / "staged")))._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(imdb_id)]" in plan
+    assert sum("IsNull(imdb_id)" in part.split("]")[0] for part in plan.split("PushedFilters: [")[1:]) == 2, plan
+    assert "Python" not in plan
+
+
 def test_projection_reaches_the_scan(spark, tmp_path):
     spark.range(10).selectExpr("id", "id * 2 AS twice").write.parquet(str(tmp_path / "t.parquet"))
     df = scan.scan(spark, str(tmp_path / "t.parquet"), columns=["twice"])
