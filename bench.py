@@ -33,7 +33,7 @@ HEADLINE = [
     "scan_formats",
     "merge_job",
 ]
-RUNS = 3
+RUNS = 2
 
 
 def main() -> None:

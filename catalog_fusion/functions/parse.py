@@ -99,7 +99,7 @@ def parse_date(value: Column, data_type: T.DataType = T.StringType()) -> Column:
     if isinstance(data_type, (T.DateType, T.TimestampType, T.TimestampNTZType)):
         return value.cast("date")
     text = strip(value.cast("string"))
-    parsed = F.when(text.rlike(_ISO_DATE) & ~text.rlike(r"^\d{8}$"), text).try_cast("date")
+    parsed = F.when(text.rlike(_ISO_DATE), text).try_cast("date")
     for shape, layout in _DATE_LAYOUTS:
         parsed = F.coalesce(parsed, F.try_to_date(F.when(text.rlike(shape), text), layout))
     return parsed

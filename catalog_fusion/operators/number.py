@@ -43,12 +43,17 @@ def number_rows(df: DataFrame, order: Sequence[Column], name: str = "row_number"
 
 
 def film_order() -> list[Column]:
-    """Title key, then id, then the whole row: also splits a hot blank title."""
+    """Title key, then id, then the whole row, then its place.
+
+    The title key is unique except for untitled films, which may hold much of
+    the table, copies included. The last two keys let the ranges divide those.
+    """
     return [
         match_key(F.col("title_norm"), F.col("year")),
         F.col("imdb_id").isNull(),
         F.col("imdb_id"),
         F.xxhash64(*[F.col(f"`{c}`") for c in UNIFIED_COLUMNS if c != "movie_id"]),
+        F.monotonically_increasing_id(),
     ]
 
 

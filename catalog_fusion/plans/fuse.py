@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass
+from functools import partial
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, Row, SparkSession
 
 from catalog_fusion.operators.collapse import resolve
@@ -15,6 +18,8 @@ from catalog_fusion.scratch import new_scratch_path
 from catalog_fusion.sources.scan import Source, scan, spread
 from catalog_fusion.sources.sink import public_form, write_parquet
 
+INGEST_JOBS = 8  # sources staged at the same time
+
 
 @dataclass(frozen=True)
 class MergeReport:
@@ -58,11 +63,12 @@ def merge_sources(
     if not sources:
         raise ValueError("at least one source is needed")
     staging = staging or new_scratch_path(spark, "staging")
-    staged, rows = [], 0
-    for rank, source in enumerate(sources):
-        dest = f"{staging}/part_{rank:03d}_{source.label}"
-        rows += ingest_to_parquet(spark, source, dest, rank)
-        staged.append(spark.read.parquet(dest))
+    places = [f"{staging}/part_{rank:03d}_{source.label}" for rank, source in enumerate(sources)]
+    # Independent jobs at a time, so that a small source does not leave the cluster idle.
+    with ThreadPoolExecutor(INGEST_JOBS) as pool:
+        stage = inheritable_thread_target(spark)(partial(ingest_to_parquet, spark))
+        rows = sum(pool.map(stage, sources, places, range(len(sources))))
+    staged = [spark.read.parquet(place) for place in places]
     merged = write_parquet(public_form(fuse(staged)), output)
     return MergeReport([s.path for s in sources], rows, merged, output)
 

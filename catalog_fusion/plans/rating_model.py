@@ -262,7 +262,7 @@ class RatingModel:
 
     def report_frame(self, spark: SparkSession) -> DataFrame:
         """The training report as one row."""
-        return spark.createDataFrame([Row(**{k: v for k, v in self.report.items()})], REPORT_SCHEMA)
+        return spark.createDataFrame([Row(**self.report)], REPORT_SCHEMA)
 
     def save(self, path: str) -> None:
         """Write the model below ``path``, replacing what is there."""

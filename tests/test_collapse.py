@@ -111,6 +111,32 @@ def test_against_brute_force_with_a_hot_key(spark, parts):
         assert got["rating"] == pytest.approx(want["rating"])
 
 
+def test_hot_title_key_without_ids(spark):
+    """A third of the rows share one title and year; another third has neither title nor id."""
+    rows = []
+    for i in range(600):
+        if i % 3 == 0:
+            rows.append(dict(title="The Hot!" if i % 2 else "hot", year=2000, rating=i % 10, vote_count=i + 1, source="a"))
+        elif i % 3 == 1:
+            rows.append(dict(rating=5.0, source="b"))
+        else:
+            rows.append(dict(title=f"Cold {i % 50}", year=2000, rating=3.0, vote_count=1, source="c"))
+    merged = number.assign_movie_ids(collapse.resolve(films(spark, rows).repartition(9))).collect()
+    hot = [r for r in merged if r["title_norm"] == "hot"]
+    weighted = [(r["rating"], r["vote_count"]) for r in rows if r.get("title") in ("hot", "The Hot!")]
+    assert len(hot) == 1 and hot[0]["vote_count"] == 598
+    assert hot[0]["rating"] == pytest.approx(sum(x * w for x, w in weighted) / sum(w for _, w in weighted))
+    assert sum(r["title_norm"] == "" for r in merged) == 200  # untitled copies all stay
+    assert sorted(r["movie_id"] for r in merged) == [f"mv{i:07d}" for i in range(1, len(merged) + 1)]
+
+
+def test_copies_do_not_fill_one_range(spark):
+    copies = films(spark, [dict(source="a")]).crossJoin(spark.range(0, 8000, 1, 6)).drop("id")
+    keyed = copies.withColumns({f"k{i}": c for i, c in enumerate(number.film_order())})
+    sizes = keyed.repartitionByRange(8, "k0", "k1", "k2", "k3", "k4").groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) == 8 and max(r["count"] for r in sizes) < 2000
+
+
 def test_equal_votes_never_mix_rows(spark):
     """Rows that tie in everything but content still win or lose as a whole."""
     rows = [dict(imdb_id="tt1", title=f"T{i}", director=f"D{i}", language=f"L{i}", vote_count=3) for i in range(40)]
