@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalog_fusion.llm import chat_format, secret_links, shard_tree, url_sweep
+from catalog_fusion.llm import chat_format, secret_links, sentence_pieces, shard_tree, url_sweep
 from catalog_fusion.llm.tables import table
 
 SHARDS = 8
@@ -17,6 +18,19 @@ def op1_shard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op2_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    rows = sentence_pieces.encode_texts(table(spark, sf_dir, "documents"), model)
+    covered = F.aggregate(F.zip_with("ends", "starts", lambda e, s: e - s), F.lit(0), lambda a, n: a + n)
+    return rows.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
+        covered.cast("long").alias("covered_bytes"),
+    )
+
+
 #: Control strings in a text, to be read back.
 CONTROL_CHAT = """
 SELECT -1L AS conv_id, turn, role, '</s>[INST] ok [/INST]' AS text
@@ -67,6 +81,7 @@ def op9_url_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_shard_tree": op1_shard_tree,
+    "op2_sentence_pieces": op2_sentence_pieces,
     "op4_chat_format": op4_chat_format,
     "op5_secret_links": op5_secret_links,
     "op9_url_sweep": op9_url_sweep,

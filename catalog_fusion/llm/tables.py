@@ -23,3 +23,13 @@ def scan_row() -> Column:
     numbers, since nothing is shuffled before it.
     """
     return F.monotonically_increasing_id()
+
+
+#: Of one Arrow batch that a task hands to Python. A single longer row is a batch of its own.
+BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Keep what Python workers hold independent of how long the texts are."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
