@@ -3,10 +3,18 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalog_fusion.llm import chat_format, secret_links, sentence_pieces, shard_tree, url_sweep
+from catalog_fusion.llm import (
+    chat_format,
+    secret_links,
+    sentence_pieces,
+    shard_tree,
+    token_transducer,
+    url_sweep,
+    word_language,
+)
 from catalog_fusion.llm.tables import table
 
 SHARDS = 8
@@ -68,6 +76,24 @@ def op5_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_token_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = token_transducer.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return rows.withColumn("over_limit", F.col("n_tokens") > 512)
+
+
+def held_out() -> Column:
+    """Rows that no model is fitted to."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
+def op8_word_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    training = word_language.Training()
+    model = word_language.fit_language_field(word_language.sample_labelled(documents.where(~held_out()), training), training)
+    rows = word_language.identify_languages(documents, model)
+    return rows.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 URL_RULES = """
 SELECT * FROM VALUES
 ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
@@ -84,6 +110,8 @@ QUERIES = {
     "op2_sentence_pieces": op2_sentence_pieces,
     "op4_chat_format": op4_chat_format,
     "op5_secret_links": op5_secret_links,
+    "op6_token_transducer": op6_token_transducer,
+    "op8_word_language": op8_word_language,
     "op9_url_sweep": op9_url_sweep,
 }
 
