@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from catalog_fusion.llm import (
     chat_format,
+    parity_join,
     secret_links,
     sentence_pieces,
     shard_tree,
@@ -105,6 +106,11 @@ def op9_url_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_sweep.judge_urls(table(spark, sf_dir, "pages"), spark.sql(URL_RULES))
 
 
+def op10_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = parity_join.jaccard_components(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 QUERIES = {
     "op1_shard_tree": op1_shard_tree,
     "op2_sentence_pieces": op2_sentence_pieces,
@@ -113,6 +119,7 @@ QUERIES = {
     "op6_token_transducer": op6_token_transducer,
     "op8_word_language": op8_word_language,
     "op9_url_sweep": op9_url_sweep,
+    "op10_parity_join": op10_parity_join,
 }
 
 ORACLES = {

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,3 +34,30 @@ def bound_batches(spark: SparkSession) -> None:
     """Keep what Python workers hold independent of how long the texts are."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+#: Rows of a table of keys that may be broadcast: 16 bytes each at most.
+BROADCAST_KEYS = 1_000_000
+
+
+def content_key() -> Column:
+    """A number for what a document is. Rows that share it are copies with the same id."""
+    return F.xxhash64(F.col("doc_id"), F.col("text"))
+
+
+def by_keys(rows: DataFrame, value: Column, keys: DataFrame, how: str) -> DataFrame:
+    """Rows whose ``value`` is among ``keys``, one column (``left_semi``), or is not (``left_anti``).
+
+    The keys are counted; up to ``BROADCAST_KEYS`` they are broadcast, and beyond that
+    joined through a shuffle, which deals hot keys out.
+    """
+    name = "__key"
+    keys = keys.toDF(name).distinct()
+    side = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+    return rows.join(side, value == F.col(name), how)
+
+
+def result_schema(source: DataFrame, more: str) -> T.StructType:
+    """The type of the column ``key`` as it is, and ``more``."""
+    added = T.StructType.fromDDL(more)
+    return T.StructType([source.schema["key"], *added.fields])
