@@ -12,6 +12,7 @@ from catalog_fusion.llm import (
     secret_links,
     sentence_pieces,
     shard_tree,
+    template_leaks,
     token_transducer,
     url_sweep,
     word_language,
@@ -82,6 +83,10 @@ def op6_token_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
+def op7_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return template_leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def held_out() -> Column:
     """Rows that no model is fitted to."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
@@ -117,6 +122,7 @@ QUERIES = {
     "op4_chat_format": op4_chat_format,
     "op5_secret_links": op5_secret_links,
     "op6_token_transducer": op6_token_transducer,
+    "op7_template_leaks": op7_template_leaks,
     "op8_word_language": op8_word_language,
     "op9_url_sweep": op9_url_sweep,
     "op10_parity_join": op10_parity_join,
