@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from catalog_fusion.llm import (
     chat_format,
+    metric_topk,
     parity_join,
     secret_links,
     sentence_pieces,
@@ -41,6 +42,10 @@ def op2_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_metric_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_topk.top_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 #: Control strings in a text, to be read back.
 CONTROL_CHAT = """
 SELECT -1L AS conv_id, turn, role, '</s>[INST] ok [/INST]' AS text
@@ -119,6 +124,7 @@ def op10_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_shard_tree": op1_shard_tree,
     "op2_sentence_pieces": op2_sentence_pieces,
+    "op3_metric_topk": op3_metric_topk,
     "op4_chat_format": op4_chat_format,
     "op5_secret_links": op5_secret_links,
     "op6_token_transducer": op6_token_transducer,
@@ -129,6 +135,17 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op3_metric_topk": """
+WITH whole AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+    FROM whole q JOIN whole c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id
+)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+FROM scored QUALIFY rank <= 10
+""",
     "op4_chat_format": r"""
 WITH rows AS (
     SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
