@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -92,17 +93,12 @@ def op7_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return template_leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-def held_out() -> Column:
-    """Rows that no model is fitted to."""
-    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
-
-
 def op8_word_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     training = word_language.Training()
-    model = word_language.fit_language_field(word_language.sample_labelled(documents.where(~held_out()), training), training)
+    model = word_language.fit_language_field(word_language.sample_labelled(documents.where(~word_language.held_out()), training), training)
     rows = word_language.identify_languages(documents, model)
-    return rows.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    return rows.select("doc_id", word_language.held_out().alias("held_out"), "lang_pred", "score")
 
 
 URL_RULES = """
@@ -132,6 +128,7 @@ QUERIES = {
     "op8_word_language": op8_word_language,
     "op9_url_sweep": op9_url_sweep,
     "op10_parity_join": op10_parity_join,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {

@@ -17,9 +17,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import sentencepiece
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 
-from catalog_fusion.llm.tables import bound_batches, whole_text
+from catalog_fusion.llm.tables import bound_batches, result_schema, whole_text
 
 SPACE = "▁"
 _SPACE_BYTES = SPACE.encode()
@@ -219,10 +219,10 @@ def piece_coder(model: str) -> PieceCoder:
     return PieceCoder(model)
 
 
-def encode_texts(documents: DataFrame, model: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+def encode_texts(documents: DataFrame, model: str, key: str | Column = "doc_id", text: str = "text") -> DataFrame:
     """``key``, ``ids``, ``starts``, ``ends`` and ``decoded`` of every row.
 
-    ``model`` is a path that every executor has. ``ids`` are those of the library
+    ``key`` is a column's name, or any expression, then named ``key``. ``model`` is a path that every executor has. ``ids`` are those of the library
     without begin or end ids, ``starts`` and ``ends`` the span of each piece in the
     text's UTF-8 bytes (the pieces of a character that falls back to bytes have one
     each), ``decoded`` what the library decodes from ``ids``. Null and empty texts have
@@ -230,8 +230,8 @@ def encode_texts(documents: DataFrame, model: str, key: str = "doc_id", text: st
     batch of its own.
     """
     bound_batches(documents.sparkSession)
-    source = documents.select(documents[key].alias("key"), whole_text(text).alias("text"))
-    out_key = source.schema["key"]
+    value = documents[key] if isinstance(key, str) else key
+    source = documents.select(value.alias("key"), whole_text(text).alias("text"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = piece_coder(model)
@@ -252,6 +252,5 @@ def encode_texts(documents: DataFrame, model: str, key: str = "doc_id", text: st
                     yield packed([keys.slice(begun, i + 1 - begun)], rows, texts)
                     rows, texts, tokens, begun = [], [], 0, i + 1
 
-    kind = out_key.dataType.simpleString()
-    result = source.mapInArrow(encode, f"key {kind}, ids array<int>, starts array<int>, ends array<int>, decoded string")
-    return result.withColumnRenamed("key", key)
+    result = source.mapInArrow(encode, result_schema(source, "ids array<int>, starts array<int>, ends array<int>, decoded string"))
+    return result.withColumnRenamed("key", key) if isinstance(key, str) else result

@@ -29,7 +29,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401  used as pa.compute
 from pyspark.sql import DataFrame
 
-from catalog_fusion.llm.tables import bound_batches, whole_text
+from catalog_fusion.llm.tables import bound_batches, result_schema, whole_text
 
 #: Characters read in one lock step, and the length of its chunks.
 SLICE, CHUNK = 1 << 21, 1 << 10
@@ -325,5 +325,4 @@ def count_tokens(documents: DataFrame, tokenizer: str, key: str = "doc_id", text
             counts = pa.array(counter.counts(texts.to_pylist()), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), sizes, counts], names=["key", "n_bytes", "n_tokens"])
 
-    kind = source.schema["key"].dataType.simpleString()
-    return source.mapInArrow(count, f"key {kind}, n_bytes long, n_tokens long").withColumnRenamed("key", key)
+    return source.mapInArrow(count, result_schema(source, "n_bytes long, n_tokens long")).withColumnRenamed("key", key)

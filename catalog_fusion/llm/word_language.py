@@ -20,11 +20,11 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from catalog_fusion.llm.tables import bound_batches, whole_text
+from catalog_fusion.llm.tables import bound_batches, result_schema, whole_text
 
 UNDETERMINED = "und"
 #: Words of a block that are labelled, and those read before and behind them.
@@ -159,6 +159,11 @@ class LanguageField:
         return names, np.clip(shares, 0.0, 1.0).tolist()
 
 
+def held_out(key: str = "doc_id") -> Column:
+    """Rows that no model is fitted to."""
+    return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
 def sample_labelled(documents: DataFrame, training: Training, key: str = "doc_id") -> list[tuple[str, str]]:
     """``(lang, text)`` of up to ``training.documents`` rows of each language, by a hash of the key.
 
@@ -244,14 +249,16 @@ def fit_language_field(labelled: list[tuple[str, str]], training: Training = Tra
     return LanguageField(languages, index, params[0].astype(np.float32), params[1], params[2])
 
 
-def identify_languages(documents: DataFrame, model: LanguageField, key: str = "doc_id") -> DataFrame:
+def identify_languages(documents: DataFrame, model: LanguageField, key: str | Column = "doc_id") -> DataFrame:
     """``key``, ``lang_pred`` and ``score`` of every row, from its whole text only.
 
-    Null texts and texts without letters are ``und`` with score 0. Repeated rows get a
-    prediction each; an empty table gives no rows.
+    ``key`` is a column's name, or any expression, then named ``key``. Null texts and texts
+    without letters are ``und`` with score 0. Repeated rows get a prediction each; an
+    empty table gives no rows.
     """
     bound_batches(documents.sparkSession)
-    source = documents.select(documents[key].alias("key"), whole_text().alias("text"))
+    value = documents[key] if isinstance(key, str) else key
+    source = documents.select(value.alias("key"), whole_text().alias("text"))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -259,5 +266,5 @@ def identify_languages(documents: DataFrame, model: LanguageField, key: str = "d
             arrays = [batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())]
             yield pa.RecordBatch.from_arrays(arrays, names=["key", "lang_pred", "score"])
 
-    kind = source.schema["key"].dataType.simpleString()
-    return source.mapInArrow(predict, f"key {kind}, lang_pred string, score double").withColumnRenamed("key", key)
+    judged = source.mapInArrow(predict, result_schema(source, "lang_pred string, score double"))
+    return judged.withColumnRenamed("key", key) if isinstance(key, str) else judged
