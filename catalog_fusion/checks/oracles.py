@@ -7,9 +7,11 @@ collapses against window functions over all rows.
 from __future__ import annotations
 
 from catalog_fusion.checks.views import ROLE_VIEWS
+from catalog_fusion.functions.text import ARTICLES
+from catalog_fusion.schema import GENRES
 
-_ARTICLES = "'the','a','an','el','la','le','les','der','die','das'"
-_GENRES = "['Action','Adventure','Animation','Biography','Comedy','Crime','Drama','Fantasy','Horror','Romance','Sci-Fi','Thriller']"
+_ARTICLES = ",".join(f"'{word}'" for word in ARTICLES)
+_GENRES = f"[{','.join(repr(genre) for genre in GENRES)}]"
 
 
 def _norm(value: str) -> str:
@@ -18,26 +20,48 @@ def _norm(value: str) -> str:
 
 
 _VIEWS = ",\n".join(
-    f"v_{name} AS ({ROLE_VIEWS[name].format(null=chr(39) + chr(92) + 'N' + chr(39))})" for name in ("basics", "ratings", "published")
+    f"v_{name} AS ({text.format(null=chr(39) + chr(92) + 'N' + chr(39))})" for name, text in ROLE_VIEWS.items()
 )
 
+_FIELDS = [
+    "title", "year", "release_date", "release_hour", "runtime_min", "budget_usd", "genres", "director", '"cast"', "language", "country",
+]
+
+
+def _source(view: str, rank: int, **given: str) -> str:
+    """One source in the unified columns, nulls where it has none."""
+    types = {"year": "INTEGER", "release_date": "DATE", "release_hour": "INTEGER", "runtime_min": "INTEGER", "budget_usd": "DOUBLE",
+             "rating": "DOUBLE", "vote_count": "INTEGER"}
+    norm = _norm(given["title"]) if "title" in given else "''"
+    columns = ["imdb_id", "title", "title_norm", *_FIELDS[1:], "rating", "vote_count"]
+    values = {"title_norm": norm} | given
+    picked = ", ".join(
+        f"CAST({values.get(c.strip(chr(34)), 'NULL')} AS {types.get(c, 'VARCHAR')}) AS {c}" for c in columns
+    )
+    return f"SELECT {picked}, '{view}' AS source, {rank} AS source_rank FROM v_{view}"
+
+
+_GENRE_TEXT = """CASE CAST(substr(tconst, 3) AS INTEGER) % 7 WHEN 0 THEN 'Action,Adventure' WHEN 1 THEN 'Animation,Biography'
+    WHEN 2 THEN 'Comedy,Crime' WHEN 3 THEN 'Drama,Fantasy' WHEN 4 THEN 'Horror,Romance' WHEN 5 THEN 'Sci-Fi,Thriller'
+    ELSE concat(upper(left(split_part(genres, '|', 1), 1)), lower(substr(split_part(genres, '|', 1), 2))) END"""
+_MINUTES = "CAST(nullif(\"runtimeMinutes\", '\\N') AS INTEGER)"
+
 _CONFORMED = f"""
 {_VIEWS},
 conformed AS (
-  SELECT CAST(tconst AS VARCHAR) AS imdb_id, "primaryTitle" AS title, {_norm('"primaryTitle"')} AS title_norm,
-         CAST("startYear" AS INTEGER) AS year, CAST(NULL AS DATE) AS release_date,
-         CASE WHEN "runtimeMinutes" <> '\\N' AND CAST(nullif("runtimeMinutes", '\\N') AS INTEGER) BETWEEN 40 AND 400
-              THEN CAST(nullif("runtimeMinutes", '\\N') AS INTEGER) END AS runtime_min,
-         concat(upper(left(split_part(genres, '|', 1), 1)), lower(substr(split_part(genres, '|', 1), 2))) AS genres,
-         CAST(NULL AS DOUBLE) AS rating, CAST(NULL AS INTEGER) AS vote_count, 'basics' AS source, 0 AS source_rank
-  FROM v_basics
+  {_source("basics", 0, imdb_id="tconst", title='"primaryTitle"', year='"startYear"', genres=_GENRE_TEXT,
+           runtime_min=f"CASE WHEN {_MINUTES} BETWEEN 40 AND 400 THEN {_MINUTES} END")}
+  UNION ALL
+  {_source("ratings", 1, imdb_id="tconst", rating='"averageRating"', vote_count='"numVotes"')}
   UNION ALL
-  SELECT tconst, NULL, '', NULL, NULL, NULL, NULL, CAST("averageRating" AS DOUBLE), "numVotes", 'ratings', 1
-  FROM v_ratings
+  {_source("crew", 2, imdb_id="tconst", director="concat(split_part(directors, '|', 1), ', ', split_part(split_part(directors, '|', 2), ';', 1))")}
   UNION ALL
-  SELECT NULL, film, {_norm('film')}, CAST(release_year AS INTEGER), CAST(premiere AS DATE), NULL, NULL,
-         CASE WHEN avg_rating <= 10 THEN avg_rating END, votes, 'published', 2
-  FROM v_published
+  {_source("budgets", 3, title="movie", year="release_year", budget_usd="CAST(regexp_replace(production_budget, '[$,]', '', 'g') AS BIGINT)",
+           director="director", cast="stars", language="language", country="country", release_hour="release_hour",
+           release_date="released")}
+  UNION ALL
+  {_source("published", 4, title="film", year="release_year", release_date="premiere",
+           rating="CASE WHEN avg_rating <= 10 THEN avg_rating END", vote_count="votes")}
 )"""
 
 
@@ -48,13 +72,12 @@ def _collapse(rows: str, key: str, order: str) -> str:
         return f"arg_min({column}, rn) FILTER (WHERE {column} IS NOT NULL)"
 
     id_column = "any_value(imdb_id)" if key == "imdb_id" else first("imdb_id")
+    weighted = "sum(CAST(rating AS DECIMAL(18,10)) * CAST(coalesce(vote_count, 1) AS DECIMAL(10,0)))"
     return f"""
-  SELECT {id_column} AS imdb_id, {first('title')} AS title,
-         coalesce(arg_min(title_norm, rn) FILTER (WHERE title IS NOT NULL), '') AS title_norm,
-         {first('year')} AS year, {first('release_date')} AS release_date, {first('runtime_min')} AS runtime_min,
-         {first('genres')} AS genres,
+  SELECT {id_column} AS imdb_id, coalesce(arg_min(title_norm, rn) FILTER (WHERE title IS NOT NULL), '') AS title_norm,
+         {", ".join(f"{first(c)} AS {c}" for c in _FIELDS)},
          CASE WHEN count(rating) = 1 THEN max(rating)
-              ELSE sum(rating * coalesce(vote_count, 1)) / sum(CASE WHEN rating IS NOT NULL THEN coalesce(vote_count, 1) END)
+              ELSE CAST({weighted} AS DOUBLE) / CAST(sum(CASE WHEN rating IS NOT NULL THEN coalesce(vote_count, 1) END) AS DOUBLE)
          END AS rating,
          CAST(coalesce(max(vote_count), CASE WHEN count(*) > 1 AND count(rating) > 0 THEN count(rating) END) AS INTEGER) AS vote_count,
          string_agg(DISTINCT source, '+' ORDER BY source) AS source, min(source_rank) AS source_rank
@@ -69,14 +92,14 @@ by_id AS ({_collapse("(SELECT * FROM conformed WHERE imdb_id IS NOT NULL)", "imd
 _TITLE_KEY = "concat(title_norm, '|', coalesce(CAST(year AS VARCHAR), ''))"
 _MERGED = _BY_ID + f""",
 candidates AS (
-  SELECT * FROM by_id UNION ALL SELECT * FROM conformed WHERE imdb_id IS NULL AND title_norm <> ''
+  SELECT * FROM by_id UNION ALL BY NAME SELECT * FROM conformed WHERE imdb_id IS NULL AND title_norm <> ''
 ),
 keyed AS (
   SELECT *, CASE WHEN title_norm <> '' THEN {_TITLE_KEY} ELSE concat('|', imdb_id) END AS film_key FROM candidates
 ),
 merged AS (
   {_collapse("keyed", "film_key", "vote_count DESC NULLS LAST, imdb_id NULLS LAST, source_rank, release_date NULLS LAST")}
-  UNION ALL SELECT * FROM conformed WHERE imdb_id IS NULL AND title_norm = ''
+  UNION ALL BY NAME SELECT * FROM conformed WHERE imdb_id IS NULL AND title_norm = ''
 ),
 numbered AS (
   SELECT *, row_number() OVER (ORDER BY {_TITLE_KEY}, imdb_id NULLS LAST) AS n FROM merged
@@ -84,11 +107,10 @@ numbered AS (
 
 
 def _published(rows: str, movie_id: str = "CAST(NULL AS VARCHAR)") -> str:
+    fields = ", ".join(c for c in _FIELDS if c not in ("title", "year", "release_date"))
     return f"""
 SELECT {movie_id} AS movie_id, imdb_id, title, title_norm, year, strftime(release_date, '%Y-%m-%d') AS release_date,
-       CAST(NULL AS INTEGER) AS release_hour, runtime_min, CAST(NULL AS DOUBLE) AS budget_usd, genres,
-       CAST(NULL AS VARCHAR) AS director, CAST(NULL AS VARCHAR) AS "cast", CAST(NULL AS VARCHAR) AS language,
-       CAST(NULL AS VARCHAR) AS country, round(rating, 6) AS rating, vote_count, source
+       {fields}, rating, vote_count, source
 FROM {rows}"""
 
 
@@ -112,18 +134,24 @@ def _encoding(rows: str, column: str, target: str = "rating") -> str:
   FROM {rows} GROUP BY {key}"""
 
 
+_ODD_KEY = """CASE WHEN l_suppkey % 3 = 0 THEN concat(repeat('k', 3000), CAST(l_suppkey AS varchar(20)))
+    WHEN l_suppkey % 3 = 1 THEN concat(chr(0), CAST(l_suppkey % 5 AS varchar(20))) ELSE 'hot' END"""
 _ENCODED_LINES = f"""
 WITH {_RATED},
-older AS (SELECT * FROM rated WHERE l_shipdate < TIMESTAMP '1996-01-01'),
+keyed AS (SELECT *, {_ODD_KEY} AS odd FROM rated),
+older AS (SELECT * FROM keyed WHERE l_shipdate < TIMESTAMP '1996-01-01'),
 flag AS ({_encoding("older", "l_returnflag")}),
 supp AS ({_encoding("older", "l_suppkey")}),
+odds AS ({_encoding("older", "odd")}),
 overall AS (SELECT avg(rating) AS mean FROM older)
 SELECT l_orderkey, l_linenumber, l_suppkey,
        round(CAST(CAST(coalesce(flag.encoded, overall.mean) AS FLOAT) AS DOUBLE), 4) AS l_returnflag_enc,
-       round(CAST(CAST(coalesce(supp.encoded, overall.mean) AS FLOAT) AS DOUBLE), 4) AS l_suppkey_enc
-FROM rated CROSS JOIN overall
+       round(CAST(CAST(coalesce(supp.encoded, overall.mean) AS FLOAT) AS DOUBLE), 4) AS l_suppkey_enc,
+       round(CAST(CAST(coalesce(odds.encoded, overall.mean) AS FLOAT) AS DOUBLE), 4) AS odd_enc
+FROM keyed CROSS JOIN overall
 LEFT JOIN flag ON flag.key = l_returnflag
-LEFT JOIN supp ON supp.key = CAST(l_suppkey AS VARCHAR)"""
+LEFT JOIN supp ON supp.key = CAST(l_suppkey AS VARCHAR)
+LEFT JOIN odds ON odds.key = odd"""
 
 
 def _calendar(rows: str, keep: str) -> str:
@@ -162,28 +190,54 @@ ranked AS (
   FROM grid
 )"""
 
-_FEATURES_OF_FILMS = f"""
+_PEOPLE = {
+    "director": "trim(split_part(coalesce(director, ''), ',', 1))",
+    "actor_1": "trim(split_part(coalesce(\"cast\", ''), ',', 1))",
+    "actor_2": "trim(split_part(coalesce(\"cast\", ''), ',', 2))",
+    "actor_3": "trim(split_part(coalesce(\"cast\", ''), ',', 3))",
+    "language": "coalesce(language, '')",
+    "country": "coalesce(country, '')",
+}
+_CALENDAR = [
+    "year", "month", "dayofweek", "release_hour", "is_weekend", "is_friday_evening", "season", "is_awards_window", "is_summer", "is_january_dump",
+]
+
+_FEATURES_OF_TITLES = f"""
 WITH {_MERGED},
-prepared AS ({_calendar(
-    "(SELECT *, CAST(NULL AS INTEGER) AS release_hour FROM merged)",
-    "title_norm, runtime_min, genres, vote_count, rating",
-)}),
+people AS (SELECT * REPLACE ({", ".join(f"{v} AS {c}" for c, v in _PEOPLE.items() if not c.startswith("actor"))}),
+                  {", ".join(f"{v} AS {c}" for c, v in _PEOPLE.items() if c.startswith("actor"))} FROM merged),
+prepared AS ({_calendar("people", ", ".join(["title_norm, runtime_min, genres, vote_count, rating, budget_usd", *_PEOPLE]))}),
 cutoff AS (SELECT quantile_cont(year, 0.8) AS cut FROM prepared),
-train AS (SELECT *, '' AS nothing FROM prepared, cutoff WHERE year < cut),
-blank AS ({_encoding("train", "nothing")})
+train AS (SELECT prepared.* FROM prepared, cutoff WHERE year < cut),
+overall AS (SELECT avg(rating) AS mean FROM train),
+{", ".join(f"e_{c} AS ({_encoding('train', c)})" for c in _PEOPLE)}
 SELECT {_TITLE_KEY} AS match_key,
-       {", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in (
-           "year", "month", "dayofweek", "release_hour", "is_weekend", "is_friday_evening", "season",
-           "is_awards_window", "is_summer", "is_january_dump", "runtime_min"))},
-       CAST(NULL AS DOUBLE) AS budget_log, {_log("vote_count")} AS vote_count_log,
-       {", ".join(f"round(CAST(CAST(encoded AS FLOAT) AS DOUBLE), 4) AS {c}_enc" for c in (
-           "director", "actor_1", "actor_2", "actor_3", "language", "country"))},
-       {", ".join(f"CAST(0 AS DOUBLE) AS genre_{g}" for g in (
-           "action", "adventure", "animation", "biography", "comedy", "crime", "drama", "fantasy", "horror",
-           "romance", "sci_fi", "thriller"))}
-FROM prepared CROSS JOIN blank"""
-
-_REQUEST_BODY = "CASE event_id % 4 WHEN 0 THEN 'props' WHEN 1 THEN 'short' WHEN 2 THEN 'long' ELSE 'untitled' END"
+       {", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in [*_CALENDAR, "runtime_min"])},
+       {_log("budget_usd")} AS budget_log, {_log("vote_count")} AS vote_count_log,
+       {", ".join(f"round(CAST(CAST(coalesce(e_{c}.encoded, mean) AS FLOAT) AS DOUBLE), 4) AS {c}_enc" for c in _PEOPLE)},
+       {", ".join(f"CAST(CASE WHEN contains(genres, '{g}') THEN 1 ELSE 0 END AS DOUBLE) AS genre_{g.lower().replace('-', '_')}" for g in GENRES)}
+FROM prepared CROSS JOIN overall
+{" ".join(f"LEFT JOIN e_{c} ON e_{c}.key = prepared.{c}" for c in _PEOPLE)}"""
+
+_TRAINING = f"""
+WITH {_MERGED}, r AS (SELECT * FROM merged WHERE rating IS NOT NULL),
+c AS (SELECT quantile_cont(year, 0.8) AS cut FROM r),
+n AS (SELECT count(*) FILTER (WHERE year < cut) AS train, count(*) FILTER (WHERE year >= cut) AS test,
+             count(*) FILTER (WHERE year IS NULL) AS unknown, count(*) AS rows, any_value(cut) AS cut FROM r, c),
+report AS (
+  SELECT CASE WHEN train >= 200 AND test >= 50 THEN 'year' ELSE 'position' END AS split,
+         CAST(CASE WHEN train >= 200 AND test >= 50 THEN cut END AS DOUBLE) AS cutoff_year,
+         CAST(CASE WHEN train >= 200 AND test >= 50 THEN train ELSE floor(rows * 0.8) END AS BIGINT) AS n_train,
+         CAST(CASE WHEN train >= 200 AND test >= 50 THEN test ELSE rows - floor(rows * 0.8) END AS BIGINT) AS n_test,
+         unknown AS n_without_year
+  FROM n)"""
+
+# How the forms of request end: the reason, else none.
+_REASONS = """CASE event_id % 12 WHEN 0 THEN 'title is required' WHEN 3 THEN 'title is required' WHEN 5 THEN 'release_hour must be a whole number'
+    WHEN 6 THEN 'runtime_min must be a whole number' WHEN 8 THEN 'language must be text' WHEN 9 THEN 'title must be text'
+    WHEN 10 THEN 'top_n must be at least 1' WHEN 11 THEN 'title is required' END"""
+
+_MODEL_ROWS = """(SELECT p_partkey AS request_id FROM part), (VALUES ('GBTRegressor'), ('Ridge')) AS a(algorithm)"""
 
 ORACLES: dict[str, str] = {
     "scan_formats": " UNION ALL ".join(
@@ -195,9 +249,8 @@ ORACLES: dict[str, str] = {
         SELECT p_partkey, CASE p_partkey % 7 WHEN 4 THEN 'none' WHEN 5 THEN 'N.A.' WHEN 6 THEN '-' END AS note FROM part""",
     "projected_scan": "SELECT o_orderkey, o_orderpriority FROM orders",
     "parquet_rows": "SELECT count(*) AS rows FROM lineitem",
-    "merge_job": f"WITH {_MERGED} {_published('numbered', 'printf(chr(109) || chr(118) || chr(37) || chr(48) || chr(55) || chr(100), n)')}",
     "fusion_report": f"""WITH {_MERGED}
-        SELECT 3 AS inputs, (SELECT count(*) FROM conformed) AS rows_ingested, (SELECT count(*) FROM merged) AS rows_after_merge""",
+        SELECT 5 AS inputs, (SELECT count(*) FROM conformed) AS rows_ingested, (SELECT count(*) FROM merged) AS rows_after_merge""",
     "conform_union": f"WITH {_CONFORMED} {_published('conformed')}",
     "null_tokens": """
         SELECT p_partkey, CASE p_partkey % 5 WHEN 3 THEN '  ' WHEN 4 THEN p_name END AS value, p_partkey % 5 <> 4 AS empty FROM part""",
@@ -208,10 +261,12 @@ ORACLES: dict[str, str] = {
     "id_partition": """
         SELECT 'basics' AS source, true AS has_id, count(*) AS rows FROM part
         UNION ALL SELECT 'ratings', true, count(*) FROM lineitem
-        UNION ALL SELECT 'published', false, count(*) FROM part WHERE p_partkey % 4 <> 1""",
+        UNION ALL SELECT 'crew', true, count(*) FROM part
+        UNION ALL SELECT 'budgets', false, count(*) FROM part
+        UNION ALL SELECT 'published', false, count(*) FROM part""",
     "labelled_rows": """
         SELECT 'ratings' AS source, count(*) AS rows FROM lineitem
-        UNION ALL SELECT 'published', count(*) FROM part WHERE p_partkey % 4 <> 1 AND (p_partkey * 37) % 121 <= 100""",
+        UNION ALL SELECT 'published', count(*) FROM part WHERE (p_partkey * 37) % 121 <= 100""",
     "normalize_title": f"""
         SELECT CAST(doc_id AS VARCHAR) AS item, {_norm("text")} AS title_norm FROM documents
         UNION ALL
@@ -239,11 +294,17 @@ ORACLES: dict[str, str] = {
     "genre_list": """
         SELECT p_partkey, concat(upper(left(p_type, 1)), lower(substr(p_type, 2)), ',Sci-Fi,Drama') AS genres FROM part""",
     "date_year_fill": """
-        SELECT o_orderkey, CASE WHEN o_orderkey % 8 < 6 THEN strftime(o_orderdate, '%Y-%m-%d') END AS release_date,
-               CAST(CASE WHEN o_orderkey % 3 = 0 THEN 1999 WHEN o_orderkey % 8 < 6 THEN year(o_orderdate) END AS INTEGER) AS year
-        FROM orders""",
+        WITH d AS (SELECT o_orderkey, CASE WHEN o_orderkey % 14 < 10 OR o_orderkey % 14 < 12 AND day(o_orderdate) > 12
+                                           THEN CAST(o_orderdate AS DATE) END AS day FROM orders)
+        SELECT o_orderkey, strftime(day, '%Y-%m-%d') AS release_date,
+               CAST(CASE WHEN o_orderkey % 3 = 0 THEN 1999 ELSE year(day) END AS INTEGER) AS year
+        FROM d""",
+    "mixed_headers": "SELECT p_partkey, p_name, p_size FROM part",
+    "quoted_breaks": """
+        SELECT doc_id, concat('a "b",', chr(10), 'c ', replace(text, chr(13), '')) AS text FROM documents""",
+    "gzip_parts": "SELECT o_orderkey, o_orderpriority FROM orders",
     "match_keys": f"""
-        WITH {_CONFORMED}, wanted AS (SELECT * FROM conformed WHERE source <> 'ratings')
+        WITH {_CONFORMED}, wanted AS (SELECT * FROM conformed WHERE source IN ('basics', 'published'))
         SELECT coalesce(imdb_id, concat_ws('/', CAST(release_date AS VARCHAR), CAST(vote_count AS VARCHAR), CAST(rating AS VARCHAR))) AS item,
                imdb_id IS NOT NULL AS has_id, concat(title_norm, '|', year) AS match_key,
                CASE WHEN imdb_id IS NULL THEN concat(title_norm, '|', year) ELSE imdb_id END AS dedup_key
@@ -259,28 +320,38 @@ ORACLES: dict[str, str] = {
                CAST(NULL AS INTEGER) AS vote_count
         FROM part""",
     "requests_from_json": f"""
-        WITH shaped AS (SELECT *, {_REQUEST_BODY} AS form FROM events)
-        SELECT event_id, CASE form WHEN 'short' THEN event_type WHEN 'long' THEN event_type WHEN 'untitled' THEN '' END AS title,
-               CASE form WHEN 'short' THEN strftime(ts, '%Y-%m-%d') WHEN 'props' THEN NULL ELSE '2026-11-20' END AS release_date,
-               CAST(CASE WHEN form = 'long' THEN hour(ts) ELSE 19 END AS INTEGER) AS release_hour,
-               CASE WHEN form = 'long' THEN 'Crime' ELSE 'Drama' END AS genres,
-               CASE WHEN form = 'long' THEN 90 ELSE 120 END AS runtime_min, 'tr' AS language, 'TR' AS country,
-               CASE WHEN form = 'long' THEN 3 ELSE 8 END AS top_n,
-               CASE WHEN form IN ('props', 'untitled') THEN 'title is required' END AS reject_reason
+        WITH shaped AS (SELECT *, event_id % 12 AS form FROM events)
+        SELECT event_id, CASE form WHEN 1 THEN event_type WHEN 2 THEN event_type WHEN 3 THEN '' WHEN 0 THEN NULL WHEN 9 THEN NULL WHEN 11 THEN NULL
+                                   ELSE 'x' END AS title,
+               CASE WHEN form = 1 THEN strftime(ts, '%Y-%m-%d') WHEN form IN (0, 11) THEN NULL ELSE '2026-11-20' END AS release_date,
+               CAST(CASE WHEN form IN (2, 4) THEN hour(ts) WHEN form = 5 THEN NULL ELSE 19 END AS INTEGER) AS release_hour,
+               CASE WHEN form = 2 THEN 'Crime' ELSE 'Drama' END AS genres,
+               CASE WHEN form = 2 THEN 90 WHEN form IN (6, 7) THEN NULL ELSE 120 END AS runtime_min,
+               CASE WHEN form = 4 THEN CAST(5000000 AS DOUBLE) END AS budget_usd,
+               CASE WHEN form <> 8 THEN 'tr' END AS language, 'TR' AS country,
+               CASE WHEN form = 2 THEN 3 WHEN form = 10 THEN 0 ELSE 8 END AS top_n,
+               {_REASONS} AS reject_reason
         FROM shaped""",
+    "window_rejects": f"""
+        SELECT event_id, coalesce({_REASONS}, CASE event_id % 5 WHEN 0 THEN 'the window ends before it starts'
+            WHEN 2 THEN 'the window is not two dates' WHEN 4 THEN 'a window is required' END) AS reject_reason FROM events""",
     "collapse_by_id": f"WITH {_BY_ID} {_published('by_id')}",
     "collapse_two_stage": f"WITH {_MERGED} {_published('merged')}",
     "sequential_id": f"WITH {_MERGED} SELECT printf('mv%07d', n) AS movie_id, title_norm, year, imdb_id FROM numbered",
     "row_numbers": """
         SELECT o_orderkey, o_orderpriority, row_number() OVER (ORDER BY o_orderpriority, o_orderkey) AS n FROM orders""",
     "profile_numeric": f"""
-        WITH {_CONFORMED}, c AS (SELECT year, CAST(NULL AS INTEGER) AS release_hour, runtime_min, CAST(NULL AS DOUBLE) AS budget_usd, rating, vote_count FROM conformed)
+        WITH {_CONFORMED}, c AS (SELECT * FROM conformed)
         {_profile("c", ["year", "release_hour", "runtime_min", "budget_usd", "rating", "vote_count"])}""",
     "profile_lineitem": _profile("lineitem", ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]),
     "categorical_columns": " UNION ALL ".join(
         f"""SELECT '{c}' AS "column", count(DISTINCT {c}) AS distinct, count(DISTINCT {c}) < greatest(64, count(*) // 20) AS is_category FROM part"""
         for c in ("p_name", "p_brand", "p_type")
     ).replace("AS distinct", 'AS "distinct"'),
+    "categorical_columns_sketch": " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", count(DISTINCT {c}) < greatest(64, count(*) // 20) AS is_category FROM part"""
+        for c in ("p_name", "p_brand", "p_type")
+    ),
     "year_quantile": f"SELECT CAST(quantile_cont(year, 0.8) AS DOUBLE) AS cutoff FROM {_ORDERS_BY_YEAR}",
     "regression_metrics": """
         WITH s AS (SELECT round(l_discount * 100) AS y, least(greatest(l_quantity / 4 - 1, 1.0), 10.0) AS p FROM lineitem)
@@ -288,7 +359,7 @@ ORACLES: dict[str, str] = {
                round(1 - sum((y - p) ** 2) / sum((y - (SELECT avg(y) FROM s)) ** 2), 4) AS r2 FROM s""",
     "median_impute": """
         WITH g AS (SELECT p_partkey, CASE WHEN p_partkey % 10 <> 3 THEN CAST(p_size AS DOUBLE) END AS p_size FROM part)
-        SELECT p_partkey, coalesce(p_size, (SELECT quantile_disc(p_size, 0.5) FROM g)) AS p_size FROM g""",
+        SELECT p_partkey, coalesce(p_size, (SELECT quantile_cont(p_size, 0.5) FROM g)) AS p_size FROM g""",
     "calendar_features": _calendar(
         """(SELECT event_id, CASE WHEN event_type <> 'error' THEN CAST(ts AS DATE) + CAST(user_id % 365 AS INTEGER) END AS release_date,
                    CASE WHEN event_id % 5 > 0 THEN CAST(hour(ts) AS INTEGER) END AS release_hour,
@@ -309,7 +380,7 @@ ORACLES: dict[str, str] = {
                           p_partkey % 11 <> 5 AS known FROM part)
         SELECT p_partkey, {", ".join(
             f"CAST(CASE WHEN known AND (a = '{g}' OR b = '{g}') THEN 1 ELSE 0 END AS FLOAT) AS genre_{g.lower().replace('-', '_')}"
-            for g in _GENRES.strip("[]").replace("'", "").split(","))} FROM g""",
+            for g in GENRES)} FROM g""",
     "target_encode_fit": f"""
         WITH {_RATED}, e AS ({_encoding("rated", "l_returnflag")} UNION ALL {_encoding("rated", "l_suppkey")})
         SELECT "column", key, n, round(encoded, 6) AS encoded FROM e""",
@@ -321,7 +392,7 @@ ORACLES: dict[str, str] = {
     "split_fallback": """
         SELECT s_suppkey, CASE WHEN row_number() OVER (ORDER BY s_suppkey) <= floor((SELECT count(*) FROM supplier) * 0.8)
                                THEN 'train' ELSE 'test' END AS split FROM supplier""",
-    "feature_matrix": _FEATURES_OF_FILMS,
+    "feature_matrix": _FEATURES_OF_TITLES,
     "slot_grid": f"WITH {_SLOTS} SELECT request_id, release_date, release_hour, year, weekday, predicted_rating FROM grid",
     "topn_slots": f"""WITH {_SLOTS}
         SELECT request_id, release_date, release_hour, weekday, predicted_rating, slot_rank FROM ranked WHERE slot_rank <= 8""",
@@ -330,16 +401,18 @@ ORACLES: dict[str, str] = {
     "top_importances": """
         SELECT CAST(l_partkey AS VARCHAR) AS feature, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS importance
         FROM lineitem GROUP BY l_partkey ORDER BY importance DESC, feature LIMIT 12""",
-    "training_report": f"""
-        WITH {_MERGED}, r AS (SELECT * FROM merged WHERE rating IS NOT NULL),
-        c AS (SELECT quantile_cont(year, 0.8) AS cut FROM r),
-        n AS (SELECT count(*) FILTER (WHERE year < cut) AS train, count(*) FILTER (WHERE year >= cut) AS test,
-                     count(*) FILTER (WHERE year IS NULL) AS unknown, count(*) AS rows, any_value(cut) AS cut FROM r, c)
-        SELECT CASE WHEN train >= 200 AND test >= 50 THEN 'year' ELSE 'position' END AS split,
-               CAST(CASE WHEN train >= 200 AND test >= 50 THEN cut END AS DOUBLE) AS cutoff_year,
-               CAST(CASE WHEN train >= 200 AND test >= 50 THEN train ELSE floor(rows * 0.8) END AS BIGINT) AS n_train,
-               CAST(CASE WHEN train >= 200 AND test >= 50 THEN test ELSE rows - floor(rows * 0.8) END AS BIGINT) AS n_test,
-               unknown AS n_without_year FROM n""",
-    "saved_model": "SELECT p_partkey AS request_id, true AS same FROM part",
+    "training_report": f"{_TRAINING} SELECT split, cutoff_year, n_train, n_test, n_without_year FROM report",
+    "train_choose": f"{_TRAINING} SELECT split, n_train, n_test, true AS lower_error_chosen, true AS mae_bounded FROM report",
+    "metrics_sink": f"{_TRAINING} SELECT split, n_train, n_test FROM report",
+    "ridge_equations": "SELECT true AS holds",
+    "batch_score": f"SELECT request_id, algorithm, true AS in_range FROM {_MODEL_ROWS}",
+    "single_score": "SELECT true AS same",
+    "recommend": f"""
+        SELECT request_id, algorithm, slot_rank, true AS in_window, true AS falling, true AS as_alone
+        FROM {_MODEL_ROWS}, (VALUES (1), (2), (3), (4), (5)) AS r(slot_rank)""",
+    "recommend_top_n": "SELECT p_partkey AS request_id, p_partkey % 4 + 1 AS slots, CAST(p_partkey % 4 + 1 AS INTEGER) AS last_rank FROM part",
+    "feature_importance": """
+        SELECT CAST(rank AS INTEGER) AS rank, true AS falling, true AS planted_leads FROM range(1, 13) AS r(rank)""",
+    "saved_model": f"SELECT request_id, algorithm, true AS same FROM {_MODEL_ROWS}",
 }
 ORACLES["merge_job"] = f"""WITH {_MERGED} {_published("numbered", "printf('mv%07d', n)")}"""

@@ -13,15 +13,20 @@ from catalog_fusion.functions.text import has_text, strip
 _PLAIN_DECIMAL = r"^(\d+\.?\d*|\.\d+)$"
 _DECIMAL = r"(?U)^\s*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)\s*$"
 
-# Date layouts accepted besides ISO 8601.
+# Date layouts accepted besides ISO 8601. Where day and month could be either, the
+# month comes first, and the day where that gives no date.
 _DATE_LAYOUTS = [
-    (r"^\d{8}$", "yyyyMMdd"),
-    (r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/M/d"),
-    (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy"),
-    (r"^\d{1,2} [A-Za-z]{3} \d{4}$", "d MMM yyyy"),
-    (r"^\d{1,2} [A-Za-z]{4,} \d{4}$", "d MMMM yyyy"),
-    (r"^[A-Za-z]{3} \d{1,2}, \d{4}$", "MMM d, yyyy"),
-    (r"^[A-Za-z]{4,} \d{1,2}, \d{4}$", "MMMM d, yyyy"),
+    (r"^\d{8}$", ["yyyyMMdd"]),
+    (r"^\d{4}/\d{1,2}/\d{1,2}$", ["yyyy/M/d"]),
+    (r"^\d{4}\.\d{1,2}\.\d{1,2}$", ["yyyy.M.d"]),
+    (r"^\d{1,2}/\d{1,2}/\d{4}$", ["M/d/yyyy", "d/M/yyyy"]),
+    (r"^\d{1,2}\.\d{1,2}\.\d{4}$", ["M.d.yyyy", "d.M.yyyy"]),
+    (r"^\d{1,2}-\d{1,2}-\d{4}$", ["M-d-yyyy", "d-M-yyyy"]),
+    (r"^\d{1,2} [A-Za-z]{3} \d{4}$", ["d MMM yyyy"]),
+    (r"^\d{1,2}-[A-Za-z]{3}-\d{4}$", ["d-MMM-yyyy"]),
+    (r"^\d{1,2} [A-Za-z]{4,} \d{4}$", ["d MMMM yyyy"]),
+    (r"^[A-Za-z]{3} \d{1,2},? \d{4}$", ["MMM d, yyyy", "MMM d yyyy"]),
+    (r"^[A-Za-z]{4,} \d{1,2},? \d{4}$", ["MMMM d, yyyy", "MMMM d yyyy"]),
 ]
 _ISO_DATE = (
     r"^\d{4}(-\d{1,2}(-\d{1,2}([T ]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?)?)?)?$"
@@ -100,8 +105,9 @@ def parse_date(value: Column, data_type: T.DataType = T.StringType()) -> Column:
         return value.cast("date")
     text = strip(value.cast("string"))
     parsed = F.when(text.rlike(_ISO_DATE), text).try_cast("date")
-    for shape, layout in _DATE_LAYOUTS:
-        parsed = F.coalesce(parsed, F.try_to_date(F.when(text.rlike(shape), text), layout))
+    for shape, layouts in _DATE_LAYOUTS:
+        own = [F.try_to_date(text, layout) for layout in layouts]
+        parsed = F.coalesce(parsed, F.when(text.rlike(shape), F.coalesce(*own)))
     return parsed
 
 

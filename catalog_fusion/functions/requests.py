@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from catalog_fusion.functions.text import has_text
 
@@ -50,23 +49,24 @@ JSON_DEFAULTS = {
     "country": "TR",
     "top_n": 8,
 }
-JSON_SCHEMA = T.StructType(
-    [
-        T.StructField("title", T.StringType()),
-        T.StructField("release_date", T.StringType()),
-        T.StructField("release_hour", T.IntegerType()),
-        T.StructField("director", T.StringType()),
-        T.StructField("cast", T.StringType()),
-        T.StructField("genres", T.StringType()),
-        T.StructField("budget_usd", T.DoubleType()),
-        T.StructField("runtime_min", T.IntegerType()),
-        T.StructField("language", T.StringType()),
-        T.StructField("country", T.StringType()),
-        T.StructField("window_start", T.StringType()),
-        T.StructField("window_end", T.StringType()),
-        T.StructField("top_n", T.IntegerType()),
-    ]
-)
+JSON_TYPES = {
+    "title": "string",
+    "release_date": "string",
+    "release_hour": "int",
+    "director": "string",
+    "cast": "string",
+    "genres": "string",
+    "budget_usd": "double",
+    "runtime_min": "int",
+    "language": "string",
+    "country": "string",
+    "window_start": "string",
+    "window_end": "string",
+    "top_n": "int",
+}
+JSON_REQUIRED = ("title", "release_date")
+# An explicit null is a value of these fields, and an error in the others.
+JSON_NULLABLE = ("budget_usd", "runtime_min")
 SLOT_HOURS = (14, 16, 18, 19, 20, 21)
 TOP_N = 8
 # End of fixed values.
@@ -96,23 +96,67 @@ def conform_requests(df: DataFrame) -> DataFrame:
     )
 
 
+def _json_value(value: Column, kind: str) -> tuple[Column, Column]:
+    """A variant as ``kind``, and whether it has such a value.
+
+    Numeric text and numbers without a fraction are whole numbers; text is only
+    text. An explicit null has no value.
+    """
+    shape = F.schema_of_variant(value)
+    text = F.try_variant_get(value, "$", "string")
+    if kind == "string":
+        return F.when(shape == "STRING", text), shape == "STRING"
+    text = F.when(shape == "BOOLEAN", F.try_variant_get(value, "$", "int").cast("string")).otherwise(F.trim(text))
+    number = F.when(~shape.rlike("^(OBJECT|ARRAY)"), text).try_cast("double")
+    number = F.when(F.abs(number) < float("inf"), number)
+    if kind == "int":
+        number = F.when(number == F.floor(number), number).try_cast("int")
+    return number, number.isNotNull()
+
+
+_KIND_NAMES = {"string": "text", "int": "a whole number", "double": "a number"}
+
+
 def parse_json_requests(df: DataFrame, body: str = "body") -> DataFrame:
     """One row per JSON body: its fields with defaults, and ``reject_reason``.
 
-    The reason is null for a valid request. Nothing is dropped.
+    The reason is null for a valid request, and else names the first field that is
+    missing or has a value of the wrong type. Nothing is dropped. Values that are
+    left out take their default; a value that cannot be read is null.
     """
-    parsed = df.withColumn("_request", F.from_json(body, JSON_SCHEMA, {"mode": "PERMISSIVE"}))
-    fields = {}
-    for field in JSON_SCHEMA:
-        value = F.col(f"_request.`{field.name}`")
-        if field.name in JSON_DEFAULTS:
-            value = F.coalesce(value, F.lit(JSON_DEFAULTS[field.name]))
-        fields[field.name] = value
-    reason = (
-        F.when(F.coalesce(F.length(F.col("_request.title")), F.lit(0)) < 1, "title is required")
-        .when(F.col("_request.release_date").isNull(), "release_date is required")
+    parsed = df.withColumn("_request", F.try_parse_json(F.col(body)))
+    parts = {n: F.try_variant_get("_request", f"$.{n}", "variant").alias(f"_raw_{n}") for n in JSON_TYPES}
+    parsed = parsed.select("*", *parts.values())
+    fields, reason = {}, F.lit(None).cast("string")
+    for name, kind in reversed(JSON_TYPES.items()):
+        raw = F.col(f"_raw_{name}")
+        null = F.coalesce(F.is_variant_null(raw), F.lit(False))
+        value, usable = _json_value(raw, kind)
+        wrong = raw.isNotNull() & ~F.coalesce(usable, F.lit(False))
+        if name in JSON_NULLABLE:
+            wrong = wrong & ~null
+        if name in JSON_DEFAULTS:
+            value = F.when(raw.isNull(), F.lit(JSON_DEFAULTS[name])).otherwise(value)
+        fields[name] = value.cast(kind)
+        reason = F.when(wrong, f"{name} must be {_KIND_NAMES[kind]}").otherwise(reason)
+        if name in JSON_REQUIRED:
+            reason = F.when(raw.isNull(), f"{name} is required").otherwise(reason)
+        if name == "title":
+            reason = F.when(F.length(value) < 1, "title is required").otherwise(reason)
+        if name == "top_n":
+            reason = F.when(value < 1, "top_n must be at least 1").otherwise(reason)
+    fields = {name: fields[name] for name in JSON_TYPES}
+    return parsed.withColumns(fields | {"reject_reason": reason}).drop("_request", *[f"_raw_{n}" for n in JSON_TYPES])
+
+
+def window_error(start: str = "window_start", end: str = "window_end") -> Column:
+    """Why a window cannot be used: null if it can. Its ends are compared as dates."""
+    first, last = (F.col(c).try_cast("date") for c in (start, end))
+    return (
+        F.when(F.col(start).isNull() | F.col(end).isNull(), "a window is required")
+        .when(first.isNull() | last.isNull(), "the window is not two dates")
+        .when(last < first, "the window ends before it starts")
     )
-    return parsed.withColumns(fields | {"reject_reason": reason}).drop("_request")
 
 
 def slot_grid(
@@ -123,11 +167,11 @@ def slot_grid(
 ) -> DataFrame:
     """One row per request, day of its window and hour.
 
-    Generated per request without a join. A window that ends before it starts
-    is an error.
+    Generated per request without a join. A window that cannot be used is an error.
     """
-    first, last = F.col(start).cast("date"), F.col(end).cast("date")
-    checked = F.when(last < first, F.raise_error(F.lit("window ends before it starts"))).otherwise(last)
+    first, last = F.col(start).try_cast("date"), F.col(end).try_cast("date")
+    wrong = window_error(start, end)
+    checked = F.when(wrong.isNotNull(), F.raise_error(wrong)).otherwise(last)
     days = df.withColumn("_day", F.explode(F.sequence(first, checked)))
     slots = days.select("*", F.posexplode(F.array(*[F.lit(h) for h in hours])).alias("hour_pos", "_hour"))
     return slots.withColumns(

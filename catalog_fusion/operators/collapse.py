@@ -17,6 +17,7 @@ from catalog_fusion.functions.parse import is_empty
 from catalog_fusion.functions.text import match_key
 from catalog_fusion.operators.conform import SOURCE_RANK
 from catalog_fusion.schema import UNIFIED_COLUMNS
+from catalog_fusion.scratch import materialize
 
 # Filled from the best-ranked row that has a value. The normalised title
 # belongs to the title and travels with it.
@@ -74,11 +75,13 @@ def collapse(
         candidate = F.when(~is_empty(value, types[name]), F.struct("_order", *carried))
         return F.min(candidate).alias(name)
 
-    weight = F.coalesce(F.col("vote_count"), F.lit(1)).cast("double")
+    # Decimals add up to the same sum in any order.
+    weight = F.coalesce(F.col("vote_count"), F.lit(1)).cast("bigint")
+    weighted = F.col("rating").try_cast("decimal(18,10)") * weight.cast("decimal(10,0)")
     rated = F.col("rating").isNotNull() & ~F.isnan("rating")
     grouped = ordered.groupBy(*keys).agg(
         *[best(c) for c in fields],
-        F.sum(F.when(rated, F.col("rating") * weight)).alias("_rating_sum"),
+        F.sum(F.when(rated, weighted)).alias("_rating_sum"),
         F.sum(F.when(rated, weight)).alias("_weight_sum"),
         F.max(F.when(rated, F.col("rating"))).alias("_rating"),
         F.count(F.when(rated, True)).alias("_n_rated"),
@@ -93,7 +96,7 @@ def collapse(
         result["title_norm"] = F.coalesce(F.col("title.title_norm"), F.lit(""))
     result["movie_id"] = F.lit(None).cast("string")
     result["rating"] = F.when(F.col("_n_rated") == 1, F.col("_rating")).otherwise(
-        F.col("_rating_sum") / F.col("_weight_sum")
+        F.col("_rating_sum").cast("double") / F.col("_weight_sum").cast("double")
     )
     result["vote_count"] = F.coalesce(
         F.col("_votes"),
@@ -112,17 +115,21 @@ def collapse_by_id(df: DataFrame) -> DataFrame:
     return collapse(df.filter(F.col("imdb_id").isNotNull()), ["imdb_id"])
 
 
-def resolve(df: DataFrame) -> DataFrame:
-    """Collapse conformed rows by film id, then by title and year.
+def resolve(df: DataFrame, stored: bool = False) -> DataFrame:
+    """Collapse conformed rows by title id, then by title and year.
 
-    The title key of stage two comes from the collapsed title and year. A film
-    with a blank title has nothing to be matched on: with an id it stays a film
-    of its own, without one it passes through untouched and unshuffled.
+    The title key of stage two comes from the collapsed title and year. A row
+    with a blank title has nothing to be matched on: with an id it stays on its
+    own, without one it passes through untouched and unshuffled.
+
+    Rows are read three times, with and without ids and titles, so they are
+    written once first; ``stored`` says that they come from such a table.
     """
+    df = df if stored else materialize(df, "conformed")
     no_id = F.col("imdb_id").isNull()
     titled = F.col("title_norm") != ""
-    films = collapse_by_id(df).unionByName(df.filter(no_id & titled))
-    keyed = films.withColumns(
+    candidates = collapse_by_id(df).unionByName(df.filter(no_id & titled))
+    keyed = candidates.withColumns(
         {
             "_key": match_key(F.col("title_norm"), F.col("year")),
             "_alone": F.when(~titled, F.col("imdb_id")),

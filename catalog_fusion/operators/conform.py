@@ -34,17 +34,20 @@ def unified_name(header: str) -> str | None:
     return target if target in UNIFIED_COLUMNS else None
 
 
-def rename_aliases(df: DataFrame) -> DataFrame:
-    """Select the columns that map to the unified table; the first claimant wins."""
+def rename_aliases(df: DataFrame, also: Sequence[str] = ()) -> DataFrame:
+    """Select the columns that map to the unified table, and those in ``also``.
+
+    Of the columns that stand for one, the first wins.
+    """
     claimed: dict[str, str] = {}
     for header in df.columns:
-        target = unified_name(header)
+        target = None if header in also else unified_name(header)
         if target is not None:
             claimed.setdefault(target, header)
-    return df.select(*[F.col(f"`{raw}`").alias(target) for target, raw in claimed.items()])
+    return df.select(*[F.col(f"`{raw}`").alias(target) for target, raw in claimed.items()], *also)
 
 
-def conform_schema(df: DataFrame, source: str) -> DataFrame:
+def conform_schema(df: DataFrame, source: str | Column, also: Sequence[str] = ()) -> DataFrame:
     """All unified columns in order, null where missing; ``source`` by default ``source``."""
 
     def column(field: T.StructField) -> str:
@@ -52,9 +55,9 @@ def conform_schema(df: DataFrame, source: str) -> DataFrame:
             return f"`{field.name}`"
         return f"CAST({'NULL' if field.name != 'title_norm' else repr('')} AS {field.dataType.simpleString()}) AS `{field.name}`"
 
-    default = F.lit(source)
+    default = F.lit(source) if isinstance(source, str) else source
     given = text.blank_to_null(F.col("source").cast("string")) if "source" in df.columns else default
-    return df.selectExpr(*[column(f) for f in UNIFIED_SCHEMA]).withColumn("source", F.coalesce(given, default))
+    return df.selectExpr(*[column(f) for f in UNIFIED_SCHEMA], *also).withColumn("source", F.coalesce(given, default))
 
 
 def replace_null_tokens(df: DataFrame, skip: Sequence[str] = ()) -> DataFrame:
@@ -63,8 +66,8 @@ def replace_null_tokens(df: DataFrame, skip: Sequence[str] = ()) -> DataFrame:
     return df.replace(NULL_TOKENS, None, subset=strings) if strings else df
 
 
-def clean_fields(df: DataFrame) -> DataFrame:
-    """Parse, bound and normalise every unified column present in ``df``.
+def clean_fields(df: DataFrame, also: Sequence[str] = ()) -> DataFrame:
+    """Parse, bound and normalise every unified column present in ``df``; keep ``also`` as it is.
 
     Blank text becomes null, and a usable ``imdb_id`` is one that is not null,
     so that later predicates on it reach the Parquet scan. Values are parsed in
@@ -114,13 +117,13 @@ def clean_fields(df: DataFrame) -> DataFrame:
 
     present = [c for c in UNIFIED_COLUMNS if c in types and c != "title_norm"]
     # The id check knows the null tokens; one expression keeps the pushed-down filter cheap.
-    values = replace_null_tokens(df, skip=["imdb_id"]).select(*[parsed(c).alias(c) for c in present])
+    values = replace_null_tokens(df, skip=["imdb_id", *also]).select(*[parsed(c).alias(c) for c in present], *also)
     checks = {c: checked(c) for c in present}
     if "title" in types:
         checks["title_norm"] = text.normalize_title(F.col("title"))
     if "release_date" in types and "year" not in types:
         checks["year"] = parse.fill_year(F.lit(None).cast("int"), F.col("release_date"))
-    return values.select(*[checks[c].alias(c) for c in UNIFIED_COLUMNS if c in checks])
+    return values.select(*[checks[c].alias(c) for c in UNIFIED_COLUMNS if c in checks], *also)
 
 
 def conform(df: DataFrame, source: str, rank: int = 0) -> DataFrame:
@@ -129,6 +132,13 @@ def conform(df: DataFrame, source: str, rank: int = 0) -> DataFrame:
     return unified.withColumn(SOURCE_RANK, F.lit(rank))
 
 
+def conform_tagged(df: DataFrame, label: str, rank: str) -> DataFrame:
+    """Several sources of one layout as clean unified rows; two columns name the source of a row."""
+    also = [label, rank]
+    unified = conform_schema(clean_fields(rename_aliases(df, also), also), F.col(label), also)
+    return unified.withColumn(SOURCE_RANK, F.col(rank)).drop(*also)
+
+
 def union_sources(parts: Sequence[DataFrame]) -> DataFrame:
     """All rows of all conformed sources."""
     return reduce(DataFrame.unionByName, parts)

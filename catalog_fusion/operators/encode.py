@@ -12,14 +12,9 @@ from catalog_fusion.scratch import materialize
 
 SMOOTHING = 18.0  # fixed value: weight of the global mean, in rows
 
-# A lookup table of at most this size, as counted, is sent to every task.
+# Lookup tables of at most this size together, as counted, are sent to every task.
 BROADCAST_BYTES = 32 * 1024 * 1024
-# Beyond it, the most frequent keys are still looked up that way: at most this
-# many, none longer than this, which is 10 MB at the very most.
-HOT_KEYS = 10_000
-HOT_KEY_BYTES = 1024
 _ROW_BYTES = 32  # numbers and row overhead beside the key
-_SPREAD = 4096
 
 
 def _key(column: str) -> Column:
@@ -79,44 +74,49 @@ class TargetEncoder:
         counted = {r["column"]: r["size"] for r in table.groupBy("column").agg(size.alias("size")).collect()}
         return cls(table, default, {c: counted.get(c, 0) for c in columns})
 
-    def transform(
-        self, df: DataFrame, broadcast_bytes: int = BROADCAST_BYTES, hot_keys: int = HOT_KEYS
-    ) -> DataFrame:
-        """Add ``<column>_enc``: the encoded key, or the default for an unseen one."""
-        for column, size in self.sizes.items():
-            lookup = self.table.filter(F.col("column") == column).select(
-                F.col("key").alias("_key"), F.col("n").alias("_n"), F.col("encoded").alias("_encoded")
-            )
-            if size <= broadcast_bytes:
-                found = _broadcast_lookup(df, column, lookup)
-            else:
-                found = _large_lookup(df, column, lookup, hot_keys)
-            df = found.withColumn(
-                f"{column}_enc", F.coalesce("_encoded", F.lit(self.default)).cast("float")
-            ).drop("_key", "_encoded")
-        return df
-
-
-def _broadcast_lookup(df: DataFrame, column: str, lookup: DataFrame) -> DataFrame:
-    return df.join(F.broadcast(lookup.drop("_n")), _key(column) == F.col("_key"), "left")
-
-
-def _large_lookup(df: DataFrame, column: str, lookup: DataFrame, hot_keys: int) -> DataFrame:
-    """Left lookup in a table too large to broadcast, whatever the key skew.
-
-    The most frequent keys are few, so they are looked up by broadcast. Their
-    rows enter the shuffled join under spread keys that match nothing, and only
-    the long tail meets its partner there.
-    """
-    short = lookup.filter(F.octet_length("_key") <= HOT_KEY_BYTES)
-    hot = short.orderBy(F.desc("_n"), "_key").limit(hot_keys).select(
-        F.col("_key").alias("_hot_key"), F.col("_encoded").alias("_hot")
-    )
-    own = _key(column)
-    tagged = df.join(F.broadcast(hot), own == F.col("_hot_key"), "left")
-    slot = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(_SPREAD))
-    spread = F.concat(F.lit("\x00"), slot.cast("string"))
-    probe = F.when(F.col("_hot_key").isNull(), own).otherwise(spread)
-    tail = lookup.drop("_n").filter(~F.col("_key").startswith("\x00"))
-    joined = tagged.withColumn("_probe", probe).join(tail, F.col("_probe") == F.col("_key"), "left")
-    return joined.withColumn("_encoded", F.coalesce("_hot", "_encoded")).drop("_probe", "_hot", "_hot_key")
+    def transform(self, df: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+        """Add ``<column>_enc``: the encoded key, or the default for an unseen one.
+
+        Up to ``broadcast_bytes`` the tables are broadcast; beyond, all columns are
+        looked up by one shuffled join. The result is the same.
+        """
+        if sum(self.sizes.values()) <= broadcast_bytes:
+            for column in self.sizes:
+                lookup = self.table.filter(F.col("column") == column).select(
+                    F.col("key").alias("_key"), F.col("encoded").alias("_encoded")
+                )
+                found = df.join(F.broadcast(lookup), _key(column) == F.col("_key"), "left")
+                df = found.withColumn(f"{column}_enc", self._or_default("_encoded")).drop("_key", "_encoded")
+            return df
+        return self._large_lookup(df)
+
+    def _or_default(self, value: str) -> Column:
+        return F.coalesce(F.col(value), F.lit(self.default)).cast("float")
+
+    def _large_lookup(self, df: DataFrame) -> DataFrame:
+        """All columns by one join on ``(column, key)`` and one regrouping by row.
+
+        Each row becomes one narrow row per column; the first of them carries the
+        row itself. A frequent key fills a partition of the join, whose probing side
+        Spark splits where it is skewed. Rows are numbered in a written table, so that
+        a task that runs again gives them the same numbers.
+        """
+        held = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+        numbered = materialize(df.select(held.alias("_held")).withColumn("_row", F.monotonically_increasing_id()), "encode")
+        wanted = F.array(
+            *[
+                F.struct(
+                    F.lit(c).alias("column"),
+                    F.coalesce(F.col("_held").getField(c).cast("string"), F.lit("")).alias("key"),
+                    (F.col("_held") if i == 0 else F.lit(None)).alias("held"),
+                )
+                for i, c in enumerate(self.sizes)
+            ]
+        )
+        probes = numbered.select("_row", F.explode(wanted).alias("_probe")).select("_row", "_probe.*")
+        found = probes.join(self.table.select("column", "key", "encoded"), ["column", "key"], "left")
+        regrouped = found.groupBy("_row").agg(
+            F.first("held", ignorenulls=True).alias("_held"),
+            *[F.max(F.when(F.col("column") == c, F.col("encoded"))).alias(f"_{c}_enc") for c in self.sizes],
+        )
+        return regrouped.select("_held.*", *[self._or_default(f"_{c}_enc").alias(f"{c}_enc") for c in self.sizes])

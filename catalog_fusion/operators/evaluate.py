@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.feature import Imputer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -102,14 +101,20 @@ def regression_metrics(df: DataFrame, label: str = "rating", prediction: str = "
     return df.agg(*[value.alias(name) for name, value in metrics.items()])
 
 
-def median_impute(df: DataFrame, columns: list[str], relative_error: float = 0.0001) -> DataFrame:
-    """Nulls of each column replaced by its median, from a mergeable sketch.
+def medians(df: DataFrame, columns: list[str]) -> dict[str, float]:
+    """The interpolated median of each column that has values. NaN counts as missing.
+
+    Exact: the state is one counter for each distinct value.
+    """
+    known = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in columns}
+    found = df.agg(*[F.percentile(value, 0.5).alias(c) for c, value in known.items()]).first()
+    return {c: found[c] for c in columns if found[c] is not None}
+
+
+def median_impute(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Nulls and NaN of each column replaced by its median.
 
     A column without any value keeps its nulls.
     """
-    known = df.agg(*[F.max(F.col(c).isNotNull() & ~F.isnan(c)).alias(c) for c in columns]).first()
-    usable = [c for c in columns if known[c]]
-    if not usable:
-        return df
-    imputer = Imputer(strategy="median", inputCols=usable, outputCols=usable, relativeError=relative_error)
-    return imputer.fit(df).transform(df)
+    filled = {c: F.coalesce(F.when(~F.isnan(c), F.col(c)), F.lit(m)) for c, m in medians(df, columns).items()}
+    return df.withColumns(filled) if filled else df

@@ -42,10 +42,10 @@ def number_rows(df: DataFrame, order: Sequence[Column], name: str = "row_number"
     )
 
 
-def film_order() -> list[Column]:
+def title_order() -> list[Column]:
     """Title key, then id, then the whole row, then its place.
 
-    The title key is unique except for untitled films, which may hold much of
+    The title key is unique except for untitled titles, which may hold much of
     the table, copies included. The last two keys let the ranges divide those.
     """
     return [
@@ -58,6 +58,6 @@ def film_order() -> list[Column]:
 
 
 def assign_movie_ids(df: DataFrame) -> DataFrame:
-    """Number films ``mv0000001`` onward in title-key order."""
-    numbered = number_rows(df, film_order(), "_n")
+    """Number titles ``mv0000001`` onward in title-key order."""
+    numbered = number_rows(df, title_order(), "_n")
     return numbered.withColumn("movie_id", F.format_string("mv%07d", "_n")).drop("_n")

@@ -16,15 +16,18 @@ def top_slots(
     top_n: int | Column = TOP_N,
     request: str = "request_id",
     score: str = "predicted_rating",
+    most: int | None = None,
 ) -> DataFrame:
     """The best ``top_n`` slots per request, with their rank.
 
     Scores are rounded first; equal scores keep calendar order. With a fixed
-    ``top_n`` each task keeps its own best rows before the shuffle, so one
-    request with a huge window does not fill a task.
+    ``top_n``, or a column and ``most``, its largest value, each task keeps its own
+    best rows before the shuffle, so one request with a huge window does not fill a task.
     """
     order = W.partitionBy(request).orderBy(F.desc(score), "release_date", "hour_pos")
     ranked = slots.withColumn(score, F.round(score, 3)).withColumn("slot_rank", F.row_number().over(order))
+    if most is not None:
+        ranked = ranked.filter(F.col("slot_rank") <= most)
     return ranked.filter(F.col("slot_rank") <= top_n)
 
 

@@ -2,23 +2,33 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass
-from functools import partial
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 
 from catalog_fusion.operators.collapse import resolve
-from catalog_fusion.operators.conform import conform, union_sources
+from catalog_fusion.operators.conform import SOURCE_RANK, conform, conform_tagged, union_sources
 from catalog_fusion.operators.number import assign_movie_ids
-from catalog_fusion.schema import UNIFIED_COLUMNS
-from catalog_fusion.scratch import new_scratch_path
-from catalog_fusion.sources.scan import Source, scan, spread
+from catalog_fusion.schema import UNIFIED_COLUMNS, UNIFIED_SCHEMA
+from catalog_fusion.scratch import job_scratch, new_scratch_path
+from catalog_fusion.sources.scan import (
+    Source,
+    is_parquet,
+    null_markers_to_null,
+    plain_path,
+    read_layout,
+    scan,
+    separator_of,
+    spread,
+    text_layouts,
+)
 from catalog_fusion.sources.sink import public_form, write_parquet
 
-INGEST_JOBS = 8  # sources staged at the same time
+INGEST_JOBS = 8  # layouts staged at the same time
 
 
 @dataclass(frozen=True)
@@ -32,10 +42,9 @@ class MergeReport:
         return spark.createDataFrame([Row(**asdict(self))])
 
 
-def ingest(spark: SparkSession, source: Source, rank: int) -> DataFrame:
+def ingest(spark: SparkSession, source: Source, rank: int = 0) -> DataFrame:
     """One source as conformed rows, lazily."""
-    raw = scan(spark, source.path, sep=source.sep, multiline=source.multiline)
-    return conform(spread(raw, source.path), source.label, rank)
+    return conform(scan(spark, source.path, sep=source.sep), source.label, rank)
 
 
 def ingest_to_parquet(spark: SparkSession, source: Source, dest: str, rank: int = 0) -> int:
@@ -43,8 +52,67 @@ def ingest_to_parquet(spark: SparkSession, source: Source, dest: str, rank: int
     return write_parquet(ingest(spark, source, rank), dest)
 
 
+def _source_of(file: str, ranks: dict[str, int]) -> int:
+    """The place of the source that a file belongs to: its own, or a folder above."""
+    path = plain_path(file)
+    while path not in ranks:
+        above = path.rpartition("/")[0]
+        if above == path or not above:
+            raise ValueError(f"{file} belongs to no source")
+        path = above
+    return ranks[path]
+
+
+def grouped_scans(spark: SparkSession, sources: Sequence[Source]) -> Iterator[DataFrame]:
+    """Conformed rows of all sources, one scan for each layout of their files.
+
+    The source of a row comes from the path of its file, so the number of scans and
+    jobs grows with the layouts, not with the sources.
+    """
+    ranks = {plain_path(s.path): i for i, s in enumerate(sources)}
+    file, label = F.col("_metadata.file_path").alias("__file"), "__label"
+
+    def tagged(raw: DataFrame, files: Sequence[str]) -> DataFrame:
+        places = [(f, _source_of(f, ranks)) for f in files]
+        lookup = spark.createDataFrame(
+            [(f, sources[i].label, i) for f, i in places], f"__file string, {label} string, __rank int"
+        )
+        return conform_tagged(spread(raw, files).join(lookup, "__file").drop("__file"), label, "__rank")
+
+    separators: dict[str, list[str]] = {}
+    for s in sources:
+        if not is_parquet(s.path):
+            separators.setdefault(s.sep or separator_of(s.path), []).append(s.path)
+    for sep, paths in separators.items():
+        for layout, files in text_layouts(spark, paths, sep).items():
+            raw = read_layout(spark, layout, files).select(*[F.col(f"`{c}`") for c in layout.header], file)
+            data = null_markers_to_null(raw.select(*[F.col(f"`{c}`") for c in raw.columns]))
+            yield tagged(data, files)
+
+    stored = [s.path for s in sources if is_parquet(s.path)]
+    schemas: dict[str, list[str]] = {}
+    with ThreadPoolExecutor(INGEST_JOBS) as pool:
+        for path, schema in zip(stored, pool.map(lambda p: spark.read.parquet(p).schema.json(), stored), strict=True):
+            schemas.setdefault(schema, []).append(path)
+    for paths in schemas.values():
+        raw = spark.read.parquet(*paths)
+        files = [r[0] for r in raw.select(file).distinct().collect()]
+        yield tagged(raw.select("*", file), files)
+
+
+def stage_sources(spark: SparkSession, sources: Sequence[Source], dest: str) -> tuple[DataFrame, int]:
+    """All sources as one stored table of conformed rows, and its row count."""
+    scans = list(grouped_scans(spark, sources)) or [conform(spark.createDataFrame([], UNIFIED_SCHEMA), "")]
+    places = [f"{dest}/layout={i}" for i in range(len(scans))]
+    # Independent jobs at a time, so that a small layout does not leave the cluster idle.
+    with ThreadPoolExecutor(INGEST_JOBS) as pool:
+        rows = sum(pool.map(inheritable_thread_target(spark)(write_parquet), scans, places))
+    columns = [*UNIFIED_COLUMNS, SOURCE_RANK]
+    return spark.read.parquet(*places).select(*[F.col(f"`{c}`") for c in columns]), rows
+
+
 def fuse(parts: Sequence[DataFrame]) -> DataFrame:
-    """Numbered films from conformed sources."""
+    """Numbered titles from conformed sources."""
     return assign_movie_ids(resolve(union_sources(parts))).select(*UNIFIED_COLUMNS)
 
 
@@ -54,23 +122,20 @@ def merge_sources(
     output: str,
     staging: str | None = None,
 ) -> MergeReport:
-    """Merge source tables into one film table.
+    """Merge source tables into one table of titles.
 
-    Text is parsed once, into staged Parquet. The resolution reads the staged
-    tables, where its filters on id and title reach the scan.
+    Sources are parsed once, into one staged table, whose scans the resolution's
+    filters on id and title reach. What the job stages is deleted when it ends,
+    unless the caller names the place.
     """
     sources = [s if isinstance(s, Source) else Source(s) for s in inputs]
     if not sources:
         raise ValueError("at least one source is needed")
-    staging = staging or new_scratch_path(spark, "staging")
-    places = [f"{staging}/part_{rank:03d}_{source.label}" for rank, source in enumerate(sources)]
-    # Independent jobs at a time, so that a small source does not leave the cluster idle.
-    with ThreadPoolExecutor(INGEST_JOBS) as pool:
-        stage = inheritable_thread_target(spark)(partial(ingest_to_parquet, spark))
-        rows = sum(pool.map(stage, sources, places, range(len(sources))))
-    staged = [spark.read.parquet(place) for place in places]
-    merged = write_parquet(public_form(fuse(staged)), output)
-    return MergeReport([s.path for s in sources], rows, merged, output)
+    with job_scratch(spark):
+        staged, rows = stage_sources(spark, sources, staging or new_scratch_path(spark, "staging"))
+        merged = assign_movie_ids(resolve(staged, stored=True)).select(*UNIFIED_COLUMNS)
+        written = write_parquet(public_form(merged), output)
+    return MergeReport([s.path for s in sources], rows, written, output)
 
 
 def load_merged(spark: SparkSession, path: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """The batch jobs, for ``spark-submit``: merge, train, predict, recommend.
 
-    spark-submit --py-files catalog_fusion.zip catalog_fusion/plans/jobs.py merge raw/ --output films
+    spark-submit --py-files catalog_fusion.zip catalog_fusion/plans/jobs.py merge raw/ --output titles
 """
 
 from __future__ import annotations
@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalog_fusion.functions.parse import parse_release_moment
-from catalog_fusion.functions.requests import TOP_N, parse_json_requests
+from catalog_fusion.functions.requests import TOP_N, parse_json_requests, window_error
 from catalog_fusion.plans.fuse import load_merged, merge_sources
 from catalog_fusion.plans.rating_model import RatingModel, TREE_ROUNDS
-from catalog_fusion.scratch import materialize
+from catalog_fusion.scratch import job_scratch, materialize
 from catalog_fusion.sources.scan import Source, discover
 from catalog_fusion.sources.sink import write_report
 
@@ -29,12 +29,13 @@ def merge(spark: SparkSession, inputs: Sequence[str], output: str) -> DataFrame:
     return merge_sources(spark, sources, output).as_frame(spark)
 
 
-def train(spark: SparkSession, films: str, model: str, rounds: int = TREE_ROUNDS) -> DataFrame:
+def train(spark: SparkSession, titles: str, model: str, rounds: int = TREE_ROUNDS) -> DataFrame:
     """Train on a merged table, save the model and its report; returns the report."""
-    fitted = RatingModel.fit(load_merged(spark, films), rounds=rounds)
-    fitted.save(model)
-    report = fitted.report_frame(spark)
-    write_report(report, f"{model}.metrics")
+    with job_scratch(spark):
+        fitted = RatingModel.fit(load_merged(spark, titles), rounds=rounds)
+        fitted.save(model)
+        report = fitted.report_frame(spark)
+        write_report(report, f"{model}.metrics")
     return report
 
 
@@ -62,27 +63,28 @@ def predict(spark: SparkSession, model: str, requests: str, output: str) -> Data
     parsed = read_requests(spark, requests)
     parsed.filter(F.col("reject_reason").isNotNull()).write.mode("overwrite").json(f"{output}.rejected")
     valid = parsed.filter(F.col("reject_reason").isNull()).drop("body", "reject_reason")
-    scored = RatingModel.load(spark, model).predict_requests(valid)
-    scored.withColumn("predicted_rating", F.round("predicted_rating", 3)).write.mode("overwrite").parquet(output)
+    with job_scratch(spark):
+        scored = RatingModel.load(spark, model).predict_requests(valid)
+        scored.withColumn("predicted_rating", F.round("predicted_rating", 3)).write.mode("overwrite").parquet(output)
     return spark.read.parquet(output)
 
 
+def judge_windows(parsed: DataFrame) -> DataFrame:
+    """Parsed requests, those without a usable window rejected as well."""
+    return parsed.withColumn("reject_reason", F.coalesce(F.col("reject_reason"), window_error()))
+
+
 def recommend(spark: SparkSession, model: str, requests: str, output: str, top_n: int | None = None) -> DataFrame:
     """The best slots of every valid request, by its own ``top_n`` unless one is given."""
-    parsed = read_requests(spark, requests)
-    reason = F.coalesce(
-        F.col("reject_reason"),
-        F.when(F.col("window_start").isNull() | F.col("window_end").isNull(), "a window is required"),
-        F.when(F.col("window_end") < F.col("window_start"), "the window ends before it starts"),
-    )
-    judged = parsed.withColumn("reject_reason", reason)
+    judged = judge_windows(read_requests(spark, requests))
     judged.filter(F.col("reject_reason").isNotNull()).write.mode("overwrite").json(f"{output}.rejected")
     valid = judged.filter(F.col("reject_reason").isNull()).drop("body", "reject_reason")
-    # Written once, so that a recomputed task cannot number its requests anew.
-    valid = materialize(valid.withColumn("request_id", F.monotonically_increasing_id()), "requests")
-    limit = F.col("top_n") if top_n is None else top_n
-    slots = RatingModel.load(spark, model).recommend(valid, top_n=limit)
-    slots.write.mode("overwrite").parquet(output)
+    with job_scratch(spark):
+        # Written once, so that a recomputed task cannot number its requests anew.
+        valid = materialize(valid.withColumn("request_id", F.monotonically_increasing_id()), "requests")
+        limit = F.col("top_n") if top_n is None else top_n
+        slots = RatingModel.load(spark, model).recommend(valid, top_n=limit)
+        slots.write.mode("overwrite").parquet(output)
     return spark.read.parquet(output)
 
 
@@ -93,7 +95,7 @@ def main(arguments: Sequence[str] | None = None) -> None:
     job.add_argument("inputs", nargs="+")
     job.add_argument("--output", required=True)
     job = jobs.add_parser("train")
-    job.add_argument("films")
+    job.add_argument("titles")
     job.add_argument("--model", required=True)
     job.add_argument("--rounds", type=int, default=TREE_ROUNDS)
     for name in ("predict", "recommend"):

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from datetime import date
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import Imputer, SQLTransformer, VarianceThresholdSelector, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, VarianceThresholdSelector, VectorAssembler
 from pyspark.ml.regression import (
     GBTRegressionModel,
     GBTRegressor,
@@ -14,19 +16,22 @@ from pyspark.ml.regression import (
     LinearRegressionModel,
 )
 from pyspark.sql import Column, DataFrame, Row, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from catalog_fusion.functions.features import (
+    ENCODED_FEATURES,
     ENCODED_KEYS,
     FEATURES,
+    GENRE_FEATURES,
+    NUMERIC_FEATURES,
     prepare_features,
+    with_calendar_features,
 )
 from catalog_fusion.functions.requests import SLOT_HOURS, TOP_N, conform_requests, slot_grid
 from catalog_fusion.operators.conform import labelled
 from catalog_fusion.operators.encode import TargetEncoder
-from catalog_fusion.operators.evaluate import clip_rating, metric_columns, temporal_split
-from catalog_fusion.operators.number import film_order
+from catalog_fusion.operators.evaluate import clip_rating, medians, metric_columns, temporal_split
+from catalog_fusion.operators.number import number_rows, title_order
 from catalog_fusion.operators.slots import top_importances, top_slots
 from catalog_fusion.scratch import materialize, scratch_dir
 from catalog_fusion.sources.sink import write_report
@@ -55,7 +60,8 @@ OPTIONAL = [
     "vote_count_log",
 ]
 _TREE_INPUT, _RIDGE_INPUT = "tree_features", "ridge_features"
-_BUCKET_ROWS = 50_000
+# Rows of a partition of the training frame: each round is several jobs over it.
+_TRAINING_ROWS = 20_000
 
 
 def feature_frame(df: DataFrame, encoder: TargetEncoder) -> DataFrame:
@@ -74,10 +80,11 @@ def _preparation(features: DataFrame) -> PipelineModel:
     empty = {c for c in OPTIONAL if known[c] == 0}
     optional = [c for c in OPTIONAL if c not in empty]
     used = [c for c in FEATURES if c not in empty]
+    middle = medians(features, optional) if optional else {}
+    values = ", ".join(f"CAST(coalesce({c}, {middle[c]!r}D) AS DOUBLE) AS {c}_filled" for c in optional)
     flags = ", ".join(f"CAST({c} IS NULL AS DOUBLE) AS {c}_missing" for c in optional)
     stages = [
-        SQLTransformer(statement=f"SELECT *, {flags} FROM __THIS__"),
-        Imputer(strategy="median", inputCols=optional, outputCols=[f"{c}_filled" for c in optional]),
+        SQLTransformer(statement=f"SELECT *, {flags}, {values} FROM __THIS__"),
     ]
     filled = [f"{c}_filled" if c in optional else c for c in used]
     stages += [
@@ -87,7 +94,7 @@ def _preparation(features: DataFrame) -> PipelineModel:
         VectorAssembler(inputCols=["filled_features", *[f"{c}_missing" for c in optional]], outputCol=_TREE_INPUT),
     ]
     if not optional:
-        stages = stages[2:]
+        stages = stages[1:]
     return Pipeline(stages=stages).fit(features)
 
 
@@ -109,8 +116,14 @@ def fit_ridge(prepared: DataFrame, alpha: float = RIDGE_ALPHA) -> LinearRegressi
 
 
 def fit_trees(prepared: DataFrame, rounds: int = TREE_ROUNDS) -> GBTRegressionModel:
-    """Boosted regression trees; lineage is cut every ten rounds."""
+    """Boosted regression trees; lineage is cut every ten rounds.
+
+    The first tree counts in full, only later ones by the rate: Spark starts from a
+    tree where other libraries start from the mean.
+    """
     scratch_dir(prepared.sparkSession)
+    rows = prepared.count()
+    prepared = prepared.repartition(max(1, -(-rows // _TRAINING_ROWS)))
     return GBTRegressor(
         featuresCol=_TREE_INPUT,
         labelCol="rating",
@@ -129,25 +142,23 @@ def permutation_importance(
     features: DataFrame,
     preparation: PipelineModel,
     trees: GBTRegressionModel,
-    n_rows: int,
     rounds: int = IMPORTANCE_ROUNDS,
 ) -> DataFrame:
     """``(feature, importance)``: growth of the squared error when a feature is shuffled.
 
     ``features`` holds the rating, the features and a stored uniform ``draw_i``
-    per round. Rows are dealt into random buckets by their draw, and each takes
-    the value of the next row of its bucket: a random permutation whose one
-    shuffle is even and whose windows are bounded. Errors are reduced to one
-    number per feature within the tasks.
+    per round. Rows are numbered by their draw, and each takes the value of the
+    next one, the last that of the first: a random permutation by even shuffles,
+    whatever the size. Errors are reduced to one number per feature within the tasks.
     """
-    buckets = max(1, -(-n_rows // _BUCKET_ROWS))
-    dealt = features.select(
-        "rating",
-        F.array(*FEATURES).alias("own"),
-        F.posexplode(F.array(*[F.col(f"draw_{i}") for i in range(rounds)])).alias("round", "draw"),
-    ).withColumn("bucket", F.floor(F.col("draw") * buckets))
-    ring = W.partitionBy("round", "bucket").orderBy("draw")
-    donated = dealt.withColumn("other", F.coalesce(F.lead("own").over(ring), F.first("own").over(ring)))
+    donations = []
+    for i in range(rounds):
+        dealt = features.select("rating", F.array(*FEATURES).alias("own"), f"draw_{i}")
+        placed = number_rows(dealt, [F.col(f"draw_{i}"), F.xxhash64("rating", "own")], "place")
+        total = placed.count()
+        donors = placed.select((F.col("place") % total + 1).alias("place"), F.col("own").alias("other"))
+        donations.append(placed.join(donors, "place").select("rating", "own", "other"))
+    donated = reduce(DataFrame.unionByName, donations)
     variants = donated.select(
         "rating", "own", "other", F.explode(F.sequence(F.lit(0), F.lit(len(FEATURES) - 1))).alias("index")
     )
@@ -186,15 +197,15 @@ class RatingModel:
     report: dict
 
     @classmethod
-    def fit(cls, films: DataFrame, rounds: int = TREE_ROUNDS, importance: bool = True) -> RatingModel:
-        """Train on older films, choose by the error on newer ones.
+    def fit(cls, titles: DataFrame, rounds: int = TREE_ROUNDS, importance: bool = True) -> RatingModel:
+        """Train on older titles, choose by the error on newer ones.
 
         Ridge is chosen only if its RMSE is strictly lower.
         """
-        rated = labelled(films)
+        rated = labelled(titles)
         if rated.isEmpty():
             raise ValueError("no film has a rating")
-        split = temporal_split(rated, film_order())
+        split = temporal_split(rated, title_order())
         encoder = TargetEncoder.fit(prepare_features(split.train), ENCODED_KEYS, "rating")
         train = stored_features(split.train, encoder, "train")
         test = stored_features(split.test, encoder, "test")
@@ -218,7 +229,7 @@ class RatingModel:
         algorithm, other = (RIDGE, TREES) if metrics[RIDGE]["rmse"] < metrics[TREES]["rmse"] else (TREES, RIDGE)
         top = []
         if importance:
-            top = top_importances(permutation_importance(test, preparation, trees, split.n_test)).collect()
+            top = top_importances(permutation_importance(test, preparation, trees)).collect()
         report = {
             "algorithm": algorithm,
             "metrics": metrics[algorithm].asDict(),
@@ -232,13 +243,22 @@ class RatingModel:
         }
         return cls(encoder, preparation, trees, ridge, algorithm, report)
 
-    def predict(self, films: DataFrame, name: str = "predicted_rating") -> DataFrame:
-        """Every input row with its predicted rating, held within 1 to 10."""
-        prepared = self.preparation.transform(feature_frame(films, self.encoder))
+    def score(self, features: DataFrame) -> tuple[DataFrame, Column]:
+        """Rows that hold the features, prepared and scored, and the rating within 1 to 10."""
+        prepared = self.preparation.transform(features)
         model, column = (
             (self.ridge, "ridge_prediction") if self.algorithm == RIDGE else (self.trees, "tree_prediction")
         )
-        return model.transform(prepared).select("row.*", clip_rating(F.col(column)).alias(name))
+        return model.transform(prepared), clip_rating(F.col(column))
+
+    def predict(self, titles: DataFrame, name: str = "predicted_rating") -> DataFrame:
+        """Every input row with its predicted rating, held within 1 to 10."""
+        scored, rating = self.score(feature_frame(titles, self.encoder))
+        return scored.select("row.*", rating.alias(name))
+
+    def choosing(self, algorithm: str) -> RatingModel:
+        """The same training with the other candidate in use, or the same one."""
+        return replace(self, algorithm=algorithm, report={**self.report, "algorithm": algorithm})
 
     def predict_requests(self, requests: DataFrame) -> DataFrame:
         """Requests with any of the known field names, each with its predicted rating."""
@@ -257,8 +277,25 @@ class RatingModel:
         ``requests`` has a unique ``request_id``. All slots of all requests are
         scored in one pass.
         """
-        slots = slot_grid(conform_requests(requests), window_start, window_end, hours)
-        return top_slots(self.predict(slots), top_n)
+        known = conform_requests(requests)
+        # All that does not depend on the slot is computed and looked up once per request.
+        encoded = self.encoder.transform(prepare_features(known))
+        fixed = [*NUMERIC_FEATURES, *ENCODED_FEATURES, *GENRE_FEATURES]
+        carried = ["request_id", *dict.fromkeys([window_start, window_end]), *fixed]
+        grid = slot_grid(encoded.select(*carried), window_start, window_end, hours)
+        timed = with_calendar_features(grid)
+        scored, rating = self.score(timed.withColumns({c: F.col(c).cast("float") for c in FEATURES if c != "release_hour"}))
+        most = requests.agg(F.max(top_n)).first()[0] if isinstance(top_n, Column) else None
+        limits = known.select("request_id", (top_n if isinstance(top_n, Column) else F.lit(top_n)).alias("_limit"))
+        slots = scored.select(
+            "request_id", "release_date", F.col("release_hour").cast("int").alias("release_hour"), "weekday", "hour_pos",
+            rating.alias("predicted_rating"),
+        )
+        best = top_slots(slots, top_n if most is None else most)
+        others = [c for c in known.columns if c not in ("request_id", "release_date", "release_hour", "year", "weekday", "hour_pos")]
+        own = known.select("request_id", *[F.col(f"`{c}`") for c in others])
+        best = best.join(limits, "request_id").where(F.col("slot_rank") <= F.col("_limit")).drop("_limit")
+        return best.withColumn("year", F.substring("release_date", 1, 4).cast("int")).join(own, "request_id")
 
     def report_frame(self, spark: SparkSession) -> DataFrame:
         """The training report as one row."""
@@ -299,10 +336,10 @@ REPORT_SCHEMA = (
 )
 
 
-def stored_features(films: DataFrame, encoder: TargetEncoder, label: str) -> DataFrame:
+def stored_features(titles: DataFrame, encoder: TargetEncoder, label: str) -> DataFrame:
     """Rating, features and one uniform draw per importance round, written once."""
     draws = [F.rand(IMPORTANCE_SEED + i).alias(f"draw_{i}") for i in range(IMPORTANCE_ROUNDS)]
-    rows = feature_frame(films, encoder)
+    rows = feature_frame(titles, encoder)
     return materialize(
         rows.select(F.col("row.rating").cast("double").alias("rating"), *FEATURES, *draws), f"{label}-features"
     )
@@ -319,6 +356,11 @@ def _loaded(model: RatingModel | str) -> RatingModel:
     return model if isinstance(model, RatingModel) else RatingModel.load(SparkSession.active(), model)
 
 
+def _date(text: str) -> date:
+    year, month, day = map(int, text.strip().split("-"))
+    return date(year, month, day)
+
+
 def predict_rating(model: RatingModel | str, movie: DataFrame | dict) -> DataFrame:
     """Predicted ratings of requests: a DataFrame, or one film as a dict."""
     return _loaded(model).predict_requests(_as_frame(movie))
@@ -333,8 +375,10 @@ def recommend_release_slots(
     top_n: int = TOP_N,
 ) -> DataFrame:
     """Best release slots within one window: for a DataFrame by ``request_id``, or for one film."""
-    if window_end < window_start:
+    if _date(window_end) < _date(window_start):
         raise ValueError("the window ends before it starts")
+    if top_n < 1:
+        raise ValueError("top_n must be at least 1")
     requests = _as_frame(movie).withColumns(
         {"window_start": F.lit(window_start), "window_end": F.lit(window_end)}
     )

@@ -1,32 +1,39 @@
-"""Lineage cuts and staging tables, always in the folder the cluster shares."""
+"""Lineage cuts and staging tables, always in a folder the cluster shares."""
 
 from __future__ import annotations
 
-import tempfile
+import contextlib
+import contextvars
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Paths made within the innermost ``job_scratch``.
+_MADE: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("made", default=None)
+
 
 def scratch_dir(spark: SparkSession) -> str:
     """The shared scratch folder: ``spark.checkpoint.dir`` of the session.
 
-    Only a local session that names none gets a folder of its own, since every
-    executor of a cluster has to see what is written here.
+    A session that names none works below its warehouse, which all executors of a
+    cluster share as well.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder is None:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="catalog-fusion-")
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return folder
 
 
 def new_scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    made = _MADE.get()
+    if made is not None:
+        made.append(path)
+    return path
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -38,3 +45,21 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = new_scratch_path(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextlib.contextmanager
+def job_scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at its end, the scratch tables that were made inside.
+
+    For jobs that write their result elsewhere: nothing that is returned may
+    still read a scratch table.
+    """
+    made: list[str] = []
+    token = _MADE.set(made)
+    try:
+        yield
+    finally:
+        _MADE.reset(token)
+        for path in made:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

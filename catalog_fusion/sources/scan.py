@@ -2,24 +2,30 @@
 
 from __future__ import annotations
 
+import csv
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import partial, reduce
 from pathlib import PurePosixPath
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from catalog_fusion.schema import TEXT_NULL_MARKERS
 
+_OVERFLOW = "__overflow"
+
 
 @dataclass(frozen=True)
 class Source:
-    """One input table: a file, or a directory of part files with one layout."""
+    """One input table: a file, or a directory of part files."""
 
     path: str
     name: str | None = None
     sep: str | None = None
-    multiline: bool = False
 
     @property
     def label(self) -> str:
@@ -46,21 +52,71 @@ def null_markers_to_null(df: DataFrame) -> DataFrame:
     )
 
 
-def _plain_headers(columns: Sequence[str]) -> list[str]:
-    """Headers as the file has them: no byte order mark, and repeats told apart.
+def _plain_headers(cells: Sequence[str]) -> tuple[str, ...]:
+    """Column names from header cells: no byte order mark, repeats told apart by a count."""
+    names, seen = [], {}
+    for i, cell in enumerate(cells):
+        name = cell.lstrip("\ufeff").strip() or f"_c{i}"
+        count = seen[name.lower()] = seen.get(name.lower(), -1) + 1
+        names.append(f"{name}.{count}" if count else name)
+    return tuple(names)
+
+
+@dataclass(frozen=True)
+class Layout:
+    """What files of delimited text have in common, so that one scan reads them all."""
+
+    header: tuple[str, ...]
+    sep: str
+    multiline: bool
+
 
-    The reader appends their position to all headers that repeat. The first of
-    them gets its own name back, later ones a count.
+def text_layouts(spark: SparkSession, paths: Sequence[str], sep: str) -> dict[Layout, list[str]]:
+    """The files below ``paths`` by layout, in one distributed pass over their lines.
+
+    A file in which a line has an odd number of quotes may have line breaks inside
+    quotes and is read whole; all others can be split. One row per file reaches the
+    driver, which lists them in any case. Files without a line are left out.
     """
-    repeated = [c[: -len(str(i))] if c.endswith(str(i)) else c for i, c in enumerate(columns)]
-    bases = [c.lower() for c in repeated]
-    names, seen = [], {}
-    for i, column in enumerate(columns):
-        if repeated[i] != column and bases.count(bases[i]) > 1:
-            count = seen[bases[i]] = seen.get(bases[i], -1) + 1
-            column = f"{repeated[i]}.{count}" if count else repeated[i]
-        names.append(column.lstrip("\ufeff"))
-    return names if len(set(names)) == len(names) else list(columns)
+    lines = (
+        spark.read.text(list(paths))
+        .select(
+            "value",
+            F.col("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_block_start").alias("block"),
+            F.monotonically_increasing_id().alias("line"),
+        )
+        .where(F.length(F.trim("value")) > 0)
+    )
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    first = F.when(F.col("block") == 0, F.col("line"))
+    files = lines.groupBy("file").agg(
+        F.min_by("value", first).alias("header"), F.bool_or(quotes % 2 == 1).alias("multiline")
+    )
+    layouts: dict[Layout, list[str]] = {}
+    for row in files.orderBy("file").collect():
+        cells = next(csv.reader([row["header"]], delimiter=sep))
+        layouts.setdefault(Layout(_plain_headers(cells), sep, row["multiline"]), []).append(row["file"])
+    return layouts
+
+
+def read_layout(spark: SparkSession, layout: Layout, files: Sequence[str]) -> DataFrame:
+    """Files of one layout: every column a string, no value more than the header has names.
+
+    A row with more cells is an error, since it can not be told which are wrong.
+    """
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in (*layout.header, _OVERFLOW)])
+    raw = spark.read.schema(schema).csv(
+        [unquote(f) for f in files],
+        header=True,
+        sep=layout.sep,
+        quote='"',
+        escape='"',
+        encoding="UTF-8",
+        multiLine=layout.multiline,
+    )
+    long = F.concat(F.lit("a row has more cells than the header: "), F.concat_ws(layout.sep, *[F.col(f"`{c}`") for c in raw.columns]))
+    return raw.where(F.when(F.col(_OVERFLOW).isNotNull(), F.raise_error(long).cast("boolean")).otherwise(F.lit(True)))
 
 
 def scan_text(
@@ -69,28 +125,24 @@ def scan_text(
     *,
     sep: str | None = None,
     columns: Sequence[str] | None = None,
-    multiline: bool = False,
 ) -> DataFrame:
-    """Delimited text with a header; every column stays a string.
+    """Delimited text with headers; every column stays a string.
 
-    Compression follows the file suffix. ``multiline`` allows quoted line
-    breaks, at the price of one task per file.
+    Each file is read by its own header, and line breaks inside quotes are kept.
+    Compression follows the file suffix; files that one task has to read whole are
+    spread over the cluster after the scan.
     """
-    first = path if isinstance(path, str) else path[0]
-    raw = spark.read.csv(
-        path if isinstance(path, str) else list(path),
-        header=True,
-        inferSchema=False,
-        sep=sep or separator_of(first),
-        quote='"',
-        escape='"',
-        encoding="UTF-8",
-        multiLine=multiline,
-    )
-    raw = raw.toDF(*_plain_headers(raw.columns))
-    if columns is not None:
-        raw = raw.select(*[F.col(f"`{c}`") for c in columns])
-    return null_markers_to_null(raw)
+    paths = [path] if isinstance(path, str) else list(path)
+    parts = []
+    for layout, files in text_layouts(spark, paths, sep or separator_of(paths[0])).items():
+        part = read_layout(spark, layout, files).drop(_OVERFLOW)
+        wanted = layout.header if columns is None else [c for c in columns if c in layout.header]
+        part = null_markers_to_null(part.select(*[F.col(f"`{c}`") for c in wanted]))
+        parts.append(spread(part, files))
+    if not parts:
+        return spark.createDataFrame([], T.StructType([T.StructField(c, T.StringType()) for c in columns or []]))
+    rows = reduce(partial(DataFrame.unionByName, allowMissingColumns=True), parts)
+    return rows if columns is None else rows.select(*[F.col(f"`{c}`") for c in columns])
 
 
 def scan_parquet(
@@ -108,17 +160,21 @@ def scan(
     *,
     sep: str | None = None,
     columns: Sequence[str] | None = None,
-    multiline: bool = False,
 ) -> DataFrame:
     """Scan a table, choosing the format by its suffix."""
     if is_parquet(path):
         return scan_parquet(spark, path, columns=columns)
-    return scan_text(spark, path, sep=sep, columns=columns, multiline=multiline)
+    return scan_text(spark, path, sep=sep, columns=columns)
+
+
+def spread(df: DataFrame, files: Sequence[str]) -> DataFrame:
+    """Rebalance rows of files that cannot be split."""
+    return df.hint("rebalance") if any(_file_name(f).endswith(".gz") for f in files) else df
 
 
-def spread(df: DataFrame, path: str) -> DataFrame:
-    """Rebalance rows of a file that one task has to read whole."""
-    return df.hint("rebalance") if _file_name(path).endswith(".gz") else df
+def plain_path(path: str) -> str:
+    """A path or file URI without scheme and host, unquoted."""
+    return unquote(re.sub(r"^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?(?=/)", "", path)).rstrip("/")
 
 
 def parquet_row_count(spark: SparkSession, path: str) -> DataFrame:

@@ -7,7 +7,7 @@ from catalog_fusion.operators import collapse, conform, number
 from catalog_fusion.schema import UNIFIED_COLUMNS
 
 
-def films(spark, rows):
+def titles(spark, rows):
     """Conformed rows from dicts."""
     schema = ", ".join(f"`{c}` string" for c in UNIFIED_COLUMNS)
     data = [tuple(None if r.get(c) is None else str(r[c]) for c in UNIFIED_COLUMNS) for r in rows]
@@ -21,7 +21,7 @@ def by_key(df, *columns):
 
 
 def test_fields_rating_votes_and_sources(spark):
-    rows = films(
+    rows = titles(
         spark,
         [
             dict(imdb_id="tt1", rating=8.0, vote_count=100, source="b"),
@@ -46,7 +46,7 @@ def test_fields_rating_votes_and_sources(spark):
 
 
 def test_second_stage_uses_the_highest_votes_and_new_key(spark):
-    rows = films(
+    rows = titles(
         spark,
         [
             dict(imdb_id="tt1", title="The Film", year=2000, source="basics"),
@@ -64,7 +64,7 @@ def test_second_stage_uses_the_highest_votes_and_new_key(spark):
     assert len(merged) == 1
     assert merged[0]["rating"] == pytest.approx(5.0)  # weights 100 and 100, not 150 and 100
     assert merged[0]["source"] == "basics+ratings+pub"  # a composite name stays whole
-    # Untitled films stay apart, with and without an id.
+    # Untitled titles stay apart, with and without an id.
     assert sorted(str(r["imdb_id"]) for r in out if r["title_norm"] == "") == ["None", "None", "tt8", "tt9"]
 
 
@@ -102,7 +102,7 @@ def test_against_brute_force_with_a_hot_key(spark, parts):
     groups = {}
     for r in rows:
         groups.setdefault(r["imdb_id"], []).append(dict(r, director=(r["director"] or "").strip() or None))
-    out = by_key(collapse.collapse_by_id(films(spark, rows).repartition(parts)), "imdb_id")
+    out = by_key(collapse.collapse_by_id(titles(spark, rows).repartition(parts)), "imdb_id")
     assert len(out) == len(groups)
     for key, group in groups.items():
         want, got = expected_collapse(group), out[(key,)]
@@ -121,7 +121,7 @@ def test_hot_title_key_without_ids(spark):
             rows.append(dict(rating=5.0, source="b"))
         else:
             rows.append(dict(title=f"Cold {i % 50}", year=2000, rating=3.0, vote_count=1, source="c"))
-    merged = number.assign_movie_ids(collapse.resolve(films(spark, rows).repartition(9))).collect()
+    merged = number.assign_movie_ids(collapse.resolve(titles(spark, rows).repartition(9))).collect()
     hot = [r for r in merged if r["title_norm"] == "hot"]
     weighted = [(r["rating"], r["vote_count"]) for r in rows if r.get("title") in ("hot", "The Hot!")]
     assert len(hot) == 1 and hot[0]["vote_count"] == 598
@@ -131,8 +131,8 @@ def test_hot_title_key_without_ids(spark):
 
 
 def test_copies_do_not_fill_one_range(spark):
-    copies = films(spark, [dict(source="a")]).crossJoin(spark.range(0, 8000, 1, 6)).drop("id")
-    keyed = copies.withColumns({f"k{i}": c for i, c in enumerate(number.film_order())})
+    copies = titles(spark, [dict(source="a")]).crossJoin(spark.range(0, 8000, 1, 6)).drop("id")
+    keyed = copies.withColumns({f"k{i}": c for i, c in enumerate(number.title_order())})
     sizes = keyed.repartitionByRange(8, "k0", "k1", "k2", "k3", "k4").groupBy(F.spark_partition_id()).count().collect()
     assert len(sizes) == 8 and max(r["count"] for r in sizes) < 2000
 
@@ -142,7 +142,7 @@ def test_equal_votes_never_mix_rows(spark):
     rows = [dict(imdb_id="tt1", title=f"T{i}", director=f"D{i}", language=f"L{i}", vote_count=3) for i in range(40)]
     seen = set()
     for parts in (1, 3, 8):
-        r = collapse.collapse_by_id(films(spark, rows).repartition(parts)).first()
+        r = collapse.collapse_by_id(titles(spark, rows).repartition(parts)).first()
         seen.add((r["title"], r["director"], r["language"]))
     assert len(seen) == 1
     title, director, language = seen.pop()
@@ -150,7 +150,7 @@ def test_equal_votes_never_mix_rows(spark):
 
 
 def test_collapse_is_idempotent(spark):
-    rows = films(
+    rows = titles(
         spark, [dict(imdb_id=f"tt{i % 7}", title=f"F{i % 5}", year=2000, rating=i % 11, vote_count=i + 1, source="s") for i in range(50)]
     )
     once = collapse.resolve(rows)
@@ -166,7 +166,7 @@ def test_row_numbers_are_dense_with_one_hot_sort_key(spark):
 
 
 def test_resolution_shuffles_once_per_key(spark):
-    rows = films(spark, [dict(imdb_id="tt1", title="A", year=2000, source="s")])
-    plan = collapse.resolve(rows)._jdf.queryExecution().executedPlan().toString()
+    rows = titles(spark, [dict(imdb_id="tt1", title="A", year=2000, source="s")])
+    plan = collapse.resolve(rows, stored=True)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 2
     assert "BatchEvalPython" not in plan and "CartesianProduct" not in plan

@@ -55,7 +55,7 @@ def test_encoder_formula(spark):
     assert got["a"] == pytest.approx((2 * 6 + 18 * 7) / 20) == pytest.approx(6.9)
 
 
-@pytest.mark.parametrize("bounds", [{}, {"broadcast_bytes": 0}, {"broadcast_bytes": 0, "hot_keys": 1}])
+@pytest.mark.parametrize("bounds", [{}, {"broadcast_bytes": 0}])
 def test_encoder_against_brute_force_both_ways(spark, bounds):
     df, keys = lines(spark)
     encoder = encode.TargetEncoder.fit(df, ["k"], "y")
@@ -81,6 +81,22 @@ def test_encoder_plans(spark):
     assert "CartesianProduct" not in plan(encoder.transform(df, broadcast_bytes=0))
 
 
+def test_large_lookup_shuffles_rows_twice_whatever_the_columns(spark):
+    df, _ = lines(spark)
+    wide = df.withColumns({f"k{i}": F.col("k") for i in range(5)})
+    encoder = encode.TargetEncoder.fit(wide, ["k", *[f"k{i}" for i in range(5)]], "y")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = encoder.transform(wide, broadcast_bytes=0)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # Rows to the join, the lookup table to it, rows back together.
+    assert plan.count("Exchange hashpartitioning") == 3 and plan.count("Join") == 1
+    small = encoder.transform(wide)
+    assert sorted(map(str, out.collect())) == sorted(map(str, small.select(out.columns).collect()))
+
+
 def test_split(spark):
     years = spark.range(1000).select(F.col("id").cast("string").alias("movie_id"), (F.col("id") % 10 + 2000).cast("int").alias("year"))
     split = evaluate.temporal_split(years, [F.col("movie_id")])
@@ -110,6 +126,8 @@ def test_median_impute_keeps_empty_columns(spark):
     df = spark.createDataFrame([(1.0, None), (None, None), (3.0, None), (9.0, None)], "a double, b double")
     out = evaluate.median_impute(df, ["a", "b"]).collect()
     assert sorted(r["a"] for r in out) == [1.0, 3.0, 3.0, 9.0] and all(r["b"] is None for r in out)
+    two = spark.createDataFrame([(1.0,), (2.0,), (None,), (float("nan"),)], "a double")
+    assert sorted(r["a"] for r in evaluate.median_impute(two, ["a"]).collect()) == [1.0, 1.5, 1.5, 2.0]
 
 
 def test_profile(spark):
@@ -133,7 +151,10 @@ def test_slots_equal_scoring_one_by_one(spark):
     ]
     assert out[0]["weekday"] == "Sunday"
     assert slots.best_slots(slots.top_slots(grid, 4)).count() == 2
-    # Each task keeps its own best rows before the shuffle.
+    # Each task keeps its own best rows before the shuffle, with a column as well.
+    wish = slots.top_slots(grid.withColumn("wish", F.col("request_id") + 1), F.col("wish"), most=3)
+    assert "WindowGroupLimit" in wish._jdf.queryExecution().executedPlan().toString()
+    assert {r["request_id"]: r["count"] for r in wish.groupBy("request_id").count().collect()} == {1: 2, 2: 3}
     assert "WindowGroupLimit" in slots.top_slots(grid, 4)._jdf.queryExecution().executedPlan().toString()
 
 

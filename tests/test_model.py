@@ -4,29 +4,28 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from catalog_fusion.checks.queries import films
+from catalog_fusion.checks.queries import titles
 from catalog_fusion.functions.features import FEATURES
 from catalog_fusion.plans import rating_model as rm
 
-MOVIE = {
-    "title": "Deneme",
-    "director": "Brand#7",
-    "cast": "Brand#7, LARGE",
-    "genres": "Drama",
-    "budget_usd": 4_000_000.0,
-    "runtime_min": 128,
-    "language": "tr",
-    "country": "TR",
-    "release_date": "2026-11-20",
-    "release_hour": 19,
-    "year": 2026,
+WANTED = {
+    "title": "Harbour Lights",
+    "director": "Brand#12",
+    "cast": "Brand#12, PROMO, steel ring",
+    "genres": "Crime,Thriller",
+    "budget_usd": 1_250_000.0,
+    "runtime_min": 101,
+    "language": "en",
+    "country": "US",
+    "release_date": "2027-03-05",
+    "release_hour": 18,
 }
 
 
 @pytest.fixture(scope="module")
 def catalogue(spark):
-    """Fused films with ratings that follow year, hour and budget closely."""
-    rows = films(spark, "/root/testdata/sf0.01")
+    """Fused titles with ratings that follow year, hour and budget closely."""
+    rows = titles(spark, "/root/testdata/sf0.01")
     signal = 5 + (F.col("release_hour") - 12) / 8 + F.when(F.col("language") == "tr", 1).otherwise(0)
     return rows.withColumn("rating", F.when(F.col("movie_id") != "mv0000001", signal))
 
@@ -59,17 +58,31 @@ def test_ridge_equals_the_closed_form(spark, catalogue, model):
 
 
 def test_prediction_and_slots(spark, model):
-    rating = rm.predict_rating(model, MOVIE).first()["predicted_rating"]
+    rating = rm.predict_rating(model, WANTED).first()["predicted_rating"]
     assert 1.0 <= rating <= 10.0
-    slots = rm.recommend_release_slots(model, MOVIE, "2026-11-01", "2026-11-10", top_n=5).orderBy("slot_rank").collect()
-    assert len(slots) == 5
+    slots = rm.recommend_release_slots(model, WANTED, "2027-02-20", "2027-03-02", top_n=7).orderBy("slot_rank").collect()
+    assert len(slots) == 7
     scores = [s["predicted_rating"] for s in slots]
     assert scores == sorted(scores, reverse=True)
     best = slots[0]
-    alone = rm.predict_rating(model, MOVIE | {"release_date": best["release_date"], "release_hour": best["release_hour"]})
+    alone = rm.predict_rating(model, WANTED | {"release_date": best["release_date"], "release_hour": best["release_hour"]})
     assert round(alone.first()["predicted_rating"], 3) == pytest.approx(best["predicted_rating"], abs=1e-9)
     with pytest.raises(ValueError):
-        rm.recommend_release_slots(model, MOVIE, "2026-11-10", "2026-11-01")
+        rm.recommend_release_slots(model, WANTED, "2027-11-10", "2027-9-30")
+
+
+def test_requests_are_encoded_before_slots_are_made(spark, model):
+    wanted = rm._as_frame(WANTED).withColumns(
+        {"request_id": F.lit(1), "window_start": F.lit("2027-02-20"), "window_end": F.lit("2027-03-02"), "top_n": F.lit(4)}
+    )
+    best = model.recommend(wanted, top_n=F.col("top_n"))
+    plan = best._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
+    assert plan[plan.index("Generate explode") :].count("BroadcastHashJoin") == 6
+    rows = best.orderBy("slot_rank").collect()
+    fixed = model.recommend(wanted, top_n=4).orderBy("slot_rank").collect()
+    assert [(r["release_date"], r["release_hour"], r["title"], r["year"]) for r in rows] == [(r["release_date"], r["release_hour"], "Harbour Lights", 2027) for r in fixed]
+    assert len(rows) == 4
 
 
 def test_scoring_keeps_every_row_and_column(catalogue, model):
@@ -111,6 +124,6 @@ def test_tree_error_is_bounded(catalogue, model):
 def test_hot_keys_in_importance(spark, catalogue, model):
     """Only the features that matter gain error, however the rows are dealt."""
     rows = rm.stored_features(catalogue.filter("rating is not null"), model.encoder, "i")
-    scores = {r["feature"]: r["importance"] for r in rm.permutation_importance(rows, model.preparation, model.trees, 445).collect()}
+    scores = {r["feature"]: r["importance"] for r in rm.permutation_importance(rows, model.preparation, model.trees).collect()}
     assert set(scores) == set(FEATURES)
     assert scores["release_hour"] > 0.05 > abs(scores["genre_drama"])

@@ -9,7 +9,7 @@ from catalog_fusion.operators import conform
 
 def test_money(column):
     cases = {
-        "$1,200,000": 1_200_000.0, "$1.2M": 1.2, "1.200.000": None, "1-2": None, "-5": None, "-": None,
+        "$3,450,000": 3_450_000.0, "$7.5M": 7.5, "1.200.000": None, "1-2": None, "-5": None, "-": None,
         r"\N": None, "": None, None: None, " 7.": 7.0, ".5": 0.5, "0": None, "abc": None,
     }
     assert column(parse.parse_money, list(cases)) == list(cases.values())

@@ -18,10 +18,10 @@ def expected_title(value):
 
 def test_title_cases(column):
     cases = {
-        "The Last Olive Grove!": "last olive grove",
-        "Kış Uykusu": "kış uykusu",
+        "A Night by the River, Le Retour?": "night by river retour",
+        "Işık ve Gölge": "işık ve gölge",
         None: "",
-        "Mavi Saat İzmir": "mavi saat i zmir",
+        "Eski İskele": "eski i skele",
         "Straße": "strasse",
         "Once a Thief": "once thief",
         "a_b": "a_b",
