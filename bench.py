@@ -34,6 +34,8 @@ HEADLINE = [
     "merge_job",
 ]
 RUNS = 2
+# Trains the model in full; later runs would only read it, so its first run counts.
+TRAINING = "train_choose"
 
 
 def main() -> None:
@@ -64,6 +66,10 @@ def main() -> None:
             runs.append(time.perf_counter() - start)
         seconds[name] = round(statistics.median(runs[1:]), 3)
         print(name, seconds[name], file=sys.stderr, flush=True)
+    if not sys.argv[1:]:
+        start = time.perf_counter()
+        QUERIES[TRAINING](spark, sf_dir).write.format("noop").mode("overwrite").save()
+        seconds[TRAINING] = round(time.perf_counter() - start, 3)
     spark.stop()
     total = round(sum(seconds.values()), 3)
     scale = os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")
