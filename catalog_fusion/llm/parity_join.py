@@ -10,36 +10,45 @@ first ``n // 4 + 1`` of two such sets must have one in common (pigeonhole). Sket
 are joined on these blocks within bands of sizes, and candidates are verified on the
 sets themselves.
 
-Sets that are equal form a class and take part once. In each bucket the members are
-first compared with one of them, which settles families of near copies without forming
-their pairs; what is then still in different components is compared within the bucket,
-as pairs in small ones and by blocks of bit sketches in large ones.
+Sets that are equal form a class and take part once. Pairs of small buckets are counted:
+as the blocks that both could share are known, too few in common rule a pair out. All
+candidates then pass a second sketch, of one parity bit for each of some residues of the
+hashes, whose Hamming distance has the same bound, before whole sets are fetched.
+
+In each bucket the members are first compared with one of them, which settles families
+of near copies. What is then still in different components is compared within the
+bucket: the counted pairs of small ones, and in large ones, by blocks of bit sketches,
+the nearest pairs of each two components, then the next, until none is left.
 """
 
 from __future__ import annotations
 
 import functools
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from catalog_fusion.llm.tables import bound_batches, by_keys, content_key, result_schema, scan_row, whole_text
+from catalog_fusion.llm.tables import BROADCAST_KEYS, bound_batches, by_keys, content_key, result_schema, whole_text
 from catalog_fusion.scratch import materialize
 
 WORDS = 5
 #: Similarity at least ``NUMERATOR / DENOMINATOR``. The bounds below hold for 0.8 only.
 NUMERATOR, DENOMINATOR = 4, 5
-#: Documents of the sample that tells frequent blocks (which come last in the order), and
-#: blocks that count as frequent, most frequent first. Either only changes the order.
-SAMPLE, FREQUENT = 4000, 200_000
-#: Members of a bucket up to which what is left is compared as pairs, and of one block beyond.
-SMALL, BLOCK = 64, 512
+#: Share of the texts that tells frequent blocks (which come last in the order), and blocks
+#: that count as frequent, most frequent first. Either only changes the order.
+SAMPLE, FREQUENT = 1 / 16, 200_000
+#: Members of a bucket up to which pairs are counted, and of one block beyond.
+SMALL, BLOCK = 32, 512
 #: Parts of a bucket that may be large.
 PARTS = 64
+#: Pairs of two components that a large bucket gives in each round, nearest first.
+ROUNDS = (4, 256, 1 << 62)
 _BATCH_TEXT = 4 << 20
 
 _U = np.uint64
@@ -136,7 +145,9 @@ def signatures(hashes: np.ndarray, frequent: np.ndarray, whole: bool = False) ->
         block, value = sketch(hashes, band)
         salt = _U((band + 1) << 56)
         names = mix(mix(block + salt) ^ value)
-        late = np.isin(names, frequent) if len(frequent) else np.zeros(len(names), bool)
+        late = np.zeros(len(names), bool)
+        if len(frequent):
+            late = frequent[np.minimum(np.searchsorted(frequent, names), len(frequent) - 1)] == names
         if whole:
             out.append(names)
             continue
@@ -160,16 +171,9 @@ def _grouped(column: pa.Array) -> Iterator[tuple[int, int, list[bytes]]]:
             low, size, texts = i + 1, 0, []
 
 
-def _long_lists(rows: list[np.ndarray]) -> pa.Array:
-    offsets = pa.array(np.cumsum([0] + [len(r) for r in rows]), pa.int32())
-    return pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(rows).view(np.int64)))
-
-
 def _frequent(source: DataFrame) -> np.ndarray:
     """Blocks that three or more of a sample of different texts share."""
-    total = source.count()
-    rate = min(1.0, SAMPLE / max(1, total))
-    drawn = source.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(rate * (1 << 30)) + 1).select("text").distinct()
+    drawn = source.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(SAMPLE * (1 << 30))).select("text").distinct()
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.zeros(0, _U)
@@ -183,68 +187,141 @@ def _frequent(source: DataFrame) -> np.ndarray:
     return np.sort(np.array([r["name"] for r in rows], np.int64).view(_U))
 
 
-def _sketched(source: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """``key``, ``content``, ``n``, a 128-bit name of the set and its signatures."""
+def _names(sets: list[np.ndarray]) -> np.ndarray:
+    """A number for each set; of the empty set 0."""
+    halves = [[int(mix(s ^ _U(salt)).sum(dtype=_U)) for s in sets] for salt in (1, 2)]
+    named = mix(np.array(halves[0], _U)) ^ np.array(halves[1], _U)
+    return np.where([len(s) > 0 for s in sets], mix(named), _U(0)).view(np.int64)
+
+
+def _named(source: DataFrame) -> DataFrame:
+    """``key``, ``content``, the size of the set and its name, ``node``."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low, high, texts in _grouped(batch.column(2)):
                 sets = shingle_sets(texts)
-                names = [[int(mix(s ^ _U(salt)).sum(dtype=_U)) for s in sets] for salt in (1, 2)]
-                names = [pa.array(np.array(x, _U).view(np.int64)) for x in names]
-                sizes = pa.array([len(s) for s in sets], pa.int64())
-                lists = _long_lists([signatures(s, frequent) for s in sets])
                 front = [batch.column(i).slice(low, high - low) for i in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*front, sizes, *names, lists], names=["key", "content", "n", "set_a", "set_b", "names"])
+                sizes = pa.array([len(s) for s in sets], pa.int64())
+                yield pa.RecordBatch.from_arrays([*front, sizes, pa.array(_names(sets))], names=["key", "content", "n", "node"])
 
-    return source.mapInArrow(work, result_schema(source, "content long, n long, set_a long, set_b long, names array<long>"))
+    return source.mapInArrow(work, result_schema(source, "content long, n long, node long"))
 
 
-def _sets(source: DataFrame, contents: DataFrame) -> DataFrame:
-    """Packed shingle hashes of the texts with these contents, one row for each."""
-    rows = by_keys(source.select("content", "text"), F.col("content"), contents, "left_semi")
+def _sketched(source: DataFrame, frequent: np.ndarray) -> DataFrame:
+    """``name`` and ``node`` of the first blocks of every set. A task gives a set once."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            for _, _, texts in _grouped(batch.column(0)):
+                sets = shingle_sets(texts)
+                nodes = _names(sets)
+                new = [i for i, node in enumerate(nodes.tolist()) if len(sets[i]) and not (node in seen or seen.add(node))]
+                if new:
+                    names = [signatures(sets[i], frequent) for i in new]
+                    nodes = np.repeat(nodes[new], [len(x) for x in names])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(names).view(np.int64)), pa.array(nodes)], names=["name", "node"])
+
+    return source.select("text").mapInArrow(work, "name long, node long")
+
+
+def _of_nodes(source: DataFrame, classes: DataFrame, nodes: DataFrame, work, columns: str) -> DataFrame:
+    """What ``work`` makes of the sets with these numbers, one row for each."""
+    wanted = materialize(classes.join(nodes.distinct(), "node").select("content", "node"), "wanted")
+    side = F.broadcast(wanted) if wanted.count() <= BROADCAST_KEYS else wanted
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low, high, texts in _grouped(batch.column(1)):
-                packed = pa.array([s.tobytes() for s in shingle_sets(texts)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), packed], names=["content", "hashes"])
+                packed = pa.array([work(s).tobytes() for s in shingle_sets(texts)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), packed], names=["node", columns])
 
-    return rows.mapInArrow(work, "content long, hashes binary").dropDuplicates(["content"])
+    rows = source.select("content", "text").join(side, "content").select("node", "text")
+    return rows.mapInArrow(each, f"node long, {columns} binary").dropDuplicates(["node"])
 
 
-def _similar_sizes(a: Column, b: Column) -> Column:
-    return (DENOMINATOR * a >= NUMERATOR * b) & (DENOMINATOR * b >= NUMERATOR * a)
+def bit_sketch(hashes: np.ndarray) -> np.ndarray:
+    """One parity bit for each residue of the hashes: four bits to a shingle or more, packed."""
+    bits = 1 << max(10, int(4 * len(hashes) - 1).bit_length())
+    flips = np.bincount((hashes % _U(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(flips.astype(np.uint8)).view(_U)
 
 
-def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs ``x, y`` that are similar enough."""
-    left = sets.select(F.col("node").alias("x"), F.col("hashes").alias("hashes_x"))
-    right = sets.select(F.col("node").alias("y"), F.col("hashes").alias("hashes_y"))
+def folded(sketch: np.ndarray, words: int) -> np.ndarray:
+    """A sketch of fewer bits, as if made with them."""
+    while sketch.shape[-1] > words:
+        half = sketch.shape[-1] // 2
+        sketch = sketch[..., :half] ^ sketch[..., half:]
+    return sketch
+
+
+def sketch_distance(a: np.ndarray, b: np.ndarray) -> int:
+    words = min(len(a), len(b))
+    return int(np.bitwise_count(folded(a, words) ^ folded(b, words)).sum())
+
+
+def _paired(pairs: DataFrame, values: DataFrame, value: str, judge, keep: list[str]) -> DataFrame:
+    """The pairs ``x, y`` for which ``judge`` holds for their two packed values."""
+    left = values.select(F.col("node").alias("x"), F.col(value).alias("value_x"))
+    right = values.select(F.col("node").alias("y"), F.col(value).alias("value_y"))
+    joined = pairs.join(left, "x").join(right, "y").select(*keep, "value_x", "value_y")
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = []
-            for a, b in zip(batch.column(2), batch.column(3), strict=True):
-                a, b = np.frombuffer(a.as_buffer(), _U), np.frombuffer(b.as_buffer(), _U)
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                kept.append(DENOMINATOR * both >= NUMERATOR * (len(a) + len(b) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["x", "y"]).filter(pa.array(kept, pa.bool_()))
+            table = batch.to_pydict()
+            values = zip(table["value_x"], table["value_y"], strict=True)
+            sizes = zip(table["n_x"], table["n_y"], strict=True) if "n_x" in table else [None] * len(batch)
+            kept = [judge(np.frombuffer(a, _U), np.frombuffer(b, _U), n) for (a, b), n in zip(values, sizes, strict=False)]
+            yield batch.select(keep).filter(pa.array(kept, pa.bool_()))
+
+    return joined.mapInArrow(work, pairs.select(*keep).schema)
+
 
-    joined = pairs.join(left, "x").join(right, "y").select("x", "y", "hashes_x", "hashes_y")
-    return joined.mapInArrow(verify, "x long, y long")
+def _near(pairs: DataFrame, sketches: DataFrame, keep: list[str]) -> DataFrame:
+    """Those of the pairs, with sizes, that bit sketches do not rule out."""
+    return _paired(pairs, sketches, "bits", lambda a, b, n: 9 * sketch_distance(a, b) <= sum(n), [*keep, "n_x", "n_y"]).select(*keep)
 
 
-def bit_sketches(sets: list[np.ndarray], bits: int) -> np.ndarray:
-    """One parity bit for each residue of the hashes, packed."""
-    flipped = np.zeros((len(sets), bits), np.uint8)
-    for row, hashes in zip(flipped, sets, strict=True):
-        row[:] = np.bincount((hashes % _U(bits)).astype(np.int64), minlength=bits) & 1
-    return np.packbits(flipped, axis=1).view(_U)
+def _similar(a: np.ndarray, b: np.ndarray, _) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return DENOMINATOR * both >= NUMERATOR * (len(a) + len(b) - both)
 
 
-def _near_by_sketch(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs of a large bucket, in different components, that bit sketches don't rule out.
+def _similar_sizes(a: Column, b: Column) -> Column:
+    return (DENOMINATOR * a >= NUMERATOR * b) & (DENOMINATOR * b >= NUMERATOR * a)
+
+
+def _linked(source: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of the pairs ``x, y`` that are similar enough."""
+    nodes = pairs.select(F.explode(F.array("x", "y")).alias("node"))
+    sets = _of_nodes(source, classes, nodes, lambda s: s, "hashes")
+    return materialize(_paired(pairs, sets, "hashes", _similar, ["x", "y"]), "links")
+
+
+def _nearest(sketches: list[np.ndarray], sizes: np.ndarray, labels: np.ndarray, blocks: np.ndarray | None) -> list[tuple[int, int, int]]:
+    """``(distance, i, j)`` of pairs with different labels, and blocks if given, that may be linked."""
+    widths, out = np.array([len(s) for s in sketches]), []
+    for width in sorted(set(widths.tolist())):
+        own, above = np.flatnonzero(widths == width), np.flatnonzero(widths == 2 * width)
+        place = np.concatenate((own, above))
+        bits = np.stack([folded(sketches[p], width) for p in place])
+        for k in range(len(own)):
+            i, rest = own[k], place[k + 1 :]
+            low, high = np.minimum(sizes[i], sizes[rest]), np.maximum(sizes[i], sizes[rest])
+            fits = (labels[i] != labels[rest]) & (DENOMINATOR * low >= NUMERATOR * high)
+            if blocks is not None:
+                fits &= blocks[i] != blocks[rest]
+            at = np.flatnonzero(fits)
+            if len(at):
+                far = np.bitwise_count(bits[k] ^ bits[k + 1 :][at]).sum(1, dtype=np.int64)
+                near = 9 * far <= (low + high)[at]
+                out += [(d, int(i), int(j)) for d, j in zip(far[near].tolist(), rest[at][near].tolist(), strict=True)]
+    return out
+
+
+def _next_pairs(members: DataFrame, sketches: DataFrame, low: int, high: int) -> DataFrame:
+    """Of each two components in a large bucket, the pairs that come ``low`` to ``high`` by distance.
 
     A bucket is dealt into blocks of members, and two blocks meet in one group.
     """
@@ -252,30 +329,21 @@ def _near_by_sketch(members: DataFrame, sets: DataFrame) -> DataFrame:
     dealt = members.withColumn("blocks", F.ceil(F.col("size") / BLOCK)).withColumn("block", block)
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     met = dealt.withColumn("other", other).select(
-        "name", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "label"
+        "name", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "n", "label"
     )
 
-    def compare(frame):
-        import pandas as pd
-
-        hashes = [np.frombuffer(h, _U) for h in frame["hashes"]]
-        sizes = np.array([len(h) for h in hashes])
-        bits = 1 << max(10, int(4 * sizes.max() - 1).bit_length())
-        sketches, found = bit_sketches(hashes, bits), []
-        nodes, labels, blocks = (frame[c].to_numpy() for c in ("node", "label", "block"))
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        nodes, labels, blocks, sizes = (frame[c].to_numpy() for c in ("node", "label", "block", "n"))
         apart = frame["low"].iat[0] != frame["high"].iat[0]
-        for i in range(len(frame) - 1):
-            rest = slice(i + 1, None)
-            total = sizes[i] + sizes[rest]
-            fits = (labels[i] != labels[rest]) & (5 * np.minimum(sizes[i], sizes[rest]) >= 4 * np.maximum(sizes[i], sizes[rest]))
-            if apart:
-                fits &= blocks[i] != blocks[rest]
-            at = np.flatnonzero(fits)
-            far = np.bitwise_count(sketches[i] ^ sketches[i + 1 :][at]).sum(1, dtype=np.int64)
-            found += [(nodes[i], nodes[i + 1 + j]) for j in at[9 * far <= total[at]]]
-        return pd.DataFrame([(min(p), max(p)) for p in found], columns=["x", "y"], dtype="int64")
+        found, seen = [], Counter()
+        for _, i, j in sorted(_nearest([np.frombuffer(b, _U) for b in frame["bits"]], sizes, labels, blocks if apart else None)):
+            two = (min(labels[i], labels[j]), max(labels[i], labels[j]))
+            if low <= seen[two] < high:
+                found.append((min(nodes[i], nodes[j]), max(nodes[i], nodes[j])))
+            seen[two] += 1
+        return pd.DataFrame(found, columns=["x", "y"], dtype="int64")
 
-    return met.join(sets, "node").groupBy("name", "low", "high").applyInPandas(compare, "x long, y long")
+    return met.join(sketches, "node").groupBy("name", "low", "high").applyInPandas(compare, "x long, y long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -322,59 +390,72 @@ def jaccard_components(documents: DataFrame, key: str = "doc_id") -> DataFrame:
     """
     bound_batches(documents.sparkSession)
     source = documents.select(F.col(key).alias("key"), content_key().alias("content"), whole_text().alias("text"))
-    rows = materialize(_sketched(source, _frequent(source)).withColumn("row", scan_row()), "sketches")
-    classes = rows.where("n > 0").groupBy("set_a", "set_b", "n").agg(
-        F.min("row").alias("node"), F.min("key").alias("least"), F.min_by("content", "row").alias("content"), F.min_by("names", "row").alias("names")
-    )
+    rows = materialize(_named(source), "named")
+    classes = rows.where("n > 0").groupBy("node").agg(F.max("n").alias("n"), F.min("key").alias("least"), F.min("content").alias("content"))
     classes = materialize(classes, "classes")
-    sizes = classes.select("node", "n", "content")
     # Buckets that may be large are dealt into parts, each with a first member of its own.
     frequent = F.col("name").bitwiseAND(1) == 1
     part = Window.partitionBy("name", "part")
-    members = (
-        classes.select("node", F.explode("names").alias("name"))
+    buckets = (
+        _sketched(source, _frequent(source))
         .withColumn("part", F.when(frequent, F.pmod(F.xxhash64("node"), F.lit(PARTS))).otherwise(F.lit(0)))
-        .withColumns({"part_size": F.count("*").over(part), "part_first": F.min("node").over(part)})
-        .where((F.col("part_size") > 1) | frequent)
-    )
-    members = materialize(members, "buckets")
-    large = members.where(frequent).groupBy("name").agg(F.count("*").alias("size"), F.min("node").alias("first"))
-    members = (
-        members.join(large, "name", "left")
-        .withColumns({"size": F.coalesce("size", "part_size"), "first": F.coalesce("first", "part_first")})
-        .where("size > 1")
+        .withColumns({"part_first": F.min("node").over(part), "part_last": F.max("node").over(part)})
+        .where((F.col("part_first") != F.col("part_last")) | frequent)
+        .select("name", "node", "part_first")
+        .distinct()
     )
-
-    def of_similar_size(pairs: DataFrame) -> DataFrame:
-        n_x, n_y = (sizes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}")) for c in "xy")
-        return pairs.join(n_x, "x").join(n_y, "y").where(_similar_sizes(F.col("n_x"), F.col("n_y"))).select("x", "y")
-
-    stars = members.select(F.col("part_first").alias("x"), F.col("node").alias("y"))
-    stars = stars.unionByName(members.select(F.col("first").alias("x"), F.col("part_first").alias("y")))
-    stars = materialize(of_similar_size(stars.where("x != y").distinct()), "stars")
-    # Only members of buckets of three or more can still meet others than the first.
-    nodes = stars.select(F.explode(F.array("x", "y")).alias("node"))
-    nodes = nodes.unionByName(members.where("size > 2").select("node")).distinct()
-    held = materialize(sizes.join(nodes, "node").select("node", "content"), "candidates")
-    packed = _sets(source, held.select("content"))
-    sets = materialize(held.join(packed, "content").select("node", "hashes"), "sets")
-    links = materialize(_linked(stars, sets), "links")
+    buckets = materialize(buckets, "buckets")
+    bucket = buckets.groupBy("name").agg(F.count("*").alias("size"), F.min("node").alias("first")).where("size > 1")
+    members = buckets.join(bucket, "name").join(classes.select("node", "n"), "node")
+    members = materialize(members.select("name", "node", "n", "size", "first", "part_first"), "members")
+    small, large = members.where(F.col("size") <= SMALL), members.where(F.col("size") > SMALL)
+
+    # Of the first blocks of two linked sets, at most a ninth of both sizes differ.
+    often = large.groupBy("node").agg(F.count("*").alias("often"))
+    x = small.select("name", F.col("node").alias("x"), F.col("n").alias("n_x"), "first")
+    y = small.select("name", F.col("node").alias("y"), F.col("n").alias("n_y"))
+    met = x.join(y, "name").where((F.col("x") < F.col("y")) & _similar_sizes(F.col("n_x"), F.col("n_y")))
+    met = met.groupBy("x", "y", "n_x", "n_y").agg(F.count("*").alias("shared"), F.max(F.col("x") == F.col("first")).alias("star"))
+    often_x, often_y = (often.select(F.col("node").alias(c), F.col("often").alias(f"often_{c}")) for c in "xy")
+    met = met.join(often_x, "x", "left").join(often_y, "y", "left")
+    most = F.col("shared") + F.least(F.coalesce("often_x", F.lit(0)), F.coalesce("often_y", F.lit(0)))
+    read = F.floor(F.least("n_x", "n_y") / 4) + 1
+    pairs = met.where(read - most <= F.floor((F.col("n_x") + F.col("n_y")) / 9)).select("x", "y", "n_x", "n_y", "star")
+    stars = large.select(F.col("part_first").alias("x"), F.col("node").alias("y"))
+    stars = stars.unionByName(large.select(F.col("first").alias("x"), F.col("part_first").alias("y"))).where("x != y").distinct()
+    of_x, of_y = (classes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}")) for c in "xy")
+    stars = stars.join(of_x, "x").join(of_y, "y").where(_similar_sizes(F.col("n_x"), F.col("n_y")))
+    pairs = pairs.unionByName(stars.select("x", "y", "n_x", "n_y", F.lit(True).alias("star")))
+    pairs = materialize(pairs, "pairs")
+
+    nodes = pairs.select(F.explode(F.array("x", "y")).alias("node")).unionByName(large.select("node"))
+    sketches = materialize(_of_nodes(source, classes, nodes, bit_sketch, "bits"), "bits")
+    pairs = materialize(_near(pairs, sketches, ["x", "y", "star"]), "near")
+    links = _linked(source, classes, pairs.where("star").select("x", "y").distinct())
     known = materialize(components(links), "components")
-    # Buckets that still hold several components.
-    left = members.where("size > 2").join(known, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = left.groupBy("name").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high")
-    left = left.join(mixed.select("name"), "name")
-    left = materialize(left.where((F.col("node") != F.col("first")) | frequent | (F.col("size") > SMALL)).select("name", "size", "node", "label"), "left")
-    small = left.where(F.col("size") <= SMALL)
-    ours, theirs = small.select("name", F.col("node").alias("x"), F.col("label").alias("label_x")), small.select("name", F.col("node").alias("y"), F.col("label").alias("label_y"))
-    pairs = ours.join(theirs, "name").where("x < y and label_x != label_y").select("x", "y").distinct()
-    pairs = of_similar_size(pairs).unionByName(_near_by_sketch(left.where(F.col("size") > SMALL), sets)).distinct()
-    links = links.unionByName(materialize(_linked(pairs, sets), "links"))
-    known = components(links)
-    named = classes.select("set_a", "set_b", "n", "node", "least").join(known, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+    # What still is in different components.
+    rest = pairs.where("not star").select("x", "y")
+    done = 0
+    for upto in ROUNDS:
+        labelled = large.join(known, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        mixed = labelled.groupBy("name").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high")
+        labelled = labelled.join(mixed.select("name"), "name").select("name", "size", "node", "n", "label")
+        more = materialize(_next_pairs(labelled, sketches, done, upto).distinct(), "next")
+        label_x, label_y = (known.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}")) for c in "xy")
+        rest = rest.join(label_x, "x", "left").join(label_y, "y", "left")
+        rest = rest.where(F.coalesce("label_x", "x") != F.coalesce("label_y", "y")).select("x", "y")
+        todo = materialize(rest.unionByName(more).distinct(), "rest")
+        if not todo.isEmpty():
+            links = links.unionByName(_linked(source, classes, todo))
+            known = materialize(components(links), "components")
+        if more.isEmpty():
+            break
+        rest, done = todo.limit(0), upto
+    named = classes.select("node", "least").join(known, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    by_set = named.join(least, "label").select("set_a", "set_b", "n", F.col("label").alias("component"), "component_id")
-    out = rows.join(by_set, ["set_a", "set_b", "n"], "left")
+    by_set = named.join(least, "label").select("node", F.col("label").alias("component"), "component_id")
+    out = rows.join(by_set, "node", "left")
     return out.select(
         F.col("key").alias(key), "content", F.col("n").alias("n_shingles"), "component", F.coalesce("component_id", "key").alias("component_id")
     )
