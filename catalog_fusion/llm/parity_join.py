@@ -44,11 +44,11 @@ NUMERATOR, DENOMINATOR = 4, 5
 #: that count as frequent, most frequent first. Either only changes the order.
 SAMPLE, FREQUENT = 1 / 16, 200_000
 #: Members of a bucket up to which pairs are counted, and of one block beyond.
-SMALL, BLOCK = 32, 512
+SMALL, BLOCK = 32, 2048
 #: Parts of a bucket that may be large.
 PARTS = 64
 #: Pairs of two components that a large bucket gives in each round, nearest first.
-ROUNDS = (4, 256, 1 << 62)
+ROUNDS = (16, 1 << 62)
 _BATCH_TEXT = 4 << 20
 
 _U = np.uint64
