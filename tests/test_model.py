@@ -72,17 +72,17 @@ def test_prediction_and_slots(spark, model):
 
 
 def test_requests_are_encoded_before_slots_are_made(spark, model):
-    wanted = rm._as_frame(WANTED).withColumns(
-        {"request_id": F.lit(1), "window_start": F.lit("2027-02-20"), "window_end": F.lit("2027-03-02"), "top_n": F.lit(4)}
-    )
+    window = {"window_start": "2027-02-20", "window_end": "2027-03-02"}
+    wanted = spark.createDataFrame([WANTED | window | {"request_id": i, "top_n": i + 2} for i in (1, 2)])
     best = model.recommend(wanted, top_n=F.col("top_n"))
     plan = best._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
     assert plan[plan.index("Generate explode") :].count("BroadcastHashJoin") == 6
-    rows = best.orderBy("slot_rank").collect()
-    fixed = model.recommend(wanted, top_n=4).orderBy("slot_rank").collect()
-    assert [(r["release_date"], r["release_hour"], r["title"], r["year"]) for r in rows] == [(r["release_date"], r["release_hour"], "Harbour Lights", 2027) for r in fixed]
-    assert len(rows) == 4
+    fixed = model.recommend(wanted, top_n=4)
+    place = lambda df: sorted((r["request_id"], r["slot_rank"], r["release_date"], r["release_hour"], r["title"], r["year"]) for r in df.collect())
+    rows = place(best)
+    assert [r[:2] for r in rows] == [(1, 1), (1, 2), (1, 3), (2, 1), (2, 2), (2, 3), (2, 4)]
+    assert set(rows) < set(place(fixed)) and {r[4:] for r in rows} == {("Harbour Lights", 2027)}
 
 
 def test_scoring_keeps_every_row_and_column(catalogue, model):
