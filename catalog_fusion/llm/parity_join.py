@@ -49,7 +49,7 @@ SMALL, BLOCK = 32, 2048
 PARTS = 64
 #: Pairs of two components that a large bucket gives in each round, nearest first.
 ROUNDS = (16, 1 << 62)
-_BATCH_TEXT = 4 << 20
+_BATCH_TEXT = 1 << 20
 
 _U = np.uint64
 _SPACES = np.zeros(256, bool)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,7 +29,9 @@ def scan_row() -> Column:
 
 
 #: Of one Arrow batch that a task hands to Python. A single longer row is a batch of its own.
-BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+#: Of the texts of a batch that are worked on at once, in characters.
+RUN_CHARS = 1 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:
@@ -61,3 +65,15 @@ def result_schema(source: DataFrame, more: str) -> T.StructType:
     """The type of the column ``key`` as it is, and ``more``."""
     added = T.StructType.fromDDL(more)
     return T.StructType([source.schema["key"], *added.fields])
+
+
+def runs_of(sizes: Iterable[int]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts, one by one or up to about ``RUN_CHARS`` together."""
+    low = held = high = 0
+    for size in sizes:
+        high, held = high + 1, held + size
+        if held >= RUN_CHARS:
+            yield low, high
+            low, held = high, 0
+    if low < high:
+        yield low, high

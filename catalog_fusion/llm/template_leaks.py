@@ -33,7 +33,7 @@ SHARE = 0.25
 #: Bits of the map of benchmark windows.
 MAP_BITS = 1 << 22
 _REMEMBERED = 300_000
-_BATCH_TEXT = 4 << 20
+_BATCH_TEXT = 1 << 20
 
 #: Units of measure, after a number only.
 UNITS = frozenset(

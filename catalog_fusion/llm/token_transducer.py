@@ -29,12 +29,12 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401  used as pa.compute
 from pyspark.sql import DataFrame
 
-from catalog_fusion.llm.tables import bound_batches, result_schema, whole_text
+from catalog_fusion.llm.tables import bound_batches, result_schema, runs_of, whole_text
 
 #: Characters read in one lock step, and the length of its chunks.
 SLICE, CHUNK = 1 << 21, 1 << 10
 #: Compiled transitions and counted pre-tokens that a worker keeps, and the longest of the latter.
-TRANSITIONS, REMEMBERED, LONGEST = 1_000_000, 400_000, 64
+TRANSITIONS, REMEMBERED, LONGEST = 600_000, 300_000, 64
 
 # Classes of characters. The contraction letters have classes of their own.
 _LETTER, _NUMBER, _OTHER, _QUOTE, _BLANK, _WHITE, _STMD, _E, _L, _RV, _END = range(11)
@@ -322,7 +322,8 @@ def count_tokens(documents: DataFrame, tokenizer: str, key: str = "doc_id", text
         for batch in batches:
             texts = batch.column(1)
             sizes = pa.compute.binary_length(texts).cast(pa.int64())
-            counts = pa.array(counter.counts(texts.to_pylist()), pa.int64())
+            runs = runs_of(pa.compute.utf8_length(texts).to_pylist())
+            counts = pa.array([n for a, b in runs for n in counter.counts(texts[a:b].to_pylist())], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), sizes, counts], names=["key", "n_bytes", "n_tokens"])
 
     return source.mapInArrow(count, result_schema(source, "n_bytes long, n_tokens long")).withColumnRenamed("key", key)

@@ -24,13 +24,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from catalog_fusion.llm.tables import bound_batches, result_schema, whole_text
+from catalog_fusion.llm.tables import bound_batches, result_schema, runs_of, whole_text
 
 UNDETERMINED = "und"
 #: Words of a block that are labelled, and those read before and behind them.
 BLOCK, CONTEXT = 192, 32
 #: Blocks in one lock step, and words whose potentials a worker keeps.
-_ROWS, _REMEMBERED = 1024, 300_000
+_ROWS, _REMEMBERED = 1024, 150_000
 _WORD = regex.compile(r"\p{L}+")
 
 
@@ -103,26 +103,29 @@ class LanguageField:
     weights: np.ndarray  # the last row, of unknown features, is 0
     start: np.ndarray  # logs
     moves: np.ndarray  # logs
-    memory: dict[str, np.ndarray] = field(default_factory=dict, repr=False)
+    memory: dict[str, int] = field(default_factory=dict, repr=False)  # places in ``factors``
+    factors: np.ndarray | None = field(default=None, repr=False)
 
     def __getstate__(self) -> dict:
-        return {**self.__dict__, "memory": {}}
+        return {**self.__dict__, "memory": {}, "factors": None}
 
     def _potentials(self, words: list[str]) -> np.ndarray:
         """A row for each word: factors of the languages, the greatest 1."""
         known = self.memory
-        if len(known) > _REMEMBERED:
-            known.clear()
         new = list(set(words).difference(known))
+        if self.factors is None or len(known) + len(new) > len(self.factors):
+            known.clear()
+            new = list(set(words))
+            self.factors = np.empty((max(_REMEMBERED, len(new)), len(self.languages)), np.float32)
         if new:
             none, find = len(self.index), self.index.get
             ids = [[find(f, none) for f in features_of(w)] for w in new]
             starts = np.cumsum([0] + [len(x) for x in ids[:-1]])
             flat = np.fromiter((i for x in ids for i in x), np.int64)
             scores = np.add.reduceat(self.weights[flat], starts, 0)
-            factors = np.exp(np.maximum(scores - scores.max(1, keepdims=True), -30)).astype(np.float32)
-            known.update(zip(new, factors, strict=True))
-        return np.array([known[w] for w in words], np.float32)
+            self.factors[len(known) : len(known) + len(new)] = np.exp(np.maximum(scores - scores.max(1, keepdims=True), -30))
+            known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
+        return self.factors[np.fromiter(map(known.__getitem__, words), np.int64, len(words))]
 
     def posteriors(self, texts: list[list[str]]) -> np.ndarray:
         """Summed posteriors of the words of each text, ``[text, language]``."""
@@ -151,7 +154,9 @@ class LanguageField:
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
         """Language and its share of the words' posteriors; undetermined without letters."""
-        sums = self.posteriors([words_of(t) for t in texts])
+        runs = runs_of(map(len, texts))
+        none = np.zeros((0, len(self.languages)))
+        sums = np.concatenate([none, *(self.posteriors([words_of(t) for t in texts[a:b]]) for a, b in runs)])
         total = sums.sum(1)
         best = sums.argmax(1)
         names = [self.languages[b] if n > 0 else UNDETERMINED for b, n in zip(best, total, strict=True)]

@@ -11,7 +11,7 @@ from catalog_fusion.llm.tables import table
 from catalog_fusion.scratch import materialize
 
 #: Share of a text's words that its language has at least. Texts without letters have 0.
-LANGUAGE_SHARE = 0.4
+LANGUAGE_SHARE = 0.3
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
