@@ -3,9 +3,10 @@
 Numbers, the units behind them, and names are replaced with typed placeholders, and the
 windows of the templates that documents and benchmark items share are found by a hash
 join. Each shared window carries what its placeholders stood for on both sides. Along an
-alignment of a document with an item these slots must be consistent: equal values on
-one side stand for equal values on the other. So a question that was only given new
-numbers and names is caught, and text that merely has the same shape is not.
+alignment of a document with an item these slots must be consistent: equal values of
+the item stand for equal values of the document. So a question that was only given new
+numbers and names is caught, and text that merely has the same shape is not. A clash
+takes the windows that hold it, not the whole alignment.
 
 Before the join, windows of documents pass a bit map of the benchmark's windows, whose
 size is fixed; it drops most of them and never one that has a partner.
@@ -167,6 +168,38 @@ def _rows(source: DataFrame, sizes: list[int] | None, bits: np.ndarray | None) -
     return source.mapInArrow(work, result_schema(source, _FIELDS))
 
 
+def _same(pairs: Column) -> Column:
+    return F.forall(pairs, lambda p: p["slots"] == p["item_slots"])
+
+
+def _consistent(aligned: DataFrame) -> DataFrame:
+    """Alignments with those of their windows ``found`` whose slot ``pairs`` can stand together.
+
+    All of them, if each item value stands for one document value; two may become the same
+    one. Where values clash, readings that are one-to-one are settled, the item's own values
+    first, then the commonest, and windows that hold another drop out, as if a literal had
+    changed. Windows with the item's own values always stay.
+    """
+
+    def rank(p: Column) -> Column:
+        times = F.size(F.filter("held", lambda q: q == p))
+        return F.struct((p["slots"] != p["item_slots"]).alias("other"), (-times).alias("times"), p.alias("pair"))
+
+    def settle(kept: Column, p: Column) -> Column:
+        taken = F.exists(kept, lambda k: (k["slots"] == p["slots"]) | (k["item_slots"] == p["item_slots"]))
+        return F.when(taken, kept).otherwise(F.concat(kept, F.array(p)))
+
+    def stays(window: Column) -> Column:
+        return _same(window["pairs"]) | F.forall(window["pairs"], lambda p: F.array_contains("reading", p))
+
+    clash = F.size("pairs") > F.size(F.array_distinct("pairs.item_slots"))
+    ranked = F.transform(F.array_sort(F.transform("pairs", rank)), lambda r: r["pair"])
+    aligned = aligned.withColumn("held", F.flatten("found.pairs")).withColumn("pairs", F.array_distinct("held")).withColumn("clash", clash)
+    aligned = aligned.withColumn("ranked", F.when(F.col("clash"), ranked))
+    aligned = aligned.withColumn("reading", F.aggregate("ranked", F.slice("ranked", 1, 0), settle))
+    return aligned.withColumn("found", F.when(F.col("clash"), F.filter("found", stays)).otherwise(F.col("found")))
+
+
 def find_leaks(documents: DataFrame, benchmark: DataFrame, key: str | Column = "doc_id", share: float = SHARE) -> DataFrame:
     """Documents that hold benchmark items: a row for each pair.
 
@@ -195,17 +228,11 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, key: str | Column = "
     found = _rows(source, sizes, bits).select("key.row", "key.id", "at", "name", "slots")
     line = ["row", "id", "item_id", "shift"]
     matched = found.join(items, "name").withColumn("shift", F.col("at") - F.col("item_at"))
-    pair = F.arrays_zip("slots", "item_slots")
-    aligned = matched.groupBy(*line).agg(
-        F.collect_set("name").alias("names"), F.array_distinct(F.flatten(F.collect_set(pair))).alias("pairs")
-    )
-    # Each value stands for one: as many pairs as there are values on either side.
-    count = F.size("pairs")
-    consistent = (count == F.size(F.array_distinct("pairs.slots"))) & (count == F.size(F.array_distinct("pairs.item_slots")))
-    same = F.forall("pairs", lambda p: p["slots"] == p["item_slots"])
+    pairs = F.arrays_zip("slots", "item_slots").alias("pairs")
+    aligned = matched.groupBy(*line).agg(F.collect_list(F.struct("name", pairs)).alias("found"))
     held = (
-        aligned.where(consistent)
-        .select("row", "id", "item_id", F.explode("names").alias("name"), same.alias("same"))
+        _consistent(aligned).select("row", "id", "item_id", F.explode("found").alias("found"))
+        .select("row", "id", "item_id", "found.name", _same(F.col("found.pairs")).alias("same"))
         .groupBy("row", "id", "item_id")
         .agg(F.countDistinct("name").alias("windows"), F.min("same").alias("verbatim"))
     )
