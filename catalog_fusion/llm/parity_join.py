@@ -333,13 +333,17 @@ def _next_pairs(members: DataFrame, sketches: DataFrame, low: int, high: int) ->
     )
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        nodes, labels, blocks, sizes = (frame[c].to_numpy() for c in ("node", "label", "block", "n"))
         apart = frame["low"].iat[0] != frame["high"].iat[0]
         found, seen = [], Counter()
-        for _, i, j in sorted(_nearest([np.frombuffer(b, _U) for b in frame["bits"]], sizes, labels, blocks if apart else None)):
+        # Places in the frame depend on the order of fetches. Ordered by nodes, ranks are the
+        # same in every round, so that a round skips what earlier ones gave and nothing else.
+        frame = frame.sort_values("node")
+        nodes, labels, blocks, sizes = (frame[c].to_numpy() for c in ("node", "label", "block", "n"))
+        near = _nearest([np.frombuffer(b, _U) for b in frame["bits"]], sizes, labels, blocks if apart else None)
+        for _, i, j in sorted((d, min(i, j), max(i, j)) for d, i, j in near):
             two = (min(labels[i], labels[j]), max(labels[i], labels[j]))
             if low <= seen[two] < high:
-                found.append((min(nodes[i], nodes[j]), max(nodes[i], nodes[j])))
+                found.append((nodes[i], nodes[j]))
             seen[two] += 1
         return pd.DataFrame(found, columns=["x", "y"], dtype="int64")
 
