@@ -8,6 +8,9 @@ the item stand for equal values of the document. So a question that was only giv
 numbers and names is caught, and text that merely has the same shape is not. A clash
 takes the windows that hold it, not the whole alignment.
 
+A capitalised word that opens a sentence may be a name or not. Windows that hold one are
+made in both forms, and count as found if either form joins.
+
 Before the join, windows of documents pass a bit map of the benchmark's windows, whose
 size is fixed; it drops most of them and never one that has a partner.
 """
@@ -35,6 +38,8 @@ SHARE = 0.25
 MAP_BITS = 1 << 22
 _REMEMBERED = 300_000
 _BATCH_TEXT = 1 << 20
+#: Windows whose forms are made at once.
+_FORMED = 1 << 15
 
 #: Units of measure, after a number only.
 UNITS = frozenset(
@@ -77,6 +82,11 @@ class _Tokens(dict):
 
 def canonical(texts: list[str], tokens: _Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Text number, template value, own value and placeholder flag of every word, in order."""
+    return _words(texts, tokens)[:4]
+
+
+def _words(texts: list[str], tokens: _Tokens) -> tuple[np.ndarray, ...]:
+    """What ``canonical`` gives, and whether a word opens a sentence and may be a name as well."""
     found = [_TOKEN.findall(t) for t in texts]
     numbers = np.fromiter(map(tokens.__getitem__, chain.from_iterable(found)), np.int64)
     owner = np.repeat(np.arange(len(texts)), [len(f) for f in found])
@@ -86,30 +96,58 @@ def canonical(texts: list[str], tokens: _Tokens) -> tuple[np.ndarray, np.ndarray
     before = np.concatenate(([_STOP], kinds[:-1])) if len(kinds) else kinds
     if len(owner):
         before[np.flatnonzero(np.diff(owner, prepend=-1))] = _STOP
-    kinds = np.where((kinds == _NAME) & (before == _STOP), _LITERAL, kinds)
+    either = (kinds == _NAME) & (before == _STOP)
+    kinds = np.where(either, _LITERAL, kinds)
     kinds = np.where((kinds == _UNIT) & (before != _NUMBER), _LITERAL, kinds)
     kept = kinds != _STOP
-    owner, kinds, values = owner[kept], kinds[kept], values[kept]
-    return owner, np.where(kinds == _LITERAL, values, kinds.astype(_U)), values, kinds != _LITERAL
+    owner, kinds, values, either = owner[kept], kinds[kept], values[kept], either[kept]
+    return owner, np.where(kinds == _LITERAL, values, kinds.astype(_U)), values, kinds != _LITERAL, either
+
+
+def _mixed(rolled: np.ndarray) -> np.ndarray:
+    rolled = (rolled ^ (rolled >> _U(33))) * _U(0xFF51AFD7ED558CCD)
+    return rolled ^ (rolled >> _U(33))
 
 
-def _windows(owner: np.ndarray, template: np.ndarray, slots: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """First word and hash of each window with literals enough."""
+def _windows(
+    owner: np.ndarray, template: np.ndarray, slots: np.ndarray, either: np.ndarray, size: int, bits: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First word, hash, hash without more names, and names by place of each window with literals enough.
+
+    A window has a form for each choice of the words that may be names; those not in ``bits`` go.
+    """
     count = max(0, len(owner) - size + 1)
     rng = np.random.default_rng(20261201 + size)
+    factors = rng.integers(0, 1 << 63, size, dtype=_U) | _U(1)
+    terms = template ^ (template >> _U(31))
     rolled = np.full(count, size, _U)
-    for factor, j in zip(rng.integers(0, 1 << 63, size, dtype=_U) | _U(1), range(size), strict=True):
-        rolled += (template[j : j + count] ^ (template[j : j + count] >> _U(31))) * factor
-    rolled = (rolled ^ (rolled >> _U(33))) * _U(0xFF51AFD7ED558CCD)
-    rolled ^= rolled >> _U(33)
+    for j in range(size):
+        rolled += terms[j : j + count] * factors[j]
     filled = np.concatenate(([0], np.cumsum(slots)))
-    literals = size - (filled[size : size + count] - filled[:count])
-    good = (owner[:count] == owner[size - 1 : size - 1 + count]) & (literals >= min(LITERALS, (size + 1) // 2))
-    at = np.flatnonzero(good)
-    return at, rolled[at]
-
-
-_FIELDS = "at long, size int, name long, slots array<long>"
+    spare = size - (filled[size : size + count] - filled[:count]) - min(LITERALS, (size + 1) // 2)
+    good = np.flatnonzero((owner[:count] == owner[size - 1 : size - 1 + count]) & (spare >= 0))
+    out = []
+    for low in range(0, len(good), _FORMED):
+        at = good[low : low + _FORMED]
+        form, named = rolled[at], np.zeros(len(at), np.uint8)
+        for j in range(size):
+            more = np.flatnonzero(either[at + j] & (np.bitwise_count(named) < spare[at]))
+            if len(more):
+                other = form[more] + (_U(_NAME) - terms[at[more] + j]) * factors[j]
+                form, named = np.concatenate((form, other)), np.concatenate((named, named[more] | np.uint8(1 << j)))
+                at = np.concatenate((at, at[more]))
+        names = _mixed(form)
+        if bits is not None:
+            place = (names % _U(MAP_BITS)).astype(np.int64)
+            hit = (bits[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
+            at, names, named = at[hit], names[hit], named[hit]
+        out.append((at, names, _mixed(rolled[at]), named))
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, _U), np.zeros(0, _U), np.zeros(0, np.uint8)
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+_FIELDS = "at long, size int, name long, window long, slots array<long>"
 
 
 def _window_rows(keys: pa.Array, texts: list[str], tokens: _Tokens, sizes: list[int] | None, bits: np.ndarray | None) -> pa.RecordBatch:
@@ -118,27 +156,23 @@ def _window_rows(keys: pa.Array, texts: list[str], tokens: _Tokens, sizes: list[
         tokens.clear()
         tokens.kinds.clear()
         tokens.values.clear()
-    owner, template, values, slots = canonical(texts, tokens)
+    owner, template, values, slots, either = _words(texts, tokens)
     first = np.searchsorted(owner, np.arange(len(texts)))
     rows = []
     if sizes is None:
         lengths = np.minimum(np.bincount(owner, minlength=len(texts)), WINDOW)
         for size in sorted(set(lengths.tolist()) - {0}):
-            at, names = _windows(owner, template, slots, size)
-            own = lengths[owner[at]] == size
-            rows.append((at[own], names[own], size))
+            found = _windows(owner, template, slots, either, size)
+            own = lengths[owner[found[0]]] == size
+            rows.append((*(x[own] for x in found), np.full(own.sum(), size)))
     else:
         for size in sizes:
-            at, names = _windows(owner, template, slots, size)
-            if bits is not None:
-                place = (names % _U(MAP_BITS)).astype(np.int64)
-                hit = (bits[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
-                at, names = at[hit], names[hit]
-            rows.append((at, names, size))
-    at = np.concatenate([r[0] for r in rows]) if rows else np.zeros(0, np.int64)
-    names = np.concatenate([r[1] for r in rows]) if rows else np.zeros(0, _U)
-    spans = np.concatenate([np.full(len(r[0]), r[2]) for r in rows]) if rows else at
-    lists = [values[a : a + n][slots[a : a + n]] for a, n in zip(at.tolist(), spans.tolist(), strict=True)]
+            found = _windows(owner, template, slots, either, size, bits)
+            rows.append((*found, np.full(len(found[0]), size)))
+    none = (np.zeros(0, np.int64), np.zeros(0, _U), np.zeros(0, _U), np.zeros(0, np.uint8), np.zeros(0, np.int64))
+    at, names, plain, named, spans = (np.concatenate(x) for x in zip(none, *rows, strict=True))
+    chosen = (named[:, None] >> np.arange(WINDOW, dtype=np.uint8) & 1).astype(bool)
+    lists = [values[a : a + n][slots[a : a + n] | c[:n]] for a, n, c in zip(at.tolist(), spans.tolist(), chosen, strict=True)]
     offsets = pa.array(np.cumsum([0] + [len(x) for x in lists]), pa.int32())
     flat = np.concatenate(lists) if lists else np.zeros(0, _U)
     return pa.RecordBatch.from_arrays(
@@ -147,9 +181,10 @@ def _window_rows(keys: pa.Array, texts: list[str], tokens: _Tokens, sizes: list[
             pa.array(at - first[owner[at]], pa.int64()),
             pa.array(spans, pa.int32()),
             pa.array(names.view(np.int64)),
+            pa.array(plain.view(np.int64)),
             pa.ListArray.from_arrays(offsets, pa.array(flat.view(np.int64))),
         ],
-        names=["key", "at", "size", "name", "slots"],
+        names=["key", "at", "size", "name", "window", "slots"],
     )
 
 
@@ -214,9 +249,9 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, key: str | Column = "
     bound_batches(spark)
     items = _rows(benchmark.select(F.col("item_id").alias("key"), whole_text().alias("text")), None, None)
     # Of equal windows of an item one is enough: they are counted once.
-    items = items.groupBy(F.col("key").alias("item_id"), "size", "name", F.col("slots").alias("item_slots")).agg(F.min("at").alias("item_at"))
+    items = items.groupBy(F.col("key").alias("item_id"), "size", "name", "window", F.col("slots").alias("item_slots")).agg(F.min("at").alias("item_at"))
     items = materialize(items, "items")
-    totals = items.groupBy("item_id").agg(F.countDistinct("name").alias("total"))
+    totals = items.groupBy("item_id").agg(F.countDistinct("window").alias("total"))
     sizes = sorted(r["size"] for r in items.select("size").distinct().collect())  # up to WINDOW
     # At most MAP_BITS numbers, however many windows there are.
     places = items.select(F.col("name").bitwiseAND(MAP_BITS - 1).cast("int").alias("place")).distinct()
@@ -229,12 +264,14 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, key: str | Column = "
     line = ["row", "id", "item_id", "shift"]
     matched = found.join(items, "name").withColumn("shift", F.col("at") - F.col("item_at"))
     pairs = F.arrays_zip("slots", "item_slots").alias("pairs")
-    aligned = matched.groupBy(*line).agg(F.collect_list(F.struct("name", pairs)).alias("found"))
+    # Of the forms of a window that join, the one with the fewest names.
+    formed = matched.groupBy(*line, "at").agg(F.min_by(F.struct("window", pairs), F.size("slots")).alias("form"))
+    aligned = formed.groupBy(*line).agg(F.collect_list("form").alias("found"))
     held = (
         _consistent(aligned).select("row", "id", "item_id", F.explode("found").alias("found"))
-        .select("row", "id", "item_id", "found.name", _same(F.col("found.pairs")).alias("same"))
+        .select("row", "id", "item_id", "found.window", _same(F.col("found.pairs")).alias("same"))
         .groupBy("row", "id", "item_id")
-        .agg(F.countDistinct("name").alias("windows"), F.min("same").alias("verbatim"))
+        .agg(F.countDistinct("window").alias("windows"), F.min("same").alias("verbatim"))
     )
     return (
         held.join(totals, "item_id")

@@ -27,3 +27,13 @@ def test_a_clash_takes_only_the_windows_that_hold_it(spark):
     # Text with the item's shape only: no reading holds all along.
     shape = TWICE.replace("12 apples", "1 apples").replace("12 pears", "2 pears")
     assert found(spark, shape, TWICE) == [(windows - 3, round((windows - 3) / windows, 9), False)]
+
+
+def test_names_that_open_sentences_are_placeholders_as_well(spark):
+    item = "Anna has 12 apples. Boris gives 5 pears to Clara. Dora eats 3 plums today. How many are left?"
+    text = "Emma has 31 apples. Frank gives 8 pears to Greta. Hanna eats 9 plums today. How many are left?"
+    assert found(spark, text, item) == [(12, 1.0, False)]
+    assert found(spark, item, item) == [(12, 1.0, True)]
+    # As a name behind a colon, as a literal behind a stop.
+    asked = "What is the sum of 5 apples and all pears"
+    assert found(spark, "Question: " + asked, asked) == [(3, 1.0, True)]
