@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalog_fusion.llm import (
+    block_names,
     chat_format,
     metric_topk,
     parity_join,
@@ -117,6 +118,10 @@ def op10_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id")
 
 
+def op12_block_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return block_names.exact_groups(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_shard_tree": op1_shard_tree,
     "op2_sentence_pieces": op2_sentence_pieces,
@@ -128,6 +133,7 @@ QUERIES = {
     "op8_word_language": op8_word_language,
     "op9_url_sweep": op9_url_sweep,
     "op10_parity_join": op10_parity_join,
+    "op12_block_names": op12_block_names,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -183,5 +189,14 @@ best AS (
 )
 SELECT page_id, p.host, p.path, rule, coalesce(verdict, 'allow') AS verdict
 FROM parts p LEFT JOIN best b ON p.host = b.host AND p.path = b.path
+""",
+    "op12_block_names": r"""
+WITH texts AS (
+    SELECT doc_id, coalesce(text, '') AS text, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS bare FROM documents
+), ranked AS (
+    SELECT *, row_number() OVER w AS place, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY bare) AS group_size
+    FROM texts WINDOW w AS (PARTITION BY bare ORDER BY length(text) DESC, doc_id)
+)
+SELECT doc_id, keep_id, group_size, place = 1 AS kept, sha256(bare) AS text_sha256 FROM ranked
 """,
 }
