@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalog_fusion.llm import (
+    angle_negatives,
     block_names,
     chat_format,
+    merkle_manifest,
     metric_topk,
     parity_join,
     secret_links,
@@ -118,10 +120,25 @@ def op10_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id")
 
 
+MANIFEST_FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
+
+
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    tampered = F.crc32(documents["doc_id"].cast("string").cast("binary")) % 2 == 0
+    text = F.when(tampered, F.replace(documents["text"], F.lit("\n"), F.lit(""))).otherwise(documents["text"])
+    return merkle_manifest.verified_rows(documents, MANIFEST_FIELDS, changed={"text": text})
+
+
 def op12_block_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_names.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op13_angle_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return angle_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=moved)
+
+
 QUERIES = {
     "op1_shard_tree": op1_shard_tree,
     "op2_sentence_pieces": op2_sentence_pieces,
@@ -133,7 +150,9 @@ QUERIES = {
     "op8_word_language": op8_word_language,
     "op9_url_sweep": op9_url_sweep,
     "op10_parity_join": op10_parity_join,
+    "op11_merkle_manifest": op11_merkle_manifest,
     "op12_block_names": op12_block_names,
+    "op13_angle_negatives": op13_angle_negatives,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -189,6 +208,58 @@ best AS (
 )
 SELECT page_id, p.host, p.path, rule, coalesce(verdict, 'allow') AS verdict
 FROM parts p LEFT JOIN best b ON p.host = b.host AND p.path = b.path
+""",
+    "op11_merkle_manifest": r"""
+WITH RECURSIVE leaves AS (
+    SELECT doc_id, coalesce('1' || source, '0') AS tree,
+        sha256(concat(
+            coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'),
+            coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-'),
+            coalesce(strlen(text) || ':' || text, '-'))) AS leaf,
+        sha256(concat(
+            coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'),
+            coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-'),
+            coalesce(strlen(replace(text, chr(10), '')) || ':' || replace(text, chr(10), ''), '-'))) AS bare,
+        -- CRC-32 bit by bit; its last bit is that of the inverse.
+        list_reduce(
+            list_concat([4294967295::BIGINT], flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+            lambda c, b: CASE WHEN xor(c, b) & 1 = 1 THEN xor(xor(c, b) >> 1, 3988292384) ELSE xor(c, b) >> 1 END) AS crc
+    FROM documents
+), placed AS (
+    SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS spot, count(*) OVER (PARTITION BY tree) AS n,
+        CASE WHEN crc & 1 = 1 THEN bare ELSE leaf END AS other
+    FROM leaves
+), nodes AS (
+    SELECT tree, 0 AS level, spot, n, leaf AS digest FROM placed
+    UNION ALL
+    SELECT tree, level + 1, spot // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY spot))
+    FROM nodes WHERE n > 1 GROUP BY tree, level, spot // 3, n
+), subroots AS (
+    SELECT tree, digest, row_number() OVER (ORDER BY tree) - 1 AS spot, count(*) OVER () AS n FROM nodes WHERE n = 1
+), tops AS (
+    SELECT 0 AS level, spot, n, digest FROM subroots
+    UNION ALL
+    SELECT level + 1, spot // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY spot)) FROM tops WHERE n > 1 GROUP BY level, spot // 3, n
+), steps AS (
+    SELECT p.tree, p.spot, 0 AS part, s.level,
+        coalesce(string_agg(s.digest, '' ORDER BY s.spot) FILTER (s.spot < p.spot // (3 ** s.level)::BIGINT), '') AS l,
+        coalesce(string_agg(s.digest, '' ORDER BY s.spot) FILTER (s.spot > p.spot // (3 ** s.level)::BIGINT), '') AS r
+    FROM placed p JOIN nodes s ON s.tree = p.tree AND s.n > 1 AND s.spot // 3 = p.spot // (3 ** (s.level + 1))::BIGINT
+    GROUP BY p.tree, p.spot, s.level
+    UNION ALL
+    SELECT p.tree, p.spot, 1, s.level,
+        coalesce(string_agg(s.digest, '' ORDER BY s.spot) FILTER (s.spot < r.spot // (3 ** s.level)::BIGINT), ''),
+        coalesce(string_agg(s.digest, '' ORDER BY s.spot) FILTER (s.spot > r.spot // (3 ** s.level)::BIGINT), '')
+    FROM placed p JOIN subroots r ON r.tree = p.tree JOIN tops s ON s.n > 1 AND s.spot // 3 = r.spot // (3 ** (s.level + 1))::BIGINT
+    GROUP BY p.tree, p.spot, s.level
+), ways AS (
+    SELECT tree, spot, string_agg(l || r, '' ORDER BY part, level) AS proof, list({'l': l, 'r': r} ORDER BY part, level) AS way FROM steps GROUP BY tree, spot
+), folded AS (
+    SELECT doc_id, leaf, r.digest AS subroot, (SELECT digest FROM tops WHERE n = 1) AS root, sha256(coalesce(proof, '')) AS proof_sha256,
+        list_reduce(list_concat([{'l': other, 'r': ''}], coalesce(way, [])), lambda a, s: {'l': sha256(s.l || a.l || s.r), 'r': ''}).l AS folded_root
+    FROM placed p JOIN subroots r ON r.tree = p.tree LEFT JOIN ways w ON w.tree = p.tree AND w.spot = p.spot
+)
+SELECT *, folded_root = root AS verified FROM folded
 """,
     "op12_block_names": r"""
 WITH texts AS (
@@ -198,5 +269,21 @@ WITH texts AS (
     FROM texts WINDOW w AS (PARTITION BY bare ORDER BY length(text) DESC, doc_id)
 )
 SELECT doc_id, keep_id, group_size, place = 1 AS kept, sha256(bare) AS text_sha256 FROM ranked
+""",
+    "op13_angle_negatives": """
+WITH whole AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+    FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, list_dot_product(a.v, c.v)::BIGINT AS score
+    FROM whole a JOIN whole c ON a.vec_id % 100 = 0 AND a.vec_id <> c.vec_id
+), positives AS (
+    SELECT * FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT p.anchor_id, p.vec_id AS positive_id, row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY n.score DESC, n.vec_id)::INTEGER AS rank,
+    n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM positives p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.same AND 100 * n.score BETWEEN 30 * p.score AND 90 * p.score
+QUALIFY rank <= 10
 """,
 }
