@@ -11,6 +11,11 @@ takes the windows that hold it, not the whole alignment.
 A capitalised word that opens a sentence may be a name or not. Windows that hold one are
 made in both forms, and count as found if either form joins.
 
+A template of mostly placeholders says too little: windows with few literal words, such as
+sums and lists of names, are joined by their own words instead, so that copies of them are
+found. Windows that many items share do not multiply: they count for the pairs that other
+windows found, and open pairs only for items that are mostly made of them.
+
 Before the join, windows of documents pass a bit map of the benchmark's windows, whose
 size is fixed; it drops most of them and never one that has a partner.
 """
@@ -34,6 +39,8 @@ from catalog_fusion.scratch import materialize
 WINDOW, LITERALS = 8, 4
 #: Share of an item's distinct windows that a document must hold.
 SHARE = 0.25
+#: Items that share a window which opens no pairs, at least.
+COMMON = 64
 #: Bits of the map of benchmark windows.
 MAP_BITS = 1 << 22
 _REMEMBERED = 300_000
@@ -55,6 +62,7 @@ UNITS = frozenset(
 _TOKEN = re.compile(r"\d(?:[\d.,]*\d)?|[^\W\d_]+|[.!?]")
 _LITERAL, _NUMBER, _UNIT, _NAME, _STOP = range(5)
 _U = np.uint64
+_BARE = 1 << WINDOW  # in place of names: the window's own words
 
 
 class _Tokens(dict):
@@ -110,40 +118,56 @@ def _mixed(rolled: np.ndarray) -> np.ndarray:
 
 
 def _windows(
-    owner: np.ndarray, template: np.ndarray, slots: np.ndarray, either: np.ndarray, size: int, bits: np.ndarray | None = None
+    owner: np.ndarray, template: np.ndarray, values: np.ndarray, slots: np.ndarray, either: np.ndarray, size: int, bits: np.ndarray | None = None
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """First word, hash, hash without more names, and names by place of each window with literals enough.
+    """First word, hash, identity, and places of names of each window in each of its forms.
 
-    A window has a form for each choice of the words that may be names; those not in ``bits`` go.
+    A window with literals enough has a form for each choice of the words that may be names.
+    One that has too few, or might where other words stand before it, has its own words as a
+    form, with no placeholder. Forms not in ``bits`` go.
     """
     count = max(0, len(owner) - size + 1)
     rng = np.random.default_rng(20261201 + size)
     factors = rng.integers(0, 1 << 63, size, dtype=_U) | _U(1)
     terms = template ^ (template >> _U(31))
-    rolled = np.full(count, size, _U)
-    for j in range(size):
-        rolled += terms[j : j + count] * factors[j]
-    filled = np.concatenate(([0], np.cumsum(slots)))
-    spare = size - (filled[size : size + count] - filled[:count]) - min(LITERALS, (size + 1) // 2)
-    good = np.flatnonzero((owner[:count] == owner[size - 1 : size - 1 + count]) & (spare >= 0))
-    out = []
+
+    def rolled_over(terms: np.ndarray, start: int) -> np.ndarray:
+        rolled = np.full(count, start, _U)
+        for j in range(size):
+            rolled += terms[j : j + count] * factors[j]
+        return rolled
+
+    def within(flags: np.ndarray) -> np.ndarray:
+        sums = np.concatenate(([0], np.cumsum(flags)))
+        return sums[size : size + count] - sums[:count]
+
+    def kept(names: np.ndarray) -> np.ndarray:
+        if bits is None:
+            return np.ones(len(names), bool)
+        place = (names % _U(MAP_BITS)).astype(np.int64)
+        return (bits[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
+
+    rolled, same = rolled_over(terms, size), owner[:count] == owner[size - 1 : size - 1 + count]
+    spare = size - within(slots) - min(LITERALS, (size + 1) // 2)
+    good = np.flatnonzero(same & (spare >= 0))
+    bare = np.flatnonzero(same & (spare < within(either)))
+    own = _mixed(rolled_over(values ^ (values >> _U(31)), size + WINDOW + 1)[bare])
+    hit = kept(own)
+    bare, own = bare[hit], own[hit]
+    out = [(bare, own, np.where(spare[bare] >= 0, _mixed(rolled[bare]), own), np.full(len(bare), _BARE, np.uint16))]
     for low in range(0, len(good), _FORMED):
         at = good[low : low + _FORMED]
-        form, named = rolled[at], np.zeros(len(at), np.uint8)
+        form, named = rolled[at], np.zeros(len(at), np.uint16)
         for j in range(size):
             more = np.flatnonzero(either[at + j] & (np.bitwise_count(named) < spare[at]))
             if len(more):
                 other = form[more] + (_U(_NAME) - terms[at[more] + j]) * factors[j]
-                form, named = np.concatenate((form, other)), np.concatenate((named, named[more] | np.uint8(1 << j)))
+                form, named = np.concatenate((form, other)), np.concatenate((named, named[more] | np.uint16(1 << j)))
                 at = np.concatenate((at, at[more]))
         names = _mixed(form)
-        if bits is not None:
-            place = (names % _U(MAP_BITS)).astype(np.int64)
-            hit = (bits[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
-            at, names, named = at[hit], names[hit], named[hit]
+        hit = kept(names)
+        at, names, named = at[hit], names[hit], named[hit]
         out.append((at, names, _mixed(rolled[at]), named))
-    if not out:
-        return np.zeros(0, np.int64), np.zeros(0, _U), np.zeros(0, _U), np.zeros(0, np.uint8)
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -162,17 +186,21 @@ def _window_rows(keys: pa.Array, texts: list[str], tokens: _Tokens, sizes: list[
     if sizes is None:
         lengths = np.minimum(np.bincount(owner, minlength=len(texts)), WINDOW)
         for size in sorted(set(lengths.tolist()) - {0}):
-            found = _windows(owner, template, slots, either, size)
+            found = _windows(owner, template, values, slots, either, size)
             own = lengths[owner[found[0]]] == size
             rows.append((*(x[own] for x in found), np.full(own.sum(), size)))
     else:
         for size in sizes:
-            found = _windows(owner, template, slots, either, size, bits)
+            found = _windows(owner, template, values, slots, either, size, bits)
             rows.append((*found, np.full(len(found[0]), size)))
-    none = (np.zeros(0, np.int64), np.zeros(0, _U), np.zeros(0, _U), np.zeros(0, np.uint8), np.zeros(0, np.int64))
+    none = (np.zeros(0, np.int64), np.zeros(0, _U), np.zeros(0, _U), np.zeros(0, np.uint16), np.zeros(0, np.int64))
     at, names, plain, named, spans = (np.concatenate(x) for x in zip(none, *rows, strict=True))
-    chosen = (named[:, None] >> np.arange(WINDOW, dtype=np.uint8) & 1).astype(bool)
-    lists = [values[a : a + n][slots[a : a + n] | c[:n]] for a, n, c in zip(at.tolist(), spans.tolist(), chosen, strict=True)]
+    chosen = (named[:, None] >> np.arange(WINDOW, dtype=np.uint16) & 1).astype(bool)
+    empty = values[:0]
+    lists = [
+        empty if bare else values[a : a + n][slots[a : a + n] | c[:n]]
+        for a, n, c, bare in zip(at.tolist(), spans.tolist(), chosen, (named == _BARE).tolist(), strict=True)
+    ]
     offsets = pa.array(np.cumsum([0] + [len(x) for x in lists]), pa.int32())
     flat = np.concatenate(lists) if lists else np.zeros(0, _U)
     return pa.RecordBatch.from_arrays(
@@ -235,6 +263,27 @@ def _consistent(aligned: DataFrame) -> DataFrame:
     return aligned.withColumn("found", F.when(F.col("clash"), F.filter("found", stays)).otherwise(F.col("found")))
 
 
+def _item_windows(benchmark: DataFrame, share: float) -> tuple[DataFrame, DataFrame]:
+    """Windows of every item, and the items: an item is a distinct ``item_id`` and text.
+
+    Windows say whether they are ``common``, which those of an item that has ``share`` in
+    common windows alone never are.
+    """
+    items = benchmark.select("item_id", whole_text().alias("text")).distinct()
+    items = materialize(items.withColumn("item", F.monotonically_increasing_id()), "items")
+    rows = _rows(items.select(F.col("item").alias("key"), "text"), None, None)
+    # Of equal windows of an item one is enough: they are counted once.
+    rows = rows.groupBy(F.col("key").alias("item"), "size", "name", "window", F.col("slots").alias("item_slots")).agg(F.min("at").alias("item_at"))
+    rows = materialize(rows, "item-windows")
+    spread = rows.groupBy("name").agg(F.countDistinct("item").alias("items")).where(F.col("items") > COMMON).select("name", F.lit(True).alias("shared"))
+    rows = rows.join(spread, "name", "left").withColumn("shared", F.coalesce("shared", F.lit(False)))
+    totals = rows.groupBy("item").agg(F.countDistinct("window").alias("total"), F.countDistinct(F.when(F.col("shared"), F.col("window"))).alias("alike"))
+    totals = totals.withColumn("made_of", (F.col("alike") > 0) & (F.col("alike") >= F.lit(share) * F.col("total")))
+    rows = rows.join(totals, "item").withColumn("common", F.col("shared") & ~F.col("made_of"))
+    rows = materialize(rows.drop("shared", "alike", "made_of", "total"), "item-forms")
+    return rows, materialize(items.drop("text").join(totals.select("item", "total"), "item"), "item-totals")
+
+
 def find_leaks(documents: DataFrame, benchmark: DataFrame, key: str | Column = "doc_id", share: float = SHARE) -> DataFrame:
     """Documents that hold benchmark items: a row for each pair.
 
@@ -242,16 +291,14 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, key: str | Column = "
     the item found at consistent slots), ``share`` (of the item's) and ``verbatim`` (whether
     all slots found have the item's own values). A row of ``documents`` gives a pair if
     ``share`` of the item's windows are found. Rows that are clean, null or empty give
-    none; repeated rows give theirs each, and repeated items count as one. Items without
-    words, and windows of mostly placeholders, match nothing.
+    none; repeated rows give theirs each. An item is a text with its id, which may be null;
+    repeated items count as one, and of several texts with one id the pair has the one of
+    which most is found. Items without words match nothing, and items shorter than a
+    window are found whole. Empty tables give no rows. Other columns are not read.
     """
     spark = documents.sparkSession
     bound_batches(spark)
-    items = _rows(benchmark.select(F.col("item_id").alias("key"), whole_text().alias("text")), None, None)
-    # Of equal windows of an item one is enough: they are counted once.
-    items = items.groupBy(F.col("key").alias("item_id"), "size", "name", "window", F.col("slots").alias("item_slots")).agg(F.min("at").alias("item_at"))
-    items = materialize(items, "items")
-    totals = items.groupBy("item_id").agg(F.countDistinct("window").alias("total"))
+    items, totals = _item_windows(benchmark, share)
     sizes = sorted(r["size"] for r in items.select("size").distinct().collect())  # up to WINDOW
     # At most MAP_BITS numbers, however many windows there are.
     places = items.select(F.col("name").bitwiseAND(MAP_BITS - 1).cast("int").alias("place")).distinct()
@@ -260,25 +307,28 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, key: str | Column = "
     np.bitwise_or.at(bits, place >> 3, (1 << (place & 7)).astype(np.uint8))
     value = documents[key] if isinstance(key, str) else key
     source = documents.select(F.struct(scan_row().alias("row"), value.alias("id")).alias("key"), whole_text().alias("text"))
-    found = _rows(source, sizes, bits).select("key.row", "key.id", "at", "name", "slots")
-    line = ["row", "id", "item_id", "shift"]
-    matched = found.join(items, "name").withColumn("shift", F.col("at") - F.col("item_at"))
+    found = materialize(_rows(source, sizes, bits).select("key.row", "key.id", "at", "name", "slots"), "document-windows")
+    line = ["row", "id", "item", "shift"]
+    opening, common = items.where("not common").drop("common"), items.where("common").drop("common")
+    matched = found.join(opening, "name")
+    if not common.isEmpty():
+        opened = matched.select("row", "item").distinct()
+        more = found.join(common.select("name").distinct(), "name", "left_semi")
+        matched = matched.unionByName(more.join(opened, "row").join(common, ["item", "name"]).select(matched.columns))
+    matched = matched.withColumn("shift", F.col("at") - F.col("item_at"))
     pairs = F.arrays_zip("slots", "item_slots").alias("pairs")
     # Of the forms of a window that join, the one with the fewest names.
     formed = matched.groupBy(*line, "at").agg(F.min_by(F.struct("window", pairs), F.size("slots")).alias("form"))
     aligned = formed.groupBy(*line).agg(F.collect_list("form").alias("found"))
     held = (
-        _consistent(aligned).select("row", "id", "item_id", F.explode("found").alias("found"))
-        .select("row", "id", "item_id", "found.window", _same(F.col("found.pairs")).alias("same"))
-        .groupBy("row", "id", "item_id")
+        _consistent(aligned).select("row", "id", "item", F.explode("found").alias("found"))
+        .select("row", "id", "item", "found.window", _same(F.col("found.pairs")).alias("same"))
+        .groupBy("row", "id", "item")
         .agg(F.countDistinct("window").alias("windows"), F.min("same").alias("verbatim"))
     )
-    return (
-        held.join(totals, "item_id")
-        .withColumn("share", F.col("windows") / F.col("total"))
-        .where(F.col("share") >= share)
-        .select(F.col("id").alias("doc_id"), "item_id", "windows", "share", "verbatim")
-    )
+    part = (F.col("windows") / F.col("total")).alias("share")
+    best = held.join(totals, "item").where(part >= share).groupBy("row", "id", "item_id").agg(F.max(F.struct(part, "windows", "verbatim")).alias("best"))
+    return best.select(F.col("id").alias("doc_id"), "item_id", "best.windows", "best.share", "best.verbatim")
 
 
 def without_leaks(documents: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
