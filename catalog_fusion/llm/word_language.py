@@ -31,7 +31,10 @@ UNDETERMINED = "und"
 BLOCK, CONTEXT = 192, 32
 #: Blocks in one lock step, and words whose potentials a worker keeps.
 _ROWS, _REMEMBERED = 1024, 150_000
-_WORD = regex.compile(r"\p{L}+")
+#: Letters of a word. A longer run, as in scripts without spaces, is read in pieces of the chain.
+LONGEST = 40
+_WORD = regex.compile(rf"\p{{L}}{{1,{LONGEST}}}")
+_BITS = 21  # of a code point
 
 
 @dataclass(frozen=True)
@@ -55,8 +58,7 @@ def words_of(text: str) -> list[str]:
 
 
 def features_of(word: str) -> set[str]:
-    """Lexicon entry, affixes and character n-grams; long words by their ends and n-grams of these."""
-    word = word if len(word) <= 40 else word[:20] + word[-20:]
+    """Lexicon entry, affixes and character n-grams."""
     edged = f"^{word}$"
     out = {"=" + word}
     out.update("<" + word[:n] for n in (1, 2, 3) if n <= len(word))
@@ -65,6 +67,63 @@ def features_of(word: str) -> set[str]:
     return out
 
 
+def _packed(points: np.ndarray, first: np.ndarray, size: int) -> np.ndarray:
+    """Runs of up to three code points as one number each; no two runs share one."""
+    return sum(points[first + j] << (_BITS * j) for j in range(size))
+
+
+class _Features:
+    """The numbers of kept features, to look up those of many words at once."""
+
+    def __init__(self, index: dict[str, int]):
+        # The whole word and its last four letters are looked up as text, all else by its code points.
+        self.words = {f[1:]: i for f, i in index.items() if f[0] == "=" and len(f) > 1}
+        self.ends = {f[1:]: i for f, i in index.items() if f[0] == ">" and len(f) == 5}
+        self.none = len(index)
+        short = {"<": [], ">": [], "": []}
+        for f, i in index.items():
+            if f[0] in "<>" and len(f) <= 4:
+                short[f[0]].append((f[1:], i))
+            elif f[0] not in "=<>":
+                short[""].append((f, i))
+        self.tables = {kind: self._table(entries) for kind, entries in short.items()}
+
+    @staticmethod
+    def _table(entries: list[tuple[str, int]]) -> tuple[np.ndarray, np.ndarray]:
+        keys = np.array([sum(ord(c) << (_BITS * j) for j, c in enumerate(f)) for f, _ in entries], np.int64)
+        order = np.argsort(keys)
+        return keys[order], np.array([i for _, i in entries], np.int64)[order]
+
+    def of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Places of words and their kept features, each pair once."""
+        points = np.frombuffer(f"^{'$^'.join(words)}$".encode("utf-32-le"), np.uint32).astype(np.int64)
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        first = np.cumsum(lengths + 2) - lengths - 1  # letter of each word
+        owner = np.repeat(np.arange(len(words)), lengths + 2)
+        found = []
+
+        def look_up(kind: str, places: np.ndarray, keys: np.ndarray) -> None:
+            known, ids = self.tables[kind]
+            if len(known):
+                at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                hit = known[at] == keys
+                found.append(places[hit] * (self.none + 1) + ids[at[hit]])
+
+        for n in (2, 3):
+            inside = np.flatnonzero(owner[: len(owner) - n + 1] == owner[n - 1 :])
+            look_up("", owner[inside], _packed(points, inside, n))
+        for n in (1, 2, 3):
+            long = np.flatnonzero(lengths >= n)
+            look_up("<", long, _packed(points, first[long], n))
+            look_up(">", long, _packed(points, first[long] + lengths[long] - n, n))
+        for known, texts in ((self.words, words), (self.ends, [w[-4:] if len(w) >= 4 else "" for w in words])):
+            ids = np.fromiter((known.get(t, self.none) for t in texts), np.int64, len(words))
+            hit = np.flatnonzero(ids < self.none)
+            found.append(hit * (self.none + 1) + ids[hit])
+        pairs = np.unique(np.concatenate(found))
+        return pairs // (self.none + 1), pairs % (self.none + 1)
+
+
 def forward_backward(
     potentials: np.ndarray, lengths: np.ndarray, start: np.ndarray, moves: np.ndarray
 ) -> tuple[np.ndarray, np.ndarray]:
@@ -105,9 +164,18 @@ class LanguageField:
     moves: np.ndarray  # logs
     memory: dict[str, int] = field(default_factory=dict, repr=False)  # places in ``factors``
     factors: np.ndarray | None = field(default=None, repr=False)
+    features: _Features | None = field(default=None, repr=False)
 
     def __getstate__(self) -> dict:
-        return {**self.__dict__, "memory": {}, "factors": None}
+        return {**self.__dict__, "memory": {}, "factors": None, "features": None}
+
+    def scores(self, words: list[str]) -> np.ndarray:
+        """Sum of the weights of each word's features, ``[word, language]``."""
+        if self.features is None:
+            self.features = _Features(self.index)
+        at, feature = self.features.of(words)
+        weights = self.weights[feature]
+        return np.stack([np.bincount(at, weights[:, j], len(words)) for j in range(len(self.languages))], 1)
 
     def _potentials(self, words: list[str]) -> np.ndarray:
         """A row for each word: factors of the languages, the greatest 1."""
@@ -118,11 +186,7 @@ class LanguageField:
             new = list(set(words))
             self.factors = np.empty((max(_REMEMBERED, len(new)), len(self.languages)), np.float32)
         if new:
-            none, find = len(self.index), self.index.get
-            ids = [[find(f, none) for f in features_of(w)] for w in new]
-            starts = np.cumsum([0] + [len(x) for x in ids[:-1]])
-            flat = np.fromiter((i for x in ids for i in x), np.int64)
-            scores = np.add.reduceat(self.weights[flat], starts, 0)
+            scores = self.scores(new)
             self.factors[len(known) : len(known) + len(new)] = np.exp(np.maximum(scores - scores.max(1, keepdims=True), -30))
             known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
         return self.factors[np.fromiter(map(known.__getitem__, words), np.int64, len(words))]
@@ -149,7 +213,9 @@ class LanguageField:
             first = np.array([b[3] - b[1] for b in rows])
             last = np.array([b[4] - b[1] for b in rows])
             counted = (time >= first[row]) & (time < last[row])
-            np.add.at(out, np.array([b[0] for b in rows])[row[counted]], share[time[counted], row[counted]])
+            owner, held = np.array([b[0] for b in rows])[row[counted]], share[time[counted], row[counted]]
+            for j in range(out.shape[1]):
+                out[:, j] += np.bincount(owner, held[:, j], len(texts))
         return out
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:

@@ -59,6 +59,21 @@ def test_words_of_switching_text(model, spark):
     assert 0.65 < share["de"] < 0.85 and 0.15 < share["en"] < 0.35
 
 
+def test_features_of_many_words_are_those_of_each(model):
+    words = ["", "a", "ab", "abc", "anna", "banana", "der", "straße", "été", "日本語", "und" * 13, "xyzzy", "the"][1:]
+    want = [model.weights[[model.index[f] for f in sorted(word_language.features_of(w)) if f in model.index]].sum(0) for w in words]
+    assert np.allclose(model.scores(words), want, atol=1e-5)
+
+
+def test_the_middle_of_a_long_run_is_read(model):
+    for lang, word in (("de", "zwischendurchgeschwindigkeitsbegrenzung"), ("en", "thewhichwouldthroughoughtthethingsshould")):
+        run = "ж" * 80 + (word * 2)[:40] + "ж" * 80
+        assert len(run) == 200 and [len(w) for w in word_language.words_of(run)] == [40] * 5
+        sums = dict(zip(model.languages, model.posteriors([word_language.words_of(run)])[0], strict=True))
+        assert max(sums, key=sums.get) == lang
+    assert "".join(word_language.words_of("語" * 12_345)) == "語" * 12_345
+
+
 def test_blocks_agree_with_one_chain(model, monkeypatch):
     text = "der die und the of les para " * 200
     cut = model.predict([text])[1]
