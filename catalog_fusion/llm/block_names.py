@@ -121,7 +121,7 @@ def exact_groups(
     read = documents.select(scan_row().alias("row"), value.alias("doc_id"), whole_text().alias("text"))
     read = read.withColumn("data", normalised(F.col("text")).cast("binary"))
     cut = read.select("row", blocks_of(F.col("data"), size).alias("pieces"))
-    blocks = cut.select("row", F.size("pieces").alias("of"), F.posexplode("pieces").alias("at", "block"))
+    blocks = cut.select("row", F.size("pieces").alias("of"), F.posexplode_outer("pieces").alias("at", "block"))
     blocks = blocks.withColumn("hash", hashing(F.col("block")))
     hashes = F.transform(blocks_of(F.col("data"), size), lambda block: hashing(block))
     facts = read.select("row", "doc_id", F.char_length("text").alias("chars"), F.sha2("data", 256).alias("text_sha256"), hashes.alias("hashes"))
