@@ -120,7 +120,8 @@ class _Features:
             ids = np.fromiter((known.get(t, self.none) for t in texts), np.int64, len(words))
             hit = np.flatnonzero(ids < self.none)
             found.append(hit * (self.none + 1) + ids[hit])
-        pairs = np.unique(np.concatenate(found))
+        pairs = np.sort(np.concatenate(found))
+        pairs = pairs[np.flatnonzero(np.diff(pairs, prepend=-1))]
         return pairs // (self.none + 1), pairs % (self.none + 1)
 
 
