@@ -232,6 +232,85 @@ report AS (
          unknown AS n_without_year
   FROM n)"""
 
+# Training and scoring by ridge, all in SQL: the titles that train, their encoders, medians and
+# normal equations, which are solved by elimination, one column at a time.
+_RIDGE_COLUMNS = [*_CALENDAR, "runtime_min", "budget_log", "vote_count_log", *[f"{c}_enc" for c in _PEOPLE],
+                  *[f"genre_{g.lower().replace('-', '_')}" for g in GENRES]]
+_OPTIONAL = ["year", "month", "dayofweek", "release_hour", "runtime_min", "budget_log", "vote_count_log"]
+_RAW = ["rating", "runtime_min", "genres", "vote_count", "budget_usd", "release_date", "release_hour", "year", "director", '"cast"', "language", "country"]
+_REQUESTS = """
+  SELECT p_partkey AS request_id, p_brand AS director, concat(p_brand, ', ', p_type) AS "cast", 'Drama' AS genres,
+         p_retailprice * 1000 AS budget_usd, p_size + 80 AS runtime_min, '' AS language, '' AS country, CAST(NULL AS INTEGER) AS vote_count
+  FROM part"""
+
+
+def _ridge(wanted: str, keep: str) -> str:
+    """``scored``: ``keep`` and ``predicted`` of the rows of ``wanted``, which have raw fields as titles do."""
+    logs = "CAST(CAST(ln(1 + CASE WHEN {0} < 0 THEN 0 ELSE {0} END) AS FLOAT) AS DOUBLE)"
+    people = ", ".join(f"{v} AS {c}" for c, v in _PEOPLE.items())
+    encoded = ", ".join(f"CAST(CAST(coalesce(e_{c}.encoded, mean) AS FLOAT) AS DOUBLE) AS {c}_enc" for c in _PEOPLE)
+    genres = ", ".join(f"CASE WHEN contains(genres, '{g}') THEN 1.0 ELSE 0.0 END AS genre_{g.lower().replace('-', '_')}" for g in GENRES)
+    filled = ", ".join(f"CAST(coalesce({c}, {c}_middle) AS DOUBLE)" if c in _OPTIONAL else f"CAST({c} AS DOUBLE)" for c in _RIDGE_COLUMNS)
+    n = len(_RIDGE_COLUMNS)
+    return f"""
+WITH RECURSIVE {_MERGED.lstrip().removeprefix("WITH ")},
+signal AS (
+  SELECT * REPLACE (5 + (coalesce(release_hour, 12) - 12) / 8.0 + CASE WHEN language = 'tr' THEN 0.5 ELSE 0.0 END AS rating)
+  FROM merged WHERE rating IS NOT NULL
+),
+cutoff AS (SELECT quantile_cont(year, 0.8) AS cut FROM signal),
+sides AS (SELECT count(*) FILTER (WHERE year < cut) >= 200 AND count(*) FILTER (WHERE year >= cut) >= 50 AS by_year, count(*) AS rows FROM signal, cutoff),
+training AS (
+  SELECT * FROM (SELECT *, row_number() OVER (ORDER BY {_TITLE_KEY}, imdb_id NULLS LAST) AS place FROM signal), cutoff, sides
+  WHERE CASE WHEN by_year THEN year < cut ELSE place <= floor(rows * 0.8) END
+),
+wanted AS ({wanted}),
+raw AS (
+  SELECT true AS trains, place AS item, {", ".join(_RAW)} FROM training
+  UNION ALL SELECT false, row_number() OVER (), {", ".join("CAST(NULL AS DOUBLE)" if c == "rating" else c for c in _RAW)} FROM wanted
+),
+people AS (SELECT trains, item, rating, runtime_min, genres, vote_count, budget_usd, release_date, release_hour, year, {people} FROM raw),
+prepared AS ({_calendar("people", ", ".join(["trains, item, rating, runtime_min, genres, vote_count, budget_usd", *_PEOPLE]))}),
+train AS (SELECT * FROM prepared WHERE trains),
+overall AS (SELECT avg(rating) AS mean FROM train),
+{", ".join(f"e_{c} AS ({_encoding('train', c)})" for c in _PEOPLE)},
+features AS (
+  SELECT trains, item, rating, {", ".join(_CALENDAR)}, runtime_min, {logs.format("budget_usd")} AS budget_log, {logs.format("vote_count")} AS vote_count_log,
+         {encoded}, {genres}
+  FROM prepared CROSS JOIN overall {" ".join(f"LEFT JOIN e_{c} ON e_{c}.key = prepared.{c}" for c in _PEOPLE)}
+),
+middles AS (SELECT {", ".join(f"quantile_cont(CAST({c} AS DOUBLE), 0.5) AS {c}_middle" for c in _OPTIONAL)} FROM features WHERE trains),
+vectors AS (SELECT trains, item, rating, [{filled}] AS x FROM features CROSS JOIN middles),
+cells AS (SELECT item, rating, unnest(range(1, {n + 1})) AS i, unnest(x) AS v FROM vectors WHERE trains),
+centres AS (SELECT i, avg(v) AS centre, avg(rating) AS level FROM cells GROUP BY i),
+centred AS (SELECT item, i, v - centre AS v, rating - level AS y FROM cells JOIN centres USING (i)),
+products AS (SELECT a.i AS i, b.i AS j, sum(a.v * b.v) + CASE WHEN a.i = b.i THEN 2.5 ELSE 0 END AS p FROM centred a JOIN centred b USING (item) GROUP BY a.i, b.i),
+equations AS (
+  SELECT list(list_append(row, pull) ORDER BY i) AS rows
+  FROM (SELECT i, list(p ORDER BY j) AS row FROM products GROUP BY i) JOIN (SELECT i, sum(v * y) AS pull FROM centred GROUP BY i) USING (i)
+),
+solved AS (
+  SELECT 1 AS k, rows FROM equations
+  UNION ALL
+  SELECT k + 1, list_transform(rows, lambda r, i: CASE WHEN i = k THEN list_transform(r, lambda x: x / r[k])
+    ELSE list_transform(r, lambda x, j: x - r[k] * rows[k][j] / rows[k][k]) END)
+  FROM solved WHERE k <= {n}
+),
+weights AS (SELECT list_transform(rows, lambda r: r[{n + 1}]) AS w FROM solved WHERE k = {n + 1}),
+base AS (SELECT w, any_value(level) - sum(w[i] * centre) AS base FROM weights, centres GROUP BY w),
+scored AS (
+  SELECT {keep}, greatest(1.0, least(10.0, base + list_dot_product(w, x))) AS predicted
+  FROM vectors JOIN (SELECT *, row_number() OVER () AS item FROM wanted) AS given USING (item), base WHERE NOT trains
+)"""
+
+
+_ONE_DAY = f"SELECT *, DATE '2026-11-20' AS release_date, 19 AS release_hour, 2026 AS year FROM ({_REQUESTS})"
+_WINDOW_SLOTS = f"""
+  SELECT r.*, day AS release_date, hour AS release_hour, CAST(year(day) AS INTEGER) AS year, hour_pos
+  FROM ({_REQUESTS}) AS r,
+       (SELECT DATE '2026-11-01' + CAST(d AS INTEGER) AS day FROM range(3) t(d)),
+       (SELECT unnest([14, 16, 18, 19, 20, 21]) AS hour, unnest([0, 1, 2, 3, 4, 5]) AS hour_pos)"""
+
 # How the forms of request end: the reason, else none.
 _REASONS = """CASE event_id % 12 WHEN 0 THEN 'title is required' WHEN 3 THEN 'title is required' WHEN 5 THEN 'release_hour must be a whole number'
     WHEN 6 THEN 'runtime_min must be a whole number' WHEN 8 THEN 'language must be text' WHEN 9 THEN 'title must be text'
@@ -352,6 +431,15 @@ ORACLES: dict[str, str] = {
         f"""SELECT '{c}' AS "column", count(DISTINCT {c}) < greatest(64, count(*) // 20) AS is_category FROM part"""
         for c in ("p_name", "p_brand", "p_type")
     ),
+    "profile_merged": " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", CAST(count({v}) AS DOUBLE) AS count, {mean} AS mean, CAST(count(*) - count({v}) AS DOUBLE) AS nulls,
+            count(DISTINCT {v}) < greatest(64, count(*) // 20) AS is_category, round(log10(count(DISTINCT {v}))) AS distinct_digits, {known} AS median_known FROM orders"""
+        for c, v, mean, known in (
+            ("o_totalprice", "CASE WHEN o_orderkey % 9 <> 4 THEN o_totalprice END", "round(avg(CASE WHEN o_orderkey % 9 <> 4 THEN o_totalprice END), 4)", "true"),
+            ("o_orderpriority", "o_orderpriority", "CAST(NULL AS DOUBLE)", "CAST(NULL AS BOOLEAN)"),
+            ("o_custkey", "o_custkey", "round(avg(o_custkey), 4)", "true"),
+        )
+    ),
     "year_quantile": f"SELECT CAST(quantile_cont(year, 0.8) AS DOUBLE) AS cutoff FROM {_ORDERS_BY_YEAR}",
     "regression_metrics": """
         WITH s AS (SELECT round(l_discount * 100) AS y, least(greatest(l_quantity / 4 - 1, 1.0), 10.0) AS p FROM lineitem)
@@ -405,8 +493,28 @@ ORACLES: dict[str, str] = {
     "train_choose": f"{_TRAINING} SELECT split, n_train, n_test, true AS lower_error_chosen, true AS mae_bounded FROM report",
     "metrics_sink": f"{_TRAINING} SELECT split, n_train, n_test FROM report",
     "ridge_equations": "SELECT true AS holds",
-    "batch_score": f"SELECT request_id, algorithm, true AS in_range FROM {_MODEL_ROWS}",
-    "single_score": "SELECT true AS same",
+    "batch_score": f"""{_ridge(_ONE_DAY, "request_id")}
+        SELECT request_id, 'Ridge' AS algorithm, round(predicted, 4) AS predicted_rating, true AS as_by_table FROM scored
+        UNION ALL SELECT p_partkey, 'GBTRegressor', NULL, true FROM part""",
+    "single_score": f"""{_ridge(_ONE_DAY, "request_id, budget_usd")}
+        SELECT request_id, round(predicted, 4) AS predicted_rating FROM scored ORDER BY budget_usd DESC, request_id LIMIT 1""",
+    "recommend_ridge": f"""{_ridge(_WINDOW_SLOTS, "request_id, release_date, release_hour, hour_pos")}
+        SELECT request_id, strftime(release_date, '%Y-%m-%d') AS release_date, release_hour, round(predicted, 3) AS predicted_rating,
+               CAST(row_number() OVER (PARTITION BY request_id ORDER BY round(predicted, 3) DESC, release_date, hour_pos) AS INTEGER) AS slot_rank
+        FROM scored QUALIFY slot_rank <= 5""",
+    "tree_descent": """
+        WITH nodes AS (
+          SELECT p_brand, round(avg(p_size), 4) AS size_at, round(avg(p_retailprice), 4) AS price_at, CAST(min(p_size) AS DOUBLE) AS small,
+                 CAST(max(p_size) AS DOUBLE) AS large, CAST(count(*) AS DOUBLE) AS many, 1.0 / row_number() OVER (ORDER BY p_brand) AS weight
+          FROM part GROUP BY p_brand
+        )
+        SELECT p_partkey, round(sum(weight * CASE WHEN p_size <= size_at THEN small WHEN p_retailprice <= price_at THEN large ELSE many END), 6) AS prediction
+        FROM part, nodes GROUP BY p_partkey""",
+    "median_impute_prices": """
+        WITH g AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity >= 5 THEN l_extendedprice END AS l_extendedprice,
+                          CASE WHEN l_linenumber <> 3 THEN l_discount END AS l_discount FROM lineitem)
+        SELECT l_orderkey, l_linenumber, round(coalesce(l_extendedprice, (SELECT quantile_cont(l_extendedprice, 0.5) FROM g)), 6) AS l_extendedprice,
+               round(coalesce(l_discount, (SELECT quantile_cont(l_discount, 0.5) FROM g)), 6) AS l_discount FROM g""",
     "recommend": f"""
         SELECT request_id, algorithm, slot_rank, true AS in_window, true AS falling, true AS as_alone
         FROM {_MODEL_ROWS}, (VALUES (1), (2), (3), (4), (5)) AS r(slot_rank)""",

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from catalog_fusion.checks.views import ROLE_VIEWS, role_view, table
 from catalog_fusion.functions import features, parse, requests, text
 from catalog_fusion.operators import collapse, conform, encode, evaluate, number, profile, slots
-from catalog_fusion.plans import fuse, jobs
-from catalog_fusion.plans.rating_model import RIDGE, RIDGE_ALPHA, TREES, RatingModel, feature_frame, predict_rating
+from catalog_fusion.plans import fuse, jobs, tree_table
+from catalog_fusion.plans.rating_model import RIDGE, RIDGE_ALPHA, TREE_DEPTH, TREES, RatingModel, predict_rating
+from catalog_fusion.plans.stages import feature_frame
 from catalog_fusion.schema import GENRES, UNIFIED_COLUMNS
 from catalog_fusion.scratch import materialize, new_scratch_path
 from catalog_fusion.sources import scan, sink
@@ -448,6 +449,18 @@ def categorical_columns_sketch(spark, sf_dir):
     return profile.categorical_columns(table(spark, sf_dir, "part"), ["p_name", "p_brand", "p_type"]).select("column", "is_category")
 
 
+@query
+def profile_merged(spark, sf_dir):
+    """Orders and parts of them, profiled apart, stored, and merged: as if profiled together."""
+    orders, columns = table(spark, sf_dir, "orders"), ["o_totalprice", "o_orderpriority", "o_custkey"]
+    path = new_scratch_path(spark, "profiles")
+    for year in range(1992, 1999):
+        rows = orders.where(F.year("o_orderdate") == year) if year < 1998 else orders.where(F.year("o_orderdate") >= year)
+        profile.profile_state(rows.withColumn("o_totalprice", F.when(F.col("o_orderkey") % 9 != 4, F.col("o_totalprice"))), columns).write.mode("append").parquet(path)
+    merged = profile.merge_profiles(spark.read.parquet(path))
+    return merged.select("column", "count", F.round("mean", 4).alias("mean"), "nulls", "is_category", F.round(F.log10("distinct")).alias("distinct_digits"), (F.col("median") / F.col("mean") > 0.5).alias("median_known"))
+
+
 @query
 def year_quantile(spark, sf_dir):
     return evaluate.year_cutoff(_orders_by_year(spark, sf_dir))
@@ -470,6 +483,17 @@ def median_impute(spark, sf_dir):
     return evaluate.median_impute(raw, ["p_size"])
 
 
+@query
+def median_impute_prices(spark, sf_dir):
+    """Medians of columns with many distinct values, and with few."""
+    raw = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.expr("CASE WHEN l_quantity >= 5 THEN l_extendedprice END").alias("l_extendedprice"),
+        F.expr("CASE WHEN l_linenumber <> 3 THEN l_discount END").alias("l_discount"),
+    )
+    filled = evaluate.median_impute(raw, ["l_extendedprice", "l_discount"])
+    return filled.withColumns({c: F.round(c, 6) for c in ("l_extendedprice", "l_discount")})
+
+
 # --- features ------------------------------------------------------------
 
 
@@ -728,24 +752,52 @@ def ridge_equations(spark, sf_dir):
 
 @query
 def batch_score(spark, sf_dir):
-    """Every request rated within 1 to 10, by trees and by ridge."""
-    parts = [
-        model.predict_requests(_requests(spark, sf_dir)).select(
-            "request_id", F.lit(name).alias("algorithm"), F.col("predicted_rating").between(1, 10).alias("in_range")
-        )
-        for name, model in _both(spark, sf_dir)
-    ]
+    """Every request rated: the value by ridge, and by trees whether their table of nodes gives the same."""
+    wanted, parts = _requests(spark, sf_dir), []
+    for name, model in _both(spark, sf_dir):
+        if name == RIDGE:
+            value, same = F.round("predicted_rating", 4), F.lit(True)
+            scored = model.predict_requests(wanted)
+        else:
+            scored, rating = model.score(feature_frame(requests.conform_requests(wanted), model.encoder))
+            scored = scored.select("row.request_id", vector_to_array("tree_features").alias("x"), rating.alias("predicted_rating"))
+            scored = tree_table.score_nodes(scored, tree_table.tree_nodes(spark, model.trees), F.col("x"), TREE_DEPTH)
+            value, same = F.lit(None).cast("double"), F.abs(evaluate.clip_rating(F.col("prediction")) - F.col("predicted_rating")) < 1e-9
+        parts.append(scored.select("request_id", F.lit(name).alias("algorithm"), value.alias("predicted_rating"), same.alias("as_by_table")))
     return _stacked(parts)
 
 
+@query
+def tree_descent(spark, sf_dir):
+    """Parts scored by a table of trees, one for each brand."""
+    part = table(spark, sf_dir, "part")
+    brands = part.groupBy("p_brand").agg(
+        F.round(F.avg("p_size"), 4).alias("size_at"), F.round(F.avg("p_retailprice"), 4).alias("price_at"),
+        F.min("p_size").alias("small"), F.max("p_size").alias("large"), F.count("*").alias("many"),
+    )
+    numbered = number.number_rows(brands, [F.col("p_brand")], "n")
+    leaf = "CAST(NULL AS int), CAST(NULL AS double), CAST(NULL AS int), CAST(NULL AS int)"
+    nodes = numbered.selectExpr("CAST(n AS int) AS tree", "1.0D / n AS weight", f"""stack(5,
+        0, 0, size_at, 1, 2, CAST(NULL AS double), 1, {leaf}, CAST(small AS double), 2, 1, price_at, 3, 4, CAST(NULL AS double),
+        3, {leaf}, CAST(large AS double), 4, {leaf}, CAST(many AS double)) AS (node, feature, threshold, below, above, prediction)""")
+    rows = part.select("p_partkey", F.array(F.col("p_size").cast("double"), F.col("p_retailprice").cast("double")).alias("x"))
+    scored = tree_table.score_nodes(rows, nodes, F.col("x"), 2)
+    return scored.select("p_partkey", F.round("prediction", 6).alias("prediction"))
+
+
 @query
 def single_score(spark, sf_dir):
-    """One title given as a dict is rated like a row of a batch."""
-    model, given = _model(spark, sf_dir), {"title": "Harbour Lights", "director": "Brand#3", "genres": "Crime,Drama", "release_date": "2027-03-05", "release_hour": 18}
-    one = predict_rating(model, given).select(F.col("predicted_rating").alias("one"))
-    batch = spark.createDataFrame([given, given | {"title": "Other", "release_hour": 9}])
-    many = model.predict_requests(batch).where("title = 'Harbour Lights'").select(F.col("predicted_rating").alias("many"))
-    return one.crossJoin(many).select((F.abs(F.col("one") - F.col("many")) < 1e-9).alias("same"))
+    """The dearest request, given as a dict, rated by ridge."""
+    wanted = _requests(spark, sf_dir).orderBy(F.desc("budget"), "request_id").first().asDict()
+    scored = predict_rating(_model(spark, sf_dir).choosing(RIDGE), wanted)
+    return scored.select("request_id", F.round("predicted_rating", 4).alias("predicted_rating"))
+
+
+@query
+def recommend_ridge(spark, sf_dir):
+    """The best five slots of each request by ridge, with their ratings."""
+    found = _model(spark, sf_dir).choosing(RIDGE).recommend(_requests(spark, sf_dir), top_n=5)
+    return found.select("request_id", "release_date", "release_hour", "predicted_rating", "slot_rank")
 
 
 @query

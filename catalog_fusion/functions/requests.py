@@ -164,15 +164,21 @@ def slot_grid(
     start: str = "window_start",
     end: str = "window_end",
     hours: tuple[int, ...] = SLOT_HOURS,
+    distinct: bool = False,
 ) -> DataFrame:
     """One row per request, day of its window and hour.
 
-    Generated per request without a join. A window that cannot be used is an error.
+    Generated per request without a join. A window that cannot be used is an error. With
+    ``distinct``, only the first day of each month and weekday in the window: the others
+    have the same calendar, see ``same_calendar``.
     """
     first, last = F.col(start).try_cast("date"), F.col(end).try_cast("date")
     wrong = window_error(start, end)
     checked = F.when(wrong.isNotNull(), F.raise_error(wrong)).otherwise(last)
-    days = df.withColumn("_day", F.explode(F.sequence(first, checked)))
+    window = F.sequence(first, checked)
+    if distinct:
+        window = F.filter(window, lambda day: (F.date_sub(day, 7) < first) | (F.month(F.date_sub(day, 7)) != F.month(day)))
+    days = df.withColumn("_day", F.explode(window))
     slots = days.select("*", F.posexplode(F.array(*[F.lit(h) for h in hours])).alias("hour_pos", "_hour"))
     return slots.withColumns(
         {
@@ -182,3 +188,11 @@ def slot_grid(
             "weekday": F.date_format("_day", "EEEE"),
         }
     ).drop("_day", "_hour")
+
+
+def same_calendar(slots: DataFrame, end: str = "window_end") -> DataFrame:
+    """Every day of the window with the month and weekday of a slot's day, the first of them."""
+    day = F.col("release_date").cast("date")
+    last = F.least(F.col(end).try_cast("date"), F.last_day(day))
+    days = slots.withColumn("_day", F.explode(F.sequence(day, last, F.expr("interval 7 days"))))
+    return days.withColumn("release_date", F.date_format("_day", "yyyy-MM-dd")).drop("_day")

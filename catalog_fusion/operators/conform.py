@@ -132,11 +132,14 @@ def conform(df: DataFrame, source: str, rank: int = 0) -> DataFrame:
     return unified.withColumn(SOURCE_RANK, F.lit(rank))
 
 
-def conform_tagged(df: DataFrame, label: str, rank: str) -> DataFrame:
-    """Several sources of one layout as clean unified rows; two columns name the source of a row."""
-    also = [label, rank]
+def conform_tagged(df: DataFrame, label: str, rank: str, kept: Sequence[str] = ()) -> DataFrame:
+    """Several sources of one layout as clean unified rows; two columns name the source of a row.
+
+    Columns in ``kept`` stay as they are.
+    """
+    also = [label, rank, *kept]
     unified = conform_schema(clean_fields(rename_aliases(df, also), also), F.col(label), also)
-    return unified.withColumn(SOURCE_RANK, F.col(rank)).drop(*also)
+    return unified.withColumn(SOURCE_RANK, F.col(rank)).drop(label, rank)
 
 
 def union_sources(parts: Sequence[DataFrame]) -> DataFrame:

@@ -15,6 +15,9 @@ SMOOTHING = 18.0  # fixed value: weight of the global mean, in rows
 # Lookup tables of at most this size together, as counted, are sent to every task.
 BROADCAST_BYTES = 32 * 1024 * 1024
 _ROW_BYTES = 32  # numbers and row overhead beside the key
+# Frequent keys of a column that the large lookup answers by broadcast, and keys its sketch tracks.
+HOT_KEYS, _TRACKED = 256, 4096
+_SHORT_KEY = 32  # bytes
 
 
 def _key(column: str) -> Column:
@@ -77,8 +80,9 @@ class TargetEncoder:
     def transform(self, df: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
         """Add ``<column>_enc``: the encoded key, or the default for an unseen one.
 
-        Up to ``broadcast_bytes`` the tables are broadcast; beyond, all columns are
-        looked up by one shuffled join. The result is the same.
+        Up to ``broadcast_bytes`` the tables are broadcast; beyond, only frequent keys
+        are, and the others of all columns are looked up by one shuffled join. The result
+        is the same.
         """
         if sum(self.sizes.values()) <= broadcast_bytes:
             for column in self.sizes:
@@ -94,29 +98,46 @@ class TargetEncoder:
         return F.coalesce(F.col(value), F.lit(self.default)).cast("float")
 
     def _large_lookup(self, df: DataFrame) -> DataFrame:
-        """All columns by one join on ``(column, key)`` and one regrouping by row.
+        """All columns by one shuffled join of narrow rows.
 
-        Each row becomes one narrow row per column; the first of them carries the
-        row itself. A frequent key fills a partition of the join, whose probing side
-        Spark splits where it is skewed. Rows are numbered in a written table, so that
-        a task that runs again gives them the same numbers.
+        The most frequent keys of the rows, told by a sketch, are answered by a broadcast of
+        at most ``HOT_KEYS`` for each column, so no key fills a task of the join. All other
+        keys become narrow rows, which are looked up and gathered by row; rows themselves
+        move once. They are numbered in a written table, so that a task that runs again
+        gives them the same numbers.
         """
-        held = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-        numbered = materialize(df.select(held.alias("_held")).withColumn("_row", F.monotonically_increasing_id()), "encode")
-        wanted = F.array(
-            *[
-                F.struct(
-                    F.lit(c).alias("column"),
-                    F.coalesce(F.col("_held").getField(c).cast("string"), F.lit("")).alias("key"),
-                    (F.col("_held") if i == 0 else F.lit(None)).alias("held"),
-                )
-                for i, c in enumerate(self.sizes)
-            ]
-        )
-        probes = numbered.select("_row", F.explode(wanted).alias("_probe")).select("_row", "_probe.*")
-        found = probes.join(self.table.select("column", "key", "encoded"), ["column", "key"], "left")
-        regrouped = found.groupBy("_row").agg(
-            F.first("held", ignorenulls=True).alias("_held"),
-            *[F.max(F.when(F.col("column") == c, F.col("encoded"))).alias(f"_{c}_enc") for c in self.sizes],
-        )
-        return regrouped.select("_held.*", *[self._or_default(f"_{c}_enc").alias(f"{c}_enc") for c in self.sizes])
+        columns = list(self.sizes)
+        keys = {c: f"_key{i}" for i, c in enumerate(columns)}
+        numbered = df.select("*", *[_narrow(_key(c)).alias(k) for c, k in keys.items()])
+        numbered = materialize(numbered.withColumn("_row", F.monotonically_increasing_id()), "encode")
+        table = self.table.select("column", _narrow(F.col("key")).alias("_narrow"), "encoded")
+        hot = hot_hashes(numbered, list(keys.values()))
+        found = numbered
+        for c, k in keys.items():
+            few = table.where((F.col("column") == c) & F.xxhash64("_narrow").isin(hot[k]))
+            found = found.join(F.broadcast(few.select(F.col("_narrow").alias(k), F.col("encoded").alias(f"_hot{k}"))), k, "left")
+        cold = cold_probes(numbered, keys, hot).join(table, ["column", "_narrow"])
+        cold = cold.groupBy("_row").agg(*[F.max(F.when(F.col("column") == c, F.col("encoded"))).alias(f"_cold{k}") for c, k in keys.items()])
+        joined = found.join(cold, "_row", "left")
+        encoded = [F.coalesce(f"_hot{k}", f"_cold{k}", F.lit(self.default)).cast("float").alias(f"{c}_enc") for c, k in keys.items()]
+        return joined.select(*[F.col(f"`{c}`") for c in df.columns], *encoded)
+
+
+def _narrow(key: Column) -> Column:
+    """A short key as it is, a long one by its SHA-256."""
+    return F.when(F.octet_length(key) <= _SHORT_KEY, F.concat(F.lit("="), key)).otherwise(F.concat(F.lit("#"), F.sha2(key, 256)))
+
+
+def hot_hashes(rows: DataFrame, keys: Sequence[str]) -> dict[str, list[int]]:
+    """Hashes of the most frequent values of each column, from one frequent-items sketch each."""
+    sketches = [F.expr(f"approx_top_k(xxhash64({k}), {HOT_KEYS}, {_TRACKED})").alias(k) for k in keys]
+    top = rows.agg(*sketches).first()
+    return {k: [item["item"] for item in top[k] or [] if item["count"] > 1] for k in keys}
+
+
+def cold_probes(rows: DataFrame, keys: dict[str, str], hot: dict[str, list[int]]) -> DataFrame:
+    """A row ``_row, column, _narrow`` for each cell whose value is not among the frequent ones."""
+    cells = [
+        F.when(~F.xxhash64(k).isin(hot[k]), F.struct(F.lit(c).alias("column"), F.col(k).alias("_narrow"))) for c, k in keys.items()
+    ]
+    return rows.select("_row", F.explode(F.array_compact(F.array(*cells))).alias("_probe")).select("_row", "_probe.*")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ SPLIT_QUANTILE = 0.8
 MIN_TRAIN = 200
 MIN_TEST = 50
 BY_YEAR, BY_POSITION = "year", "position"
+# Edges that divide a range of values, and rows of a range that may be read, for medians.
+_EDGES, _READ = 1000, 10_000
 
 
 @dataclass(frozen=True)
@@ -101,14 +105,86 @@ def regression_metrics(df: DataFrame, label: str = "rating", prediction: str = "
     return df.agg(*[value.alias(name) for name, value in metrics.items()])
 
 
+@dataclass
+class _Range:
+    """Where a value of some rank lies: strictly between two values that are known, of ``held`` rows."""
+
+    column: str
+    rank: int  # within the range, from 0
+    held: int
+    low: float = -math.inf
+    high: float = math.inf
+    value: float | None = None
+
+    def inside(self, values: dict[str, Column]) -> Column:
+        v = values[self.column]
+        whole = math.isinf(self.low) and math.isinf(self.high)
+        return v if whole else F.when((v > self.low) & (v < self.high), v)
+
+
+def _narrowed(df: DataFrame, ranges: list[_Range], values: dict[str, Column]) -> None:
+    """Find each range's rank among edges from a sketch: it is an edge, or lies between two."""
+    cells = {f"v{i}": r.inside(values) for i, r in enumerate(ranges)}
+    part = df.select(*[v.alias(c) for c, v in cells.items()])
+    shares = [i / _EDGES for i in range(_EDGES + 1)]
+    found = part.agg(*[F.percentile_approx(c, shares, 10 * _EDGES).alias(c) for c in cells]).first()
+    edges = {c: sorted(set(found[c])) for c in cells}
+    splits = [[-math.inf, *([e for e in edges[c] if not math.isinf(e)] or [0.0]), math.inf] for c in cells]
+    places = Bucketizer(splitsArray=splits, inputCols=list(cells), outputCols=[f"b_{c}" for c in cells], handleInvalid="keep").transform(part)
+    held = []
+    for i, c in enumerate(cells):
+        at = F.col(f"b_{c}").cast("int")
+        edge = F.coalesce(F.try_element_at(F.array(*[F.lit(e) for e in splits[i][:-1]]), at + 1) == F.col(c), F.lit(False))
+        last = F.col(c) == math.inf  # the last bucket holds its upper end
+        held.append(F.when(F.col(c).isNotNull(), F.struct(F.lit(i).alias("range"), at.alias("bucket"), edge.alias("edge"), last.alias("last"))))
+    counted = places.select(F.explode(F.array_compact(F.array(*held))).alias("p")).groupBy("p.range", "p.bucket", "p.edge", "p.last").count().collect()
+    for i, r in enumerate(ranges):
+        before = 0
+        # In the order of values: each bucket's lower edge, what lies above it, infinity.
+        for row in sorted((x for x in counted if x["range"] == i), key=lambda x: (x["last"], x["bucket"], not x["edge"])):
+            if r.rank < before + row["count"]:
+                low, high = splits[i][row["bucket"]], splits[i][row["bucket"] + 1]
+                if row["edge"] or row["last"]:
+                    r.value = math.inf if row["last"] else low
+                else:
+                    r.rank, r.held, r.low, r.high = r.rank - before, row["count"], max(r.low, low), min(r.high, high)
+                break
+            before += row["count"]
+
+
+def _picked(df: DataFrame, ranges: list[_Range], values: dict[str, Column]) -> None:
+    """Read the values of small ranges and pick each one's rank."""
+    cells = [F.when(r.inside(values).isNotNull(), F.struct(F.lit(i).alias("range"), r.inside(values).alias("value"))) for i, r in enumerate(ranges)]
+    counted = df.select(F.explode(F.array_compact(F.array(*cells))).alias("p")).groupBy("p.range", "p.value").count().collect()
+    for i, r in enumerate(ranges):
+        before = 0
+        for row in sorted((x for x in counted if x["range"] == i), key=lambda x: x["value"]):
+            before += row["count"]
+            if r.rank < before:
+                r.value = row["value"]
+                break
+
+
 def medians(df: DataFrame, columns: list[str]) -> dict[str, float]:
     """The interpolated median of each column that has values. NaN counts as missing.
 
-    Exact: the state is one counter for each distinct value.
+    Exact, by range selection: the middle ranks are narrowed to ranges between sketched
+    edges, whose rows are counted, until a range is small enough to read. No task and no
+    driver holds more than the edges or ``_READ`` values of a range.
     """
-    known = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in columns}
-    found = df.agg(*[F.percentile(value, 0.5).alias(c) for c, value in known.items()]).first()
-    return {c: found[c] for c in columns if found[c] is not None}
+    values = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in columns}
+    counts = df.agg(*[F.count(v).alias(c) for c, v in values.items()]).first() if columns else None
+    known = [c for c in columns if counts[c]]
+    ranges = [_Range(c, rank, counts[c]) for c in known for rank in dict.fromkeys(((counts[c] - 1) // 2, counts[c] // 2))]
+    while open_ranges := [r for r in ranges if r.value is None]:
+        large = [r for r in open_ranges if r.held > _READ]
+        if large:
+            _narrowed(df, large, values)
+        small = [r for r in open_ranges if r not in large]
+        if small:
+            _picked(df, small, values)
+    middle = {c: [r.value for r in ranges if r.column == c] for c in known}
+    return {c: sum(m) / len(m) for c, m in middle.items()}
 
 
 def median_impute(df: DataFrame, columns: list[str]) -> DataFrame:

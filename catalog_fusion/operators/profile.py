@@ -13,6 +13,9 @@ from catalog_fusion.schema import NUMERIC_COLUMNS
 # distinct values.
 CATEGORY_FLOOR = 64
 CATEGORY_SHARE = 20
+# End of fixed values.
+
+_HLL_BITS = 14  # of a sketch of distinct values: 16384 counters at most
 
 
 def numeric_profile(df: DataFrame, columns: Sequence[str] = NUMERIC_COLUMNS) -> DataFrame:
@@ -50,3 +53,53 @@ def categorical_columns(df: DataFrame, columns: Sequence[str], exact: bool = Fal
         for c in columns
     ]
     return counted.select(F.inline(F.array(*rows)))
+
+
+def profile_state(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """What ``merge_profiles`` needs to know of a table: one small row per column, to be stored.
+
+    Sums and sketches of fixed size, so that tables are profiled one by one, as they
+    come, and none is read again. NaN counts as missing; text columns have no sum.
+    """
+    kinds = dict(df.dtypes)
+
+    def state(name: str):
+        value, number = F.col(f"`{name}`"), F.col(f"`{name}`").try_cast("double")
+        if kinds[name] == "string":
+            known, number = value, F.lit(None).cast("double")
+        else:
+            known = number = F.when(~F.isnan(number), number)
+        return F.struct(
+            F.lit(name).alias("column"),
+            F.count(F.lit(1)).alias("rows"),
+            F.count(known).alias("known"),
+            F.sum(number).alias("total"),
+            F.hll_sketch_agg(known.cast("string"), F.lit(_HLL_BITS)).alias("distinct"),
+            F.kll_sketch_agg_double(number).alias("quantiles"),
+        )
+
+    return df.agg(F.array(*[state(c) for c in columns]).alias("states")).select(F.inline("states"))
+
+
+def merge_profiles(states: DataFrame) -> DataFrame:
+    """``(column, count, mean, nulls, distinct, is_category, median)`` of all tables whose states are given.
+
+    Counts and means are exact; distinct values and medians are estimates.
+    """
+    merged = states.groupBy("column").agg(
+        F.sum("rows").alias("rows"),
+        F.sum("known").alias("known"),
+        F.sum("total").alias("total"),
+        F.hll_sketch_estimate(F.hll_union_agg("distinct")).alias("distinct"),
+        F.kll_merge_agg_double("quantiles").alias("quantiles"),
+    )
+    limit = F.greatest(F.lit(CATEGORY_FLOOR), F.floor(F.col("rows") / CATEGORY_SHARE))
+    return merged.select(
+        "column",
+        F.col("known").cast("double").alias("count"),
+        F.try_divide("total", "known").alias("mean"),
+        (F.col("rows") - F.col("known")).cast("double").alias("nulls"),
+        "distinct",
+        (F.col("distinct") < limit).alias("is_category"),
+        F.when(F.col("total").isNotNull(), F.kll_sketch_get_quantile_double("quantiles", F.lit(0.5))).alias("median"),
+    )

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass
+from functools import partial
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -15,12 +16,12 @@ from catalog_fusion.operators.conform import SOURCE_RANK, conform, conform_tagge
 from catalog_fusion.operators.number import assign_movie_ids
 from catalog_fusion.schema import UNIFIED_COLUMNS, UNIFIED_SCHEMA
 from catalog_fusion.scratch import job_scratch, new_scratch_path
+from catalog_fusion.sources.records import Layout, file_number, stage_records
 from catalog_fusion.sources.scan import (
     Source,
     is_parquet,
     null_markers_to_null,
     plain_path,
-    read_layout,
     scan,
     separator_of,
     spread,
@@ -63,21 +64,33 @@ def _source_of(file: str, ranks: dict[str, int]) -> int:
     return ranks[path]
 
 
-def grouped_scans(spark: SparkSession, sources: Sequence[Source]) -> Iterator[DataFrame]:
-    """Conformed rows of all sources, one scan for each layout of their files.
+def staged_groups(spark: SparkSession, sources: Sequence[Source], dest: str) -> list[Callable[[], DataFrame]]:
+    """A job for each layout of the sources' files, which stores its conformed rows below ``dest``.
 
-    The source of a row comes from the path of its file, so the number of scans and
-    jobs grows with the layouts, not with the sources.
+    The source of a row comes from its file, so the number of scans and jobs grows with
+    the layouts, not with the sources.
     """
     ranks = {plain_path(s.path): i for i, s in enumerate(sources)}
-    file, label = F.col("_metadata.file_path").alias("__file"), "__label"
+    path, label, number = F.col("_metadata.file_path"), "__label", "__file"
+    jobs: list[Callable[[], DataFrame]] = []
 
-    def tagged(raw: DataFrame, files: Sequence[str]) -> DataFrame:
+    def tagged(rows: DataFrame, files: Sequence[str], kept: Sequence[str] = ()) -> DataFrame:
         places = [(f, _source_of(f, ranks)) for f in files]
-        lookup = spark.createDataFrame(
-            [(f, sources[i].label, i) for f, i in places], f"__file string, {label} string, __rank int"
-        )
-        return conform_tagged(spread(raw, files).join(lookup, "__file").drop("__file"), label, "__rank")
+        lookup = spark.createDataFrame([(f, sources[i].label, i) for f, i in places], f"path string, {label} string, __rank int")
+        lookup = lookup.select(file_number(F.col("path")).alias(number), label, "__rank")
+        return conform_tagged(rows.join(F.broadcast(lookup), number), label, "__rank", kept)
+
+    def text(layout: Layout, files: list[str], place: str) -> DataFrame:
+        def then(cells: DataFrame, kept: list[str]) -> DataFrame:
+            return tagged(null_markers_to_null(cells, layout.header), files, kept)
+
+        return stage_records(spark, layout, files, then, place, spread)
+
+    def stored(paths: list[str], place: str) -> DataFrame:
+        raw = spark.read.parquet(*paths)
+        rows = tagged(raw.select("*", file_number(path).alias(number)), raw.inputFiles())
+        write_parquet(rows, place)
+        return spark.read.schema(rows.schema).parquet(place)
 
     separators: dict[str, list[str]] = {}
     for s in sources:
@@ -85,30 +98,26 @@ def grouped_scans(spark: SparkSession, sources: Sequence[Source]) -> Iterator[Da
             separators.setdefault(s.sep or separator_of(s.path), []).append(s.path)
     for sep, paths in separators.items():
         for layout, files in text_layouts(spark, paths, sep).items():
-            raw = read_layout(spark, layout, files).select(*[F.col(f"`{c}`") for c in layout.header], file)
-            data = null_markers_to_null(raw.select(*[F.col(f"`{c}`") for c in raw.columns]))
-            yield tagged(data, files)
+            jobs.append(partial(text, layout, files, f"{dest}/layout={len(jobs)}"))
 
-    stored = [s.path for s in sources if is_parquet(s.path)]
+    tables = [s.path for s in sources if is_parquet(s.path)]
     schemas: dict[str, list[str]] = {}
     with ThreadPoolExecutor(INGEST_JOBS) as pool:
-        for path, schema in zip(stored, pool.map(lambda p: spark.read.parquet(p).schema.json(), stored), strict=True):
-            schemas.setdefault(schema, []).append(path)
+        for name, schema in zip(tables, pool.map(lambda p: spark.read.parquet(p).schema.json(), tables), strict=True):
+            schemas.setdefault(schema, []).append(name)
     for paths in schemas.values():
-        raw = spark.read.parquet(*paths)
-        files = [r[0] for r in raw.select(file).distinct().collect()]
-        yield tagged(raw.select("*", file), files)
+        jobs.append(partial(stored, paths, f"{dest}/layout={len(jobs)}"))
+    return jobs
 
 
 def stage_sources(spark: SparkSession, sources: Sequence[Source], dest: str) -> tuple[DataFrame, int]:
     """All sources as one stored table of conformed rows, and its row count."""
-    scans = list(grouped_scans(spark, sources)) or [conform(spark.createDataFrame([], UNIFIED_SCHEMA), "")]
-    places = [f"{dest}/layout={i}" for i in range(len(scans))]
     # Independent jobs at a time, so that a small layout does not leave the cluster idle.
     with ThreadPoolExecutor(INGEST_JOBS) as pool:
-        rows = sum(pool.map(inheritable_thread_target(spark)(write_parquet), scans, places))
-    columns = [*UNIFIED_COLUMNS, SOURCE_RANK]
-    return spark.read.parquet(*places).select(*[F.col(f"`{c}`") for c in columns]), rows
+        parts = list(pool.map(inheritable_thread_target(spark)(lambda job: job()), staged_groups(spark, sources, dest)))
+    parts = parts or [conform(spark.createDataFrame([], UNIFIED_SCHEMA), "")]
+    rows = union_sources([p.select(*[F.col(f"`{c}`") for c in (*UNIFIED_COLUMNS, SOURCE_RANK)]) for p in parts])
+    return rows, rows.count()
 
 
 def fuse(parts: Sequence[DataFrame]) -> DataFrame:

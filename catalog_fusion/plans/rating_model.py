@@ -3,36 +3,35 @@
 from __future__ import annotations
 
 import json
+import zlib
 from dataclasses import dataclass, replace
 from datetime import date
-from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import SQLTransformer, VarianceThresholdSelector, VectorAssembler
 from pyspark.ml.regression import (
     GBTRegressionModel,
     GBTRegressor,
     LinearRegression,
     LinearRegressionModel,
 )
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 
 from catalog_fusion.functions.features import (
     ENCODED_FEATURES,
-    ENCODED_KEYS,
     FEATURES,
     GENRE_FEATURES,
     NUMERIC_FEATURES,
     prepare_features,
     with_calendar_features,
 )
-from catalog_fusion.functions.requests import SLOT_HOURS, TOP_N, conform_requests, slot_grid
+from catalog_fusion.functions.requests import SLOT_HOURS, TOP_N, conform_requests, same_calendar, slot_grid
 from catalog_fusion.operators.conform import labelled
 from catalog_fusion.operators.encode import TargetEncoder
-from catalog_fusion.operators.evaluate import clip_rating, medians, metric_columns, temporal_split
+from catalog_fusion.operators.evaluate import clip_rating, metric_columns, temporal_split
 from catalog_fusion.operators.number import number_rows, title_order
 from catalog_fusion.operators.slots import top_importances, top_slots
+from catalog_fusion.plans.stages import RIDGE_INPUT, TREE_INPUT, FeatureBuilder, FeatureBuilderModel, Preparation, feature_frame
 from catalog_fusion.scratch import materialize, scratch_dir
 from catalog_fusion.sources.sink import write_report
 
@@ -49,55 +48,10 @@ IMPORTANCE_SEED = 0
 # End of fixed values.
 
 TREES, RIDGE = "GBTRegressor", "Ridge"
-# Features that a film can lack; the others are always known.
-OPTIONAL = [
-    "year",
-    "month",
-    "dayofweek",
-    "release_hour",
-    "runtime_min",
-    "budget_log",
-    "vote_count_log",
-]
-_TREE_INPUT, _RIDGE_INPUT = "tree_features", "ridge_features"
 # Rows of a partition of the training frame: each round is several jobs over it.
 _TRAINING_ROWS = 20_000
 
 
-def feature_frame(df: DataFrame, encoder: TargetEncoder) -> DataFrame:
-    """The 31 features in order, as floats, beside the input row in ``row``."""
-    rows = df.withColumn("row", F.struct(*[F.col(f"`{c}`") for c in df.columns]))
-    encoded = encoder.transform(prepare_features(rows))
-    return encoded.select("row", *[F.col(c).cast("float").alias(c) for c in FEATURES])
-
-
-def _preparation(features: DataFrame) -> PipelineModel:
-    """Median imputation, missing flags and the input vectors of both models.
-
-    A feature that the training rows never have carries nothing and is left out.
-    """
-    known = features.agg(*[F.count(F.col(c)).alias(c) for c in OPTIONAL]).first()
-    empty = {c for c in OPTIONAL if known[c] == 0}
-    optional = [c for c in OPTIONAL if c not in empty]
-    used = [c for c in FEATURES if c not in empty]
-    middle = medians(features, optional) if optional else {}
-    values = ", ".join(f"CAST(coalesce({c}, {middle[c]!r}D) AS DOUBLE) AS {c}_filled" for c in optional)
-    flags = ", ".join(f"CAST({c} IS NULL AS DOUBLE) AS {c}_missing" for c in optional)
-    stages = [
-        SQLTransformer(statement=f"SELECT *, {flags}, {values} FROM __THIS__"),
-    ]
-    filled = [f"{c}_filled" if c in optional else c for c in used]
-    stages += [
-        VectorAssembler(inputCols=filled, outputCol="filled_features"),
-        # A constant feature adds nothing to a linear model and would make its equations singular.
-        VarianceThresholdSelector(featuresCol="filled_features", outputCol=_RIDGE_INPUT, varianceThreshold=0.0),
-        VectorAssembler(inputCols=["filled_features", *[f"{c}_missing" for c in optional]], outputCol=_TREE_INPUT),
-    ]
-    if not optional:
-        stages = stages[1:]
-    return Pipeline(stages=stages).fit(features)
-
-
 def fit_ridge(prepared: DataFrame, alpha: float = RIDGE_ALPHA) -> LinearRegressionModel:
     """Ridge regression with a free intercept, solved exactly in one pass.
 
@@ -105,7 +59,7 @@ def fit_ridge(prepared: DataFrame, alpha: float = RIDGE_ALPHA) -> LinearRegressi
     """
     stats = prepared.agg(F.count("rating").alias("n"), F.stddev_pop("rating").alias("sd")).first()
     return LinearRegression(
-        featuresCol=_RIDGE_INPUT,
+        featuresCol=RIDGE_INPUT,
         labelCol="rating",
         predictionCol="ridge_prediction",
         elasticNetParam=0.0,
@@ -124,8 +78,12 @@ def fit_trees(prepared: DataFrame, rounds: int = TREE_ROUNDS) -> GBTRegressionMo
     scratch_dir(prepared.sparkSession)
     rows = prepared.count()
     prepared = prepared.repartition(max(1, -(-rows // _TRAINING_ROWS)))
+    return tree_regressor(rounds).fit(prepared)
+
+
+def tree_regressor(rounds: int = TREE_ROUNDS) -> GBTRegressor:
     return GBTRegressor(
-        featuresCol=_TREE_INPUT,
+        featuresCol=TREE_INPUT,
         labelCol="rating",
         predictionCol="tree_prediction",
         maxDepth=TREE_DEPTH,
@@ -135,7 +93,22 @@ def fit_trees(prepared: DataFrame, rounds: int = TREE_ROUNDS) -> GBTRegressionMo
         maxBins=TREE_BINS,
         seed=SEED,
         checkpointInterval=10,
-    ).fit(prepared)
+    )
+
+
+def donor_place(place: Column, total: int, key: int) -> Column:
+    """A permutation of the places ``1..total``: a turn whose length the key decides.
+
+    Places follow a random order, so a turn pairs rows at random, and no row with itself
+    where there are two.
+    """
+    turn = 1 + zlib.crc32(f"turn {IMPORTANCE_SEED} {key}".encode()) % max(1, total - 1)
+    return (place - 1 + turn) % max(1, total) + 1
+
+
+def rating_pipeline(rounds: int = TREE_ROUNDS) -> Pipeline:
+    """Titles with a rating to boosted trees, as one Spark ML pipeline."""
+    return Pipeline(stages=[FeatureBuilder(), Preparation(), tree_regressor(rounds)])
 
 
 def permutation_importance(
@@ -146,19 +119,17 @@ def permutation_importance(
 ) -> DataFrame:
     """``(feature, importance)``: growth of the squared error when a feature is shuffled.
 
-    ``features`` holds the rating, the features and a stored uniform ``draw_i``
-    per round. Rows are numbered by their draw, and each takes the value of the
-    next one, the last that of the first: a random permutation by even shuffles,
-    whatever the size. Errors are reduced to one number per feature within the tasks.
+    ``features`` holds the rating, the features and a stored uniform ``draw``. Rows are
+    numbered once, by their draw; in each round a row takes the values of the one that
+    ``donor_place`` names, a permutation keyed by the round: one sort, and even shuffles of
+    one kind at every size. Errors are reduced to one number per feature within the tasks.
     """
-    donations = []
-    for i in range(rounds):
-        dealt = features.select("rating", F.array(*FEATURES).alias("own"), f"draw_{i}")
-        placed = number_rows(dealt, [F.col(f"draw_{i}"), F.xxhash64("rating", "own")], "place")
-        total = placed.count()
-        donors = placed.select((F.col("place") % total + 1).alias("place"), F.col("own").alias("other"))
-        donations.append(placed.join(donors, "place").select("rating", "own", "other"))
-    donated = reduce(DataFrame.unionByName, donations)
+    dealt = features.select("rating", F.array(*FEATURES).alias("own"), "draw")
+    placed = materialize(number_rows(dealt, [F.col("draw"), F.xxhash64("rating", "own")], "place").drop("draw"), "placed")
+    total = placed.count()
+    donors = placed.select("place", F.col("own").alias("other"))
+    wanted = F.explode(F.array(*[donor_place(F.col("place"), total, i) for i in range(rounds)])).alias("place")
+    donated = placed.select("rating", "own", wanted).join(donors, "place").select("rating", "own", "other")
     variants = donated.select(
         "rating", "own", "other", F.explode(F.sequence(F.lit(0), F.lit(len(FEATURES) - 1))).alias("index")
     )
@@ -206,11 +177,11 @@ class RatingModel:
         if rated.isEmpty():
             raise ValueError("no film has a rating")
         split = temporal_split(rated, title_order())
-        encoder = TargetEncoder.fit(prepare_features(split.train), ENCODED_KEYS, "rating")
+        encoder = FeatureBuilder().fit(split.train).encoder
         train = stored_features(split.train, encoder, "train")
         test = stored_features(split.test, encoder, "test")
-        preparation = _preparation(train)
-        prepared = preparation.transform(train).select("rating", _TREE_INPUT, _RIDGE_INPUT)
+        preparation = Preparation().fit(train)
+        prepared = preparation.transform(train).select("rating", TREE_INPUT, RIDGE_INPUT)
         trees, ridge = fit_trees(prepared, rounds), fit_ridge(prepared)
 
         scored = ridge.transform(trees.transform(preparation.transform(test)))
@@ -271,27 +242,34 @@ class RatingModel:
         window_end: str = "window_end",
         hours: tuple[int, ...] = SLOT_HOURS,
         top_n: int | Column = TOP_N,
+        observation: Observation | None = None,
     ) -> DataFrame:
         """The best release slots within each request's window.
 
-        ``requests`` has a unique ``request_id``. All slots of all requests are
-        scored in one pass.
+        ``requests`` has a unique ``request_id``. Features know a day by its year, month and
+        weekday, so each of these is scored once for a request and hour; the best of them
+        are at least as many slots as are asked for, and only they become days again.
+        ``observation`` counts what is ``scored``.
         """
         known = conform_requests(requests)
         # All that does not depend on the slot is computed and looked up once per request.
         encoded = self.encoder.transform(prepare_features(known))
         fixed = [*NUMERIC_FEATURES, *ENCODED_FEATURES, *GENRE_FEATURES]
         carried = ["request_id", *dict.fromkeys([window_start, window_end]), *fixed]
-        grid = slot_grid(encoded.select(*carried), window_start, window_end, hours)
+        grid = slot_grid(encoded.select(*carried), window_start, window_end, hours, distinct=True)
         timed = with_calendar_features(grid)
         scored, rating = self.score(timed.withColumns({c: F.col(c).cast("float") for c in FEATURES if c != "release_hour"}))
-        most = requests.agg(F.max(top_n)).first()[0] if isinstance(top_n, Column) else None
+        most = requests.agg(F.max(top_n)).first()[0] if isinstance(top_n, Column) else top_n
         limits = known.select("request_id", (top_n if isinstance(top_n, Column) else F.lit(top_n)).alias("_limit"))
         slots = scored.select(
             "request_id", "release_date", F.col("release_hour").cast("int").alias("release_hour"), "weekday", "hour_pos",
-            rating.alias("predicted_rating"),
+            F.col(window_end).alias("_window_end"), rating.alias("predicted_rating"),
         )
-        best = top_slots(slots, top_n if most is None else most)
+        if observation is not None:
+            slots = slots.observe(observation, F.count(F.lit(1)).alias("scored"))
+        # A slot among the best is among those of the best first days, as many.
+        first = top_slots(slots, most).drop("slot_rank")
+        best = top_slots(same_calendar(first, "_window_end").drop("_window_end"), most)
         others = [c for c in known.columns if c not in ("request_id", "release_date", "release_hour", "year", "weekday", "hour_pos")]
         own = known.select("request_id", *[F.col(f"`{c}`") for c in others])
         best = best.join(limits, "request_id").where(F.col("slot_rank") <= F.col("_limit")).drop("_limit")
@@ -301,14 +279,15 @@ class RatingModel:
         """The training report as one row."""
         return spark.createDataFrame([Row(**self.report)], REPORT_SCHEMA)
 
+    def pipeline(self) -> PipelineModel:
+        """Features, preparation and both candidates as one Spark ML model."""
+        return PipelineModel([FeatureBuilderModel(self.encoder), self.preparation, self.trees, self.ridge])
+
     def save(self, path: str) -> None:
         """Write the model below ``path``, replacing what is there."""
-        for name in ("preparation", "trees", "ridge"):
-            getattr(self, name).write().overwrite().save(f"{path}/{name}")
-        self.encoder.table.write.mode("overwrite").parquet(f"{path}/encoder")
-        state = {"kind": _KIND, "default": self.encoder.default, "report": json.dumps(self.report)}
-        spark = self.encoder.table.sparkSession
-        write_report(spark.createDataFrame([Row(**state)]), f"{path}/model")
+        self.pipeline().write().overwrite().save(f"{path}/pipeline")
+        state = {"kind": _KIND, "report": json.dumps(self.report)}
+        write_report(self.encoder.table.sparkSession.createDataFrame([Row(**state)]), f"{path}/model")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> RatingModel:
@@ -317,15 +296,8 @@ class RatingModel:
         if state is None or "kind" not in state or state["kind"] != _KIND:
             raise TypeError(f"{path} does not hold a rating model")
         report = json.loads(state["report"])
-        table = spark.read.parquet(f"{path}/encoder")
-        return cls(
-            TargetEncoder.of(table, state["default"], ENCODED_KEYS),
-            PipelineModel.load(f"{path}/preparation"),
-            GBTRegressionModel.load(f"{path}/trees"),
-            LinearRegressionModel.load(f"{path}/ridge"),
-            report["algorithm"],
-            report,
-        )
+        features, preparation, trees, ridge = PipelineModel.load(f"{path}/pipeline").stages
+        return cls(features.encoder, preparation, trees, ridge, report["algorithm"], report)
 
 
 _KIND = "rating-model"
@@ -337,11 +309,10 @@ REPORT_SCHEMA = (
 
 
 def stored_features(titles: DataFrame, encoder: TargetEncoder, label: str) -> DataFrame:
-    """Rating, features and one uniform draw per importance round, written once."""
-    draws = [F.rand(IMPORTANCE_SEED + i).alias(f"draw_{i}") for i in range(IMPORTANCE_ROUNDS)]
+    """Rating, features and a uniform draw, written once."""
     rows = feature_frame(titles, encoder)
     return materialize(
-        rows.select(F.col("row.rating").cast("double").alias("rating"), *FEATURES, *draws), f"{label}-features"
+        rows.select(F.col("row.rating").cast("double").alias("rating"), *FEATURES, F.rand(IMPORTANCE_SEED).alias("draw")), f"{label}-features"
     )
 
 

@@ -16,13 +16,16 @@ _MADE: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("made",
 def scratch_dir(spark: SparkSession) -> str:
     """The shared scratch folder: ``spark.checkpoint.dir`` of the session.
 
-    A session that names none works below its warehouse, which all executors of a
-    cluster share as well.
+    A session that names none works below its warehouse, unless that is a local folder
+    of one machine of a cluster.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder is None:
-        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        if warehouse.startswith(("file:", "/")) and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the cluster shares")
+        folder = f"{warehouse}/_scratch"
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return folder

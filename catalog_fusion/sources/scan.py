@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import csv
+import io
 import re
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import partial, reduce
 from pathlib import PurePosixPath
@@ -15,8 +17,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from catalog_fusion.schema import TEXT_NULL_MARKERS
+from catalog_fusion.sources.records import Layout, ends_inside, stage_records
 
 _OVERFLOW = "__overflow"
+_HEADERS_AT_A_TIME = 16
 
 
 @dataclass(frozen=True)
@@ -45,11 +49,11 @@ def separator_of(path: str) -> str:
     return "\t" if ".tsv" in _file_name(path) else ","
 
 
-def null_markers_to_null(df: DataFrame) -> DataFrame:
-    """Null for every text cell that is one of the missing-value markers."""
-    return df.select(
-        *[F.when(~F.col(f"`{c}`").isin(TEXT_NULL_MARKERS), F.col(f"`{c}`")).alias(c) for c in df.columns]
-    )
+def null_markers_to_null(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Null for every text cell that is one of the missing-value markers, in ``columns`` or all."""
+    chosen = set(df.columns if columns is None else columns)
+    cells = {c: F.col(f"`{c}`") for c in df.columns}
+    return df.select(*[F.when(~v.isin(TEXT_NULL_MARKERS), v).alias(c) if c in chosen else v for c, v in cells.items()])
 
 
 def _plain_headers(cells: Sequence[str]) -> tuple[str, ...]:
@@ -62,61 +66,49 @@ def _plain_headers(cells: Sequence[str]) -> tuple[str, ...]:
     return tuple(names)
 
 
-@dataclass(frozen=True)
-class Layout:
-    """What files of delimited text have in common, so that one scan reads them all."""
+_HEADER_BYTES = 1 << 20  # of a header line at most
 
-    header: tuple[str, ...]
-    sep: str
-    multiline: bool
 
+def _first_record(spark: SparkSession, file: str, sep: str) -> str | None:
+    """The first line of a file that is not blank, with the lines that its quotes span."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(file))
+    stream = path.getFileSystem(conf).open(path)
+    codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(path)
+    reader = jvm.org.apache.hadoop.util.LineReader(stream if codec is None else codec.createInputStream(stream), conf)
+    try:
+        line, held = jvm.org.apache.hadoop.io.Text(), ""
+        while reader.readLine(line, _HEADER_BYTES, _HEADER_BYTES) > 0:
+            held = f"{held}\n{line.toString()}" if held else line.toString()
+            if held.strip() and not (len(held) < _HEADER_BYTES and ends_inside(held.lstrip("\ufeff"), False, sep)):
+                return held
+            held = held if held.strip() else ""
+        return held or None
+    finally:
+        reader.close()
 
-def text_layouts(spark: SparkSession, paths: Sequence[str], sep: str) -> dict[Layout, list[str]]:
-    """The files below ``paths`` by layout, in one distributed pass over their lines.
 
-    A file in which a line has an odd number of quotes may have line breaks inside
-    quotes and is read whole; all others can be split. One row per file reaches the
-    driver, which lists them in any case. Files without a line are left out.
-    """
-    lines = (
-        spark.read.text(list(paths))
-        .select(
-            "value",
-            F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("line"),
-        )
-        .where(F.length(F.trim("value")) > 0)
-    )
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    first = F.when(F.col("block") == 0, F.col("line"))
-    files = lines.groupBy("file").agg(
-        F.min_by("value", first).alias("header"), F.bool_or(quotes % 2 == 1).alias("multiline")
-    )
+def text_layouts(spark: SparkSession, paths: Sequence[str], sep: str) -> dict[Layout, list[str]]:
+    """The files below ``paths`` by layout. Only the header of each is read; files without a line are left out."""
+    files = sorted(spark.read.text(list(paths)).inputFiles())
     layouts: dict[Layout, list[str]] = {}
-    for row in files.orderBy("file").collect():
-        cells = next(csv.reader([row["header"]], delimiter=sep))
-        layouts.setdefault(Layout(_plain_headers(cells), sep, row["multiline"]), []).append(row["file"])
+    with ThreadPoolExecutor(_HEADERS_AT_A_TIME) as pool:
+        for file, record in zip(files, pool.map(lambda f: _first_record(spark, f, sep), files), strict=True):
+            if record is not None:
+                cells = next(csv.reader(io.StringIO(record.lstrip("\ufeff")), delimiter=sep))
+                layouts.setdefault(Layout(_plain_headers(cells), sep), []).append(file)
     return layouts
 
 
-def read_layout(spark: SparkSession, layout: Layout, files: Sequence[str]) -> DataFrame:
-    """Files of one layout: every column a string, no value more than the header has names.
+def read_split_lines(spark: SparkSession, layout: Layout, files: Sequence[str]) -> DataFrame:
+    """Files of one layout whose cells hold no line breaks, lazily: every column a string.
 
-    A row with more cells is an error, since it can not be told which are wrong.
+    A row with more cells than the header is an error, since it can not be told which are wrong.
     """
     schema = T.StructType([T.StructField(c, T.StringType()) for c in (*layout.header, _OVERFLOW)])
-    raw = spark.read.schema(schema).csv(
-        [unquote(f) for f in files],
-        header=True,
-        sep=layout.sep,
-        quote='"',
-        escape='"',
-        encoding="UTF-8",
-        multiLine=layout.multiline,
-    )
+    raw = spark.read.schema(schema).csv([unquote(f) for f in files], header=True, sep=layout.sep, quote='"', escape='"', encoding="UTF-8")
     long = F.concat(F.lit("a row has more cells than the header: "), F.concat_ws(layout.sep, *[F.col(f"`{c}`") for c in raw.columns]))
-    return raw.where(F.when(F.col(_OVERFLOW).isNotNull(), F.raise_error(long).cast("boolean")).otherwise(F.lit(True)))
+    return raw.where(F.when(F.col(_OVERFLOW).isNotNull(), F.raise_error(long).cast("boolean")).otherwise(F.lit(True))).drop(_OVERFLOW)
 
 
 def scan_text(
@@ -125,20 +117,27 @@ def scan_text(
     *,
     sep: str | None = None,
     columns: Sequence[str] | None = None,
+    line_breaks: bool = True,
 ) -> DataFrame:
     """Delimited text with headers; every column stays a string.
 
-    Each file is read by its own header, and line breaks inside quotes are kept.
-    Compression follows the file suffix; files that one task has to read whole are
-    spread over the cluster after the scan.
+    Each file is read by its own header, and line breaks inside quotes are kept: text is
+    read once, into a stored table of its cells. Where no cell holds a line break, the
+    caller can say so, and the files are scanned lazily as they are. Compression follows
+    the file suffix; rows of files that one task has to read whole are spread over the cluster.
     """
     paths = [path] if isinstance(path, str) else list(path)
     parts = []
     for layout, files in text_layouts(spark, paths, sep or separator_of(paths[0])).items():
-        part = read_layout(spark, layout, files).drop(_OVERFLOW)
-        wanted = layout.header if columns is None else [c for c in columns if c in layout.header]
-        part = null_markers_to_null(part.select(*[F.col(f"`{c}`") for c in wanted]))
-        parts.append(spread(part, files))
+        wanted = [c for c in layout.header if columns is None or c in columns]
+
+        def shaped(cells: DataFrame, kept: list[str], wanted: list[str] = wanted) -> DataFrame:
+            return null_markers_to_null(cells.select(*[F.col(f"`{c}`") for c in wanted], *kept), wanted)
+
+        if line_breaks:
+            parts.append(stage_records(spark, layout, files, shaped, spread=spread))
+        else:
+            parts.append(spread(shaped(read_split_lines(spark, layout, files), []), files))
     if not parts:
         return spark.createDataFrame([], T.StructType([T.StructField(c, T.StringType()) for c in columns or []]))
     rows = reduce(partial(DataFrame.unionByName, allowMissingColumns=True), parts)
@@ -178,8 +177,14 @@ def plain_path(path: str) -> str:
 
 
 def parquet_row_count(spark: SparkSession, path: str) -> DataFrame:
-    """Row count of a Parquet table, as one row; only footers are read."""
-    return spark.read.parquet(path).agg(F.count(F.lit(1)).alias("rows"))
+    """Row count of a Parquet table, as one row, from the files' footers alone.
+
+    Counts are pushed down by the newer Parquet reader, which a session of its own selects.
+    """
+    counting = spark.newSession()
+    counting.conf.set("spark.sql.sources.useV1SourceList", "")
+    counting.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    return counting.read.parquet(path).agg(F.count(F.lit(1)).alias("rows"))
 
 
 def discover(spark: SparkSession, root: str) -> list[Source]:

@@ -81,7 +81,7 @@ def test_encoder_plans(spark):
     assert "CartesianProduct" not in plan(encoder.transform(df, broadcast_bytes=0))
 
 
-def test_large_lookup_shuffles_rows_twice_whatever_the_columns(spark):
+def test_large_lookup_moves_rows_once_whatever_the_columns(spark):
     df, _ = lines(spark)
     wide = df.withColumns({f"k{i}": F.col("k") for i in range(5)})
     encoder = encode.TargetEncoder.fit(wide, ["k", *[f"k{i}" for i in range(5)]], "y")
@@ -91,12 +91,27 @@ def test_large_lookup_shuffles_rows_twice_whatever_the_columns(spark):
         plan = out._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    # Rows to the join, the lookup table to it, rows back together.
-    assert plan.count("Exchange hashpartitioning") == 3 and plan.count("Join") == 1
+    # Narrow rows to the lookup, its table, narrow rows back together, and the rows to those.
+    assert plan.count("Exchange hashpartitioning") == 4 and plan.count("SortMergeJoin") == 2
     small = encoder.transform(wide)
     assert sorted(map(str, out.collect())) == sorted(map(str, small.select(out.columns).collect()))
 
 
+def test_frequent_keys_are_not_shuffled(spark):
+    """One key with a third of the rows, seen or not in training, fills no task of the lookup."""
+    rows = spark.range(30_000).select(
+        F.col("id"), F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, "new" * 100).otherwise(F.concat(F.lit("k"), F.col("id"))).alias("k"), (F.col("id") % 7).cast("double").alias("y")
+    )
+    encoder = encode.TargetEncoder.fit(rows.where("id % 3 <> 1"), ["k"], "y")
+    keys = {"k": "_key0"}
+    numbered = rows.select(F.col("id").alias("_row"), encode._narrow(F.col("k")).alias("_key0"))
+    cold = encode.cold_probes(numbered, keys, encode.hot_hashes(numbered, ["_key0"]))
+    sizes = [r["count"] for r in cold.repartition(8, "column", "_narrow").groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 2 * sorted(sizes)[4] and sum(sizes) <= 10_000
+    large, small = (encoder.transform(rows, **b).select("id", "k_enc").collect() for b in ({"broadcast_bytes": 0}, {}))
+    assert sorted(large) == sorted(small) and len(large) == 30_000
+
+
 def test_split(spark):
     years = spark.range(1000).select(F.col("id").cast("string").alias("movie_id"), (F.col("id") % 10 + 2000).cast("int").alias("year"))
     split = evaluate.temporal_split(years, [F.col("movie_id")])

@@ -1,12 +1,19 @@
 import math
+import zlib
+from datetime import date
 
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from catalog_fusion.checks.queries import titles
 from catalog_fusion.functions.features import FEATURES
 from catalog_fusion.plans import rating_model as rm
+from catalog_fusion.plans import tree_table
 
 WANTED = {
     "title": "Harbour Lights",
@@ -127,3 +134,73 @@ def test_hot_keys_in_importance(spark, catalogue, model):
     scores = {r["feature"]: r["importance"] for r in rm.permutation_importance(rows, model.preparation, model.trees).collect()}
     assert set(scores) == set(FEATURES)
     assert scores["release_hour"] > 0.05 > abs(scores["genre_drama"])
+
+
+def test_importance_equals_pandas(spark, catalogue, model):
+    """The same turns of the same order, row by row."""
+    rows = rm.stored_features(catalogue.filter("rating is not null"), model.encoder, "i")
+    got = {r["feature"]: r["importance"] for r in rm.permutation_importance(rows, model.preparation, model.trees, rounds=2).collect()}
+    order = rm.number_rows(rows, [F.col("draw"), F.xxhash64("rating", F.array(*FEATURES))], "place").toPandas().sort_values("place").reset_index(drop=True)
+    total, parts = len(order), []
+    for key in range(2):
+        turn = 1 + zlib.crc32(f"turn {rm.IMPORTANCE_SEED} {key}".encode()) % (total - 1)
+        other = order.loc[(np.arange(total) + turn) % total].reset_index(drop=True)
+        assert (other["place"] != order["place"]).all()
+        parts += [order.assign(**{f: other[f]}, feature=f) for f in FEATURES]
+    error = F.avg((F.col("tree_prediction") - F.col("rating")) ** 2).alias("error")
+    score = lambda df: model.trees.transform(model.preparation.transform(df))
+    variants = spark.createDataFrame(pd.concat(parts).astype(object).where(lambda d: d.notna(), None).drop(columns="place"), f"{rows.schema.simpleString()[7:-1]}, feature string")
+    before = score(rows).agg(error).first()["error"]
+    want = {r["feature"]: r["error"] - before for r in score(variants).groupBy("feature").agg(error).collect()}
+    assert got == pytest.approx(want, abs=2e-5)
+
+
+def test_importance_sorts_once(catalogue, model):
+    rows = rm.stored_features(catalogue.filter("rating is not null"), model.encoder, "i")
+    plan = rm.permutation_importance(rows, model.preparation, model.trees)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" not in plan and plan.count("Join") == 1
+
+
+def test_places_are_permuted(spark):
+    for total in (1, 2, 3, 50):
+        places = spark.range(1, total + 1).select(*[rm.donor_place(F.col("id"), total, k).alias(f"p{k}") for k in range(4)]).collect()
+        assert all(sorted(r[k] for r in places) == list(range(1, total + 1)) for k in range(4))
+
+
+def test_slots_equal_the_whole_grid(spark, model):
+    window = {"window_start": "2027-01-20", "window_end": "2028-02-10"}
+    wanted = spark.createDataFrame([WANTED | window | {"request_id": i, "runtime_min": 90 + i} for i in (1, 2)])
+    seen = Observation()
+    for kind in (rm.TREES, rm.RIDGE):
+        chosen = model.choosing(kind)
+        found = chosen.recommend(wanted, top_n=40, observation=seen if kind == rm.TREES else None).collect()
+        got = sorted((r["request_id"], r["slot_rank"], r["release_date"], r["release_hour"], r["weekday"], r["predicted_rating"]) for r in found)
+        grid = rm.slot_grid(wanted.drop("release_date", "release_hour"))
+        scored = chosen.predict_requests(grid).select("request_id", "release_date", "release_hour", "weekday", "hour_pos", "predicted_rating")
+        whole = rm.top_slots(scored, 40).collect()
+        assert got == sorted((r["request_id"], r["slot_rank"], r["release_date"], r["release_hour"], r["weekday"], r["predicted_rating"]) for r in whole)
+    slots = 2 * (date(2028, 2, 10) - date(2027, 1, 20)).days * 6
+    assert seen.get["scored"] <= 2 * 504 * 14 / 12 < slots / 2
+
+
+def test_table_of_trees_scores_the_same(spark, catalogue, model):
+    nodes = tree_table.tree_nodes(spark, model.trees)
+    assert nodes.select("tree").distinct().count() == len(model.trees.trees)
+    scored, _ = model.choosing(rm.TREES).score(rm.feature_frame(catalogue, model.encoder))
+    rows = rm.materialize(scored.select(vector_to_array("tree_features").alias("x"), "tree_prediction"), "rows")
+    out = tree_table.score_nodes(rows, nodes, F.col("x"), rm.TREE_DEPTH)
+    gap = out.agg(F.max(F.abs(F.col("prediction") - F.col("tree_prediction"))).alias("gap"), F.count("prediction").alias("n")).first()
+    assert gap["gap"] < 1e-9 and gap["n"] == catalogue.count()
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_one_pipeline_is_saved_and_loaded(catalogue, tmp_path):
+    rated = catalogue.filter("rating is not null")
+    fitted = rm.rating_pipeline(rounds=3).fit(rated)
+    fitted.save(str(tmp_path / "p"))
+    again = PipelineModel.load(str(tmp_path / "p"))
+    left, right = (sorted((r["row"]["movie_id"], r["tree_prediction"]) for r in m.transform(catalogue).select("row", "tree_prediction").collect()) for m in (fitted, again))
+    assert left == right and len(left) == catalogue.count()
+    unfitted = rm.rating_pipeline(rounds=3)
+    unfitted.save(str(tmp_path / "u"))
+    assert [type(s).__name__ for s in Pipeline.load(str(tmp_path / "u")).getStages()] == ["FeatureBuilder", "Preparation", "GBTRegressor"]

@@ -60,7 +60,7 @@ def test_rows_longer_than_the_header_are_an_error(spark, tmp_path):
 
 def test_part_files_that_cannot_be_split_are_spread(spark, tmp_path):
     spark.range(10).selectExpr("id", "'x' AS v").write.csv(str(tmp_path / "g.csv"), header=True, compression="gzip")
-    plan = scan.scan(spark, str(tmp_path / "g.csv"))._jdf.queryExecution().optimizedPlan().toString()
+    plan = scan.scan_text(spark, str(tmp_path / "g.csv"), line_breaks=False)._jdf.queryExecution().optimizedPlan().toString()
     assert "RebalancePartitions" in plan
 
 
@@ -72,9 +72,9 @@ def test_many_sources_are_one_scan_and_nothing_stays(spark, tmp_path):
     for i in range(3):
         (raw / f"z{i}.csv").write_text(f"year,title\n200{i},Other\n")
     sources = scan.discover(spark, str(raw))
-    scans = list(fuse.grouped_scans(spark, sources))
-    assert len(scans) == 2
-    ranks = {(r["source"], r["source_rank"]) for s in scans for r in s.collect()}
+    jobs = fuse.staged_groups(spark, sources, str(tmp_path / "groups"))
+    assert len(jobs) == 2
+    ranks = {(r["source"], r["source_rank"]) for job in jobs for r in job().collect()}
     assert ranks == {(s.label, i) for i, s in enumerate(sources)}
     scratch = Path(scratch_dir(spark).removeprefix("file:"))
     before = set(scratch.iterdir()) if scratch.exists() else set()
@@ -93,6 +93,13 @@ def test_staged_filters_reach_the_scan(spark, tmp_path):
     assert "Python" not in plan
 
 
+def test_rows_are_counted_by_footers(spark, tmp_path):
+    spark.range(1000).repartition(3).write.parquet(str(tmp_path / "t"))
+    counted = scan.parquet_row_count(spark, str(tmp_path / "t"))
+    plan = counted._jdf.queryExecution().executedPlan().toString()
+    assert "PushedAggregation: [COUNT(*)]" in plan and counted.first()["rows"] == 1000
+
+
 def test_projection_reaches_the_scan(spark, tmp_path):
     spark.range(10).selectExpr("id", "id * 2 AS twice").write.parquet(str(tmp_path / "t.parquet"))
     df = scan.scan(spark, str(tmp_path / "t.parquet"), columns=["twice"])
