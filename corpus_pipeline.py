@@ -10,8 +10,8 @@ from catalog_fusion.llm import parity_join, secret_links, sentence_pieces, templ
 from catalog_fusion.llm.tables import table
 from catalog_fusion.scratch import materialize
 
-#: Share of a text's words that its language has at least. Texts without letters have 0.
-LANGUAGE_SHARE = 0.3
+#: Share of a text's words that its language has at least: most of them. Texts without letters have 0.
+LANGUAGE_SHARE = 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
