@@ -390,7 +390,8 @@ def jaccard_components(documents: DataFrame, key: str = "doc_id") -> DataFrame:
     links, the row's own included. Two rows are linked if the Jaccard similarity of their
     sets of five-word shingles is 0.8 or more; texts of fewer words have the whole
     sequence as their one shingle, and without words no set and no link. Null keys are
-    passed over for the smallest key. Repeated rows are linked copies.
+    passed over for the smallest key. Repeated rows are linked copies, an empty table gives
+    no rows, and other columns are not read.
     """
     bound_batches(documents.sparkSession)
     source = documents.select(F.col(key).alias("key"), content_key().alias("content"), whole_text().alias("text"))

@@ -227,7 +227,7 @@ def encode_texts(documents: DataFrame, model: str, key: str | Column = "doc_id",
     text's UTF-8 bytes (the pieces of a character that falls back to bytes have one
     each), ``decoded`` what the library decodes from ``ids``. Null and empty texts have
     empty arrays and an empty string; repeated rows are encoded each; a long text is a
-    batch of its own.
+    batch of its own. An empty table gives no rows, and other columns are not read.
     """
     bound_batches(documents.sparkSession)
     value = documents[key] if isinstance(key, str) else key

@@ -98,7 +98,8 @@ def shard_rows(
     Returns ``key``, ``size`` (UTF-8 bytes plus one), ``text_crc32``, ``shard``,
     ``slot`` (gapless from 0 in each shard) and ``grown_shard`` (the shard in
     ``larger``, null without one). A null text has no bytes. Rows with equal keys
-    share a shard and keep a slot each; an empty table gives an empty result.
+    share a shard and keep a slot each; an empty table gives an empty result. Other columns
+    are not read.
 
     Slots come from one count for each shard and scan split, so that no shard is
     ever numbered in one task, however many rows or copies of a key it holds.

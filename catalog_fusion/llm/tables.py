@@ -35,7 +35,11 @@ RUN_CHARS = 1 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Keep what Python workers hold independent of how long the texts are."""
+    """Keep what Python workers hold independent of how long the texts are.
+
+    The session keeps the two settings, which later batches in it use as well: results are
+    lazy, so they must hold when a result is computed, not when it is described.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 

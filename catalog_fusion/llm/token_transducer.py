@@ -312,7 +312,8 @@ def count_tokens(documents: DataFrame, tokenizer: str, key: str = "doc_id", text
     """``key``, ``n_bytes`` and ``n_tokens`` of every row, by whole text.
 
     ``tokenizer`` is the path of a byte-level BPE tokenizer file that every executor has.
-    Null and empty texts have none of either; repeated rows are counted each.
+    Null and empty texts have none of either; repeated rows are counted each. An empty table
+    gives no rows, and other columns are not read.
     """
     bound_batches(documents.sparkSession)
     source = documents.select(documents[key].alias("key"), whole_text(text).alias("text"))

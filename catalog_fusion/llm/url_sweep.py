@@ -84,7 +84,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
     subdomains if the path starts with the rule's. The rule with most characters wins,
     of equal ones the one with the longer host, and between two verdicts on the same host and path
     ``block``. Without a rule ``rule`` is null and the verdict ``default``. A null url
-    has an empty host and path; rules with a null host or path are left out.
+    has an empty host and path; rules with a null host or path are left out. Repeated rows are
+    judged each, an empty table gives no rows, and other columns are not read.
     """
     named = (
         rules.where("host is not null and path is not null")

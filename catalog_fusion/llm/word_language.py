@@ -326,7 +326,8 @@ def identify_languages(documents: DataFrame, model: LanguageField, key: str | Co
 
     ``key`` is a column's name, or any expression, then named ``key``. Null texts and texts
     without letters are ``und`` with score 0. Repeated rows get a prediction each; an
-    empty table gives no rows.
+    empty table gives no rows. Other columns are not read. Letters that no training text had
+    say nothing, so a text of them alone gets the likeliest language of the start.
     """
     bound_batches(documents.sparkSession)
     value = documents[key] if isinstance(key, str) else key

@@ -1,7 +1,9 @@
+import math
 import zlib
 from collections import Counter
 
 import pytest
+import xxhash
 
 from catalog_fusion.llm.shard_tree import Leaf, balanced_tree, grown, shard_of, shard_rows
 
@@ -58,3 +60,31 @@ def test_weight_zero_gets_nothing_and_a_tree_needs_weight(spark):
     assert {r[0] for r in df.select(shard_of(df["id"], tree)).collect()} == {0}
     with pytest.raises(ValueError, match="positive"):
         shard_of(df["id"], [Leaf("a", "r", 0, 0.0)])
+
+
+def brute_force(key, tree):
+    """The leaf that a key descends to, draw by draw."""
+
+    def draw(path, weight):
+        bits = 42 if key is None else xxhash.xxh64_intdigest(key.to_bytes(8, "little", signed=True), 42)
+        uniform = ((xxhash.xxh64_intdigest(path.encode(), bits) >> 11) + 0.5) / 2**53
+        return -math.log(uniform) / weight
+
+    path, leaves = "", [leaf for leaf in tree if leaf.weight > 0]
+    for level in ("region", "rack", "shard"):
+        weights = Counter()
+        for leaf in leaves:
+            weights[str(getattr(leaf, level))] += leaf.weight
+        best = min(weights, key=lambda name: (draw(f"{path}/{name}", weights[name]), name)) if len(weights) > 1 else next(iter(weights))
+        leaves = [leaf for leaf in leaves if str(getattr(leaf, level)) == best]
+        path = f"{path}/{best}" if path else best
+    return leaves[0].shard
+
+
+def test_draws_equal_brute_force(spark):
+    uneven = [Leaf("a", "r", 0, 1.0), Leaf("a", "r", 1, 2.5), Leaf("a", "s", 2, 0.5), Leaf("b", "r", 3, 4.0), Leaf("b", "t", 4, 0.0), Leaf("c", "u", 5, 0.25)]
+    keys = [None, 0, -1, 2**62, *range(1, 400)]
+    for tree in (uneven, balanced_tree(8), grown(balanced_tree(8))):
+        rows = spark.createDataFrame([(k,) for k in keys], "k long")
+        got = rows.select("k", shard_of(rows["k"], tree).alias("shard")).collect()
+        assert {r["k"]: r["shard"] for r in got} == {k: brute_force(k, tree) for k in keys}
