@@ -1,4 +1,9 @@
-"""From raw documents to token ids: five stages, each over all that the one before kept."""
+"""From raw documents to token ids: five stages, each over all that the one before kept.
+
+Stages take nulls in any column, empty and very long texts, repeated rows and further
+columns, and give an empty table for an empty table. All but the last return the columns
+that they are given.
+"""
 
 from __future__ import annotations
 
