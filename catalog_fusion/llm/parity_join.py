@@ -24,7 +24,6 @@ the nearest pairs of each two components, then the next, until none is left.
 from __future__ import annotations
 
 import functools
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,6 +48,8 @@ SMALL, BLOCK = 32, 2048
 PARTS = 64
 #: Pairs of two components that a large bucket gives in each round, nearest first.
 ROUNDS = (16, 1 << 62)
+#: Pairs of a group that wait before the farther ones of each two components go.
+_WAITING = 1 << 20
 _BATCH_TEXT = 1 << 20
 
 _U = np.uint64
@@ -299,9 +300,29 @@ def _linked(source: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFram
     return materialize(_paired(pairs, sets, "hashes", _similar, ["x", "y"]), "links")
 
 
-def _nearest(sketches: list[np.ndarray], sizes: np.ndarray, labels: np.ndarray, blocks: np.ndarray | None) -> list[tuple[int, int, int]]:
-    """``(distance, i, j)`` of pairs with different labels, and blocks if given, that may be linked."""
-    widths, out = np.array([len(s) for s in sketches]), []
+def _ranked(pairs: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs ``distance, i, j`` by distance, then places, and each one's rank among those of its two labels."""
+    pairs = pairs[np.lexsort((pairs[:, 2], pairs[:, 1], pairs[:, 0]))]
+    ends = np.sort(labels[pairs[:, 1:]], 1)
+    together = np.lexsort((ends[:, 1], ends[:, 0]))  # stable: by distance within two labels
+    new = np.flatnonzero(np.any(np.diff(ends[together], axis=0, prepend=-1), 1)) if len(ends) else np.zeros(0, np.int64)
+    rank = np.empty(len(pairs), np.int64)
+    rank[together] = np.arange(len(pairs)) - np.repeat(new, np.diff(new, append=len(pairs)))
+    return pairs, rank
+
+
+def _nearest(sketches: list[np.ndarray], sizes: np.ndarray, labels: np.ndarray, blocks: np.ndarray | None, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """``distance, i, j`` of pairs with different labels, and blocks if given, that may be linked, and their ranks.
+
+    Of each two labels only the ``most`` nearest are held.
+    """
+    widths = np.array([len(s) for s in sketches])
+    held, waiting = [np.zeros((0, 3), np.int64)], 0
+
+    def pruned() -> np.ndarray:
+        pairs, rank = _ranked(np.concatenate(held), labels)
+        return pairs[rank < most]
+
     for width in sorted(set(widths.tolist())):
         own, above = np.flatnonzero(widths == width), np.flatnonzero(widths == 2 * width)
         place = np.concatenate((own, above))
@@ -315,9 +336,13 @@ def _nearest(sketches: list[np.ndarray], sizes: np.ndarray, labels: np.ndarray,
             at = np.flatnonzero(fits)
             if len(at):
                 far = np.bitwise_count(bits[k] ^ bits[k + 1 :][at]).sum(1, dtype=np.int64)
-                near = 9 * far <= (low + high)[at]
-                out += [(d, int(i), int(j)) for d, j in zip(far[near].tolist(), rest[at][near].tolist(), strict=True)]
-    return out
+                near = np.flatnonzero(9 * far <= (low + high)[at])
+                j = rest[at][near]
+                held.append(np.stack((far[near], np.minimum(i, j), np.maximum(i, j)), 1))
+                waiting += len(j)
+                if waiting > _WAITING:
+                    held, waiting = [pruned()], 0
+    return _ranked(pruned(), labels)
 
 
 def _next_pairs(members: DataFrame, sketches: DataFrame, low: int, high: int) -> DataFrame:
@@ -334,18 +359,13 @@ def _next_pairs(members: DataFrame, sketches: DataFrame, low: int, high: int) ->
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         apart = frame["low"].iat[0] != frame["high"].iat[0]
-        found, seen = [], Counter()
         # Places in the frame depend on the order of fetches. Ordered by nodes, ranks are the
         # same in every round, so that a round skips what earlier ones gave and nothing else.
         frame = frame.sort_values("node")
         nodes, labels, blocks, sizes = (frame[c].to_numpy() for c in ("node", "label", "block", "n"))
-        near = _nearest([np.frombuffer(b, _U) for b in frame["bits"]], sizes, labels, blocks if apart else None)
-        for _, i, j in sorted((d, min(i, j), max(i, j)) for d, i, j in near):
-            two = (min(labels[i], labels[j]), max(labels[i], labels[j]))
-            if low <= seen[two] < high:
-                found.append((nodes[i], nodes[j]))
-            seen[two] += 1
-        return pd.DataFrame(found, columns=["x", "y"], dtype="int64")
+        near, rank = _nearest([np.frombuffer(b, _U) for b in frame["bits"]], sizes, labels, blocks if apart else None, high)
+        near = nodes[near[rank >= low, 1:]]
+        return pd.DataFrame({"x": near[:, 0], "y": near[:, 1]}, dtype="int64")
 
     return met.join(sketches, "node").groupBy("name", "low", "high").applyInPandas(compare, "x long, y long")
 
