@@ -4,35 +4,45 @@ Vectors get one more coordinate that brings them all to the same norm ``M``, que
 a 0 there. Then ``distance² = |q|² + M² - 2 q.v``, so the largest inner products are the
 nearest points of a metric space, and the triangle inequality holds.
 
-The tree has three levels. The root holds the pivots, each with the radius that covers
-its vectors. Below each are pages of bounded size, one row of the page table each. A
-page holds nodes: a routing vector, its covering radius, and its distance from the
-pivot; and for every entry of a node the distance from the routing vector. Pages and
-nodes are searched nearest bound first, and stored distances rule out nodes and entries
-before their distance from the query is computed.
-
-Every row is in the tree; only the pivots come from a sample.
+The root holds the pivots, each with the radius that covers its vectors. A node with more
+vectors than a page holds is split: routing vectors far apart are chosen from some of its
+own, its vectors go to the nearest of them, and each of these is a node with its own radius
+and its distance from the node above. So the tree is as deep as the vectors need. Below
+each last node is a page of bounded size, one row of the page table (equal vectors, which
+can not be told apart, fill several). A page again holds nodes: a routing vector, its
+covering radius, and its distance from the page's; and for every entry of a node the
+distance from the routing vector. Searches descend level by level. Pages and their nodes
+are searched nearest bound first, and stored distances rule out nodes and entries before
+their distance from the query is computed.
+
+Every row is in the tree; only the routing vectors come from samples.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Accumulator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from catalog_fusion.llm.tables import bound_batches, scan_row
+from catalog_fusion.llm.tables import bound_batches, by_keys, scan_row
 from catalog_fusion.scratch import materialize
 
 #: Vectors for each pivot, most pivots, and sampled vectors for each to choose from.
 PER_PIVOT, PIVOTS, CHOICE = 2048, 256, 8
+#: Routing vectors of a node that is split, and levels of such nodes at most.
+FAN, LEVELS = 16, 12
 #: Entries of a page and (on average) of a node, and queries that search a page in one task.
 PAGE, NODE, QUERIES = 4096, 64, 2048
+#: Routing vectors of a level that may be broadcast, in bytes.
+ROUTING_BYTES = 32 << 20
 #: Up to here floating-point sums of products are exact.
 _EXACT = float(1 << 53)
 #: Stands for a null number.
@@ -138,6 +148,78 @@ class Page:
         return page
 
 
+def _child(node: int, number: int) -> int:
+    """The number of a node's child: its level, above the way to it."""
+    level, way = node >> 56, node & ((1 << 56) - 1)
+    return (level + 1) << 56 | way << 4 | number
+
+
+def _unpacked(column: pa.Array, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, width)
+
+
+def _split_nodes(dealt: DataFrame, routers: DataFrame, width: int, square: float) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """Leaves' rows, the leaves, and the inner nodes' children level by level.
+
+    ``dealt`` has rows with their ``node`` and the distance ``away`` from its routing vector,
+    ``routers`` those vectors. Rows are written once for each level that they are moved on.
+    """
+    fields = "row long, id long, asks boolean, node long, away double, packed binary"
+
+    def choose(frame: pd.DataFrame) -> pd.DataFrame:
+        held = np.frombuffer(b"".join(frame.sort_values("draw")["packed"]), np.float64).reshape(-1, width)
+        own = np.frombuffer(frame["router"].iat[0], np.float64)[None, :]
+        chosen = held[spread_out(lifted(held, square), FAN)]
+        if len(chosen) < 2:  # nothing here tells them apart
+            return pd.DataFrame([], columns=["node", "child", "router", "parent_away"])
+        node, away = int(frame["node"].iat[0]), distances(lifted(chosen, square), lifted(own, square))[:, 0]
+        return pd.DataFrame([(node, _child(node, i), c.tobytes(), a) for i, (c, a) in enumerate(zip(chosen, away, strict=True))], columns=["node", "child", "router", "parent_away"])
+
+    def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            points, nodes = lifted(_unpacked(batch.column("packed"), width), square), batch.column("node").to_numpy()
+            routing, to, away = batch.column("routing"), np.zeros(len(batch), np.int64), np.zeros(len(batch))
+            for node in np.unique(nodes):
+                at = np.flatnonzero(nodes == node)
+                apart = distances(points[at], lifted(np.frombuffer(routing[int(at[0])].as_py(), np.float64).reshape(-1, width), square))
+                nearest = apart.argmin(1)
+                to[at], away[at] = [_child(int(node), int(i)) for i in nearest], apart[np.arange(len(at)), nearest]
+            kept = [batch.column(c) for c in ("row", "id", "asks")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(to), pa.array(away), batch.column("packed")], names=["row", "id", "asks", "node", "away", "packed"])
+
+    rows, leaves, levels = [], [], []
+    for _ in range(LEVELS):
+        sizes = dealt.groupBy("node").agg(F.count("*").alias("n"), F.max("away").alias("radius"))
+        known = materialize(sizes.join(routers, "node"), "nodes")
+        large = known.where((F.col("n") > PAGE) & (F.col("radius") > 0)).select("node", "router")
+        if large.isEmpty():
+            rows.append(dealt)
+            leaves.append(known)
+            break
+        drawn = by_keys(dealt, F.col("node"), large.select("node"), "left_semi").withColumn("draw", F.xxhash64("row"))
+        place = F.row_number().over(Window.partitionBy("node").orderBy("draw", "row"))
+        drawn = drawn.withColumn("place", place).where(F.col("place") <= CHOICE * FAN).join(large, "node")
+        children = materialize(drawn.groupBy("node").applyInPandas(choose, "node long, child long, router binary, parent_away double"), "children")
+        split = children.select("node").distinct()
+        rows.append(by_keys(dealt, F.col("node"), split, "left_anti"))
+        leaves.append(by_keys(known, F.col("node"), split, "left_anti"))
+        if children.isEmpty():
+            break
+        routing = children.groupBy("node").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("child", "router"))), lambda c: F.hex(c["router"])), "").alias("routing"))
+        routing = routing.select("node", F.unhex("routing").alias("routing"))
+        side = F.broadcast(routing) if routing.count() * FAN * width * 8 <= ROUTING_BYTES else routing
+        moving = by_keys(dealt, F.col("node"), split, "left_semi").join(side, "node")
+        dealt = materialize(moving.mapInArrow(move, fields), "moved")
+        reach = dealt.groupBy(F.col("node").alias("child")).agg(F.max("away").alias("radius"))
+        levels.append(materialize(children.join(reach, "child"), "level"))
+        routers = children.select(F.col("child").alias("node"), "router")
+    else:
+        known = dealt.groupBy("node").agg(F.count("*").alias("n"), F.max("away").alias("radius")).join(routers, "node")
+        rows.append(dealt)
+        leaves.append(known)
+    return reduce(DataFrame.unionByName, rows), materialize(reduce(DataFrame.unionByName, leaves), "leaves"), levels
+
+
 _PAGE_FIELDS = ("rows", "ids", "vectors", "starts", "entry_away", "routers", "parent_away", "radius")
 
 
@@ -150,7 +232,7 @@ def _packed(values: pa.Array, width: int) -> np.ndarray:
     return out
 
 
-def top_products(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def top_products(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024, key: str = "vec_id", vector: str = "embedding", computed: Accumulator | None = None) -> DataFrame:
     """The ``k`` largest inner products of each query with all other rows.
 
     Components are ``floor(scale * x)``. Returns ``query_id``, ``rank`` (from 1), ``key`` and
@@ -159,6 +241,7 @@ def top_products(vectors: DataFrame, is_query: Column, k: int = 10, scale: int =
     empty one as zeros. Rows with a repeated id are rows of their own, and a query only
     leaves out its own row. A null id comes first among ties. Queries with fewer other
     rows get all; an empty table gives no rows. Scores beyond 64 bits stop at their limits.
+    ``computed`` counts the distances that the search of pages computes.
     """
     spark = vectors.sparkSession
     bound_batches(spark)
@@ -188,87 +271,138 @@ def top_products(vectors: DataFrame, is_query: Column, k: int = 10, scale: int =
             away = distances(lifted(packed, square), roots)
             nearest = away.argmin(1)
             columns = [pa.array(nearest), pa.array(away[np.arange(len(away)), nearest]), pa.array([v.tobytes() for v in packed], pa.binary())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), *columns], names=["row", "id", "asks", "pivot", "away", "packed"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), *columns], names=["row", "id", "asks", "node", "away", "packed"])
 
     dealt = materialize(
-        rows.select("row", "id", "asks", "vector").mapInArrow(assign, "row long, id long, asks boolean, pivot long, away double, packed binary"), "dealt"
+        rows.select("row", "id", "asks", "vector").mapInArrow(assign, "row long, id long, asks boolean, node long, away double, packed binary"), "dealt"
     )
     # One row for each pivot.
-    root = {r["pivot"]: (r["n"], r["away"]) for r in dealt.groupBy("pivot").agg(F.count("*").alias("n"), F.max("away").alias("away")).collect()}
-    parts = {p: math.ceil(n / PAGE) for p, (n, _) in root.items()}
-    part_count = F.create_map(*[F.lit(x) for p in sorted(parts) for x in (p, parts[p])])
-    
-    def build(frame: pd.DataFrame) -> pd.DataFrame:
-        held = np.frombuffer(b"".join(frame["packed"]), np.float64).reshape(-1, width)
-        pivot = int(frame["pivot"].iat[0])
-        page = Page(frame["row"].to_numpy(np.int64), frame["id"].to_numpy(np.int64), held, pivots[pivot], square).pack()
-        return pd.DataFrame([{"pivot": pivot, "part": int(frame["part"].iat[0]), **page}])
+    root = {r["node"]: r["away"] for r in dealt.groupBy("node").agg(F.max("away").alias("away")).collect()}
+    routers = spark.createDataFrame([(i, p.tobytes()) for i, p in enumerate(pivots)], "node long, router binary")
+    entries, leaves, levels = _split_nodes(dealt, routers, width, square)
+    leaves = leaves.withColumn("parts", F.ceil(F.col("n") / PAGE))
 
-    entries = dealt.withColumn("part", F.pmod(F.xxhash64("row"), part_count[F.col("pivot")]))
-    entries = entries.select("row", F.coalesce("id", F.lit(NONE)).alias("id"), "pivot", "part", "packed")
+    def build(_: tuple, frame: pd.DataFrame, leaf: pd.DataFrame) -> pd.DataFrame:
+        held = np.frombuffer(b"".join(frame["packed"]), np.float64).reshape(-1, width)
+        router = np.frombuffer(leaf["router"].iat[0], np.float64)
+        page = Page(frame["row"].to_numpy(np.int64), frame["id"].to_numpy(np.int64), held, router, square).pack()
+        return pd.DataFrame([{"node": int(leaf["node"].iat[0]), "part": int(leaf["part"].iat[0]), **page}])
+
+    many = leaves.where("parts > 1").select("node", "parts")  # of equal vectors only, or nearly
+    entries = entries.join(many, "node", "left").withColumn("part", F.pmod(F.xxhash64("row"), F.coalesce("parts", F.lit(1))))
+    entries = materialize(entries.drop("parts"), "entries")
+    stored = entries.select("row", F.coalesce("id", F.lit(NONE)).alias("id"), "node", "part", "packed")
+    places = leaves.select("node", "router", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    places = places.join(stored.select("node", "part").distinct(), ["node", "part"], "left_semi")
     fields = ", ".join(f"{name} binary" for name in _PAGE_FIELDS)
-    pages = materialize(entries.groupBy("pivot", "part").applyInPandas(build, f"pivot long, part long, {fields}"), "pages")
+    pages = stored.groupBy("node", "part").cogroup(places.groupBy("node", "part")).applyInPandas(build, f"node long, part long, {fields}")
+    pages = materialize(pages, "pages")
 
     blocks = math.ceil(asking / QUERIES)
-    queries = dealt.where("asks").withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)))
+    queries = entries.where("asks").withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)))
+    asked = "row long, id long, packed binary, block long, home long, least long"
 
-    def visits(first: bool):
-        """Pages to search: the nearest pivot's first, or all others within reach."""
+    def reach_of(held: np.ndarray, least: int | None) -> float:
+        norm = float(held @ held) + square
+        return math.inf if least is None else math.sqrt(max(norm - 2.0 * least, 0.0)) + 1e-6 * math.sqrt(norm) + 1e-9
+
+    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Queries with the score that ``k`` sampled rows reach."""
+        for batch in batches:
+            held = _unpacked(batch.column("packed"), width)
+            scores = products(held, sample).astype(object)
+            scores[batch.column("row").to_numpy()[:, None] == sample_rows[None, :]] = None
+            seen = [sorted((x for x in row if x is not None), reverse=True) for row in scores]
+            least = pa.array([x[k - 1] if len(x) >= k else None for x in seen], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "id", "packed", "block", "home")), least], names=["row", "id", "packed", "block", "home", "least"])
+
+    def at_home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Queries with their distance from the routing vector of their own leaf."""
+        for batch in batches:
+            if len(batch):
+                held = _unpacked(batch.column("packed"), width)
+                gaps = np.concatenate((held, np.zeros((len(held), 1))), 1) - lifted(_unpacked(batch.column("router"), width), square)
+                kept = [batch.column(c) for c in ("row", "id", "packed", "block", "home", "least", "node", "part")]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(np.sqrt((gaps * gaps).sum(1)))], names=["row", "id", "packed", "block", "home", "least", "node", "part", "away"])
+
+    def from_root(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Queries and the pivots within reach."""
         numbers = np.array(sorted(root))
-        radius = np.array([root[p][1] for p in numbers])
-
-        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                held = np.frombuffer(b"".join(batch.column("packed").to_pylist()), np.float64).reshape(-1, width)
-                scores = products(held, sample).astype(object)
-                scores[batch.column("row").to_numpy()[:, None] == sample_rows[None, :]] = None
-                away = distances(np.concatenate((held, np.zeros((len(held), 1))), 1), roots[numbers])
-                found = []
-                for i, (home, least) in enumerate(zip(batch.column("pivot").to_pylist(), batch.column("least").to_pylist(), strict=True)):
-                    if first:
-                        seen = sorted((s for s in scores[i] if s is not None), reverse=True)
-                        least = seen[k - 1] if len(seen) >= k else None
-                        found.append((i, home, 0, float(away[i, np.searchsorted(numbers, home)]), least))
-                        continue
-                    norm = float(held[i] @ held[i]) + square
-                    reach = math.inf if least is None else math.sqrt(max(norm - 2.0 * least, 0.0)) + 1e-6 * math.sqrt(norm) + 1e-9
-                    bound = away[i] - radius
-                    for j in np.argsort(bound):
-                        if bound[j] > reach:
-                            break
-                        pivot = int(numbers[j])
-                        found += [(i, pivot, part, float(away[i, j]), least) for part in range(parts[pivot]) if (pivot, part) != (home, 0)]
-                at = pa.array([f[0] for f in found], pa.int64())
-                taken = [batch.column(c).take(at) for c in ("row", "id", "packed", "block")]
-                more = [pa.array([f[c] for f in found], t) for c, t in ((1, pa.int64()), (2, pa.int64()), (3, pa.float64()), (4, pa.int64()))]
-                yield pa.RecordBatch.from_arrays([*taken, *more], names=["row", "id", "packed", "block", "pivot", "part", "away", "least"])
-
-        return work
+        radius = np.array([root[p] for p in numbers])
+        for batch in batches:
+            held = _unpacked(batch.column("packed"), width)
+            away = distances(np.concatenate((held, np.zeros((len(held), 1))), 1), roots[numbers])
+            reach = np.array([reach_of(q, x) for q, x in zip(held, batch.column("least").to_pylist(), strict=True)])
+            at, to = np.nonzero(away - radius <= reach[:, None])
+            taken = batch.take(pa.array(at))
+            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(numbers[to]), pa.array(away[at, to])], names=[*taken.schema.names, "node", "away"])
+
+    def descend(_: tuple, queries: pd.DataFrame, below: pd.DataFrame) -> pd.DataFrame:
+        """Queries at a node and its children within reach; stored distances rule out some unseen."""
+        out = []
+        if len(queries) and len(below):
+            routing = lifted(np.frombuffer(b"".join(below["router"]), np.float64).reshape(-1, width), square)
+            children, radius, parent_away = (below[c].to_numpy() for c in ("child", "radius", "parent_away"))
+            for row in queries.itertuples(index=False):
+                held = np.frombuffer(row.packed, np.float64)
+                reach = reach_of(held, None if row.least == NONE else row.least)
+                near = np.flatnonzero(np.abs(row.away - parent_away) - radius <= reach)
+                away = distances(np.concatenate((held, [0.0]))[None, :], routing[near])[0]
+                for j in np.flatnonzero(away - radius[near] <= reach):
+                    out.append((row.row, row.id, row.packed, row.block, row.home, row.least, int(children[near[j]]), float(away[j])))
+        return pd.DataFrame(out, columns=["row", "id", "packed", "block", "home", "least", "node", "away"])
 
     def search(asked: pd.DataFrame, stored: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(asked) and len(stored):
             page = Page.unpack({name: stored[name].iat[0] for name in _PAGE_FIELDS}, width)
             for row, number, packed, away, least in zip(*(asked[c] for c in ("row", "id", "packed", "away", "least")), strict=True):
-                best, _ = page.search(np.frombuffer(packed, np.float64), row, away, square, k, None if least == NONE else least)
+                best, count = page.search(np.frombuffer(packed, np.float64), row, away, square, k, None if least == NONE else least)
+                if computed is not None:
+                    computed.add(count)
                 out += [(row, number, i, r, s) for s, i, r in best]
         return pd.DataFrame(out, columns=["query_row", "query_id", "id", "row", "score"])
 
-    place = ["pivot", "part", "block"]
-
-    def searched(asking_rows: DataFrame, first: bool) -> DataFrame:
-        columns = "row long, id long, packed binary, block long, pivot long, part long, away double, least long"
-        wanted = asking_rows.select("row", "id", "packed", "block", "pivot", "least").mapInArrow(visits(first), columns)
-        # Pandas has no integers with nulls.
-        wanted = materialize(wanted.withColumn("least", F.coalesce("least", F.lit(NONE))), "visits")
-        meeting = pages.join(wanted.select("pivot", "part", F.col("block").alias("met")).distinct(), ["pivot", "part"])
-        return wanted.groupBy(*place).cogroup(meeting.groupBy("pivot", "part", "met")).applyInPandas(search, result)
+    def meeting(wanted: DataFrame, stored: DataFrame, place: list[str]) -> DataFrame:
+        """What is ``stored`` at a place, for every block of queries that comes there."""
+        return stored.join(wanted.select(*place, F.col("block").alias("met")).distinct(), place)
+
+    # Pandas has no integers with nulls.
+    filled = F.coalesce("least", F.lit(NONE)).alias("least")
+
+    def searched(visits: DataFrame) -> DataFrame:
+        """The best of every page visited: rows have a query, a leaf, its part and how far it is."""
+        place = ["node", "part"]
+        wanted = materialize(visits.select("row", "id", "packed", "block", *place, "away", filled), "visits")
+        met = meeting(wanted, pages, place)
+        return wanted.groupBy(*place, "block").cogroup(met.groupBy(*place, "met")).applyInPandas(search, result)
+
+    def descended(asking_rows: DataFrame) -> DataFrame:
+        """Visits of all leaves within reach, but for the page of the query itself."""
+        frontier = asking_rows.mapInArrow(from_root, f"{asked}, node long, away double").withColumn("least", filled)
+        found = []
+        for children in levels:
+            frontier = materialize(frontier, "frontier")
+            inner = children.select("node").distinct()
+            found.append(by_keys(frontier, F.col("node"), inner, "left_anti"))
+            inside = by_keys(frontier, F.col("node"), inner, "left_semi")
+            met = meeting(inside, children, ["node"])
+            frontier = inside.groupBy("node", "block").cogroup(met.groupBy("node", "met")).applyInPandas(descend, f"{asked}, node long, away double")
+        at = reduce(DataFrame.unionByName, [*found, frontier]).join(leaves.select("node", "parts"), "node")
+        visits = at.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+        return visits.where((F.col("node") != F.col("home")) | (F.col("part") != F.pmod(F.xxhash64("row"), F.col("parts")))).withColumn("least", F.nullif("least", F.lit(NONE)))
 
     known = queries.withColumn("id", F.coalesce("id", F.lit(NONE)))
-    near = materialize(searched(known.withColumn("least", F.lit(None).cast("long")), True), "near")
+    # A query's own page first: its row lies in it, so that it is at the stored distance from its routing vector.
+    first = known.withColumn("home", F.col("node")).select("row", "id", "packed", "block", "home").mapInArrow(sampled, asked)
+    lies = known.join(leaves.select("node", "router"), "node").select("row", "node", "part", "router")
+    first = first.join(lies, "row").mapInArrow(at_home, f"{asked}, node long, part long, away double")
+    first = materialize(first, "first")
+    near = materialize(searched(first), "near")
     rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "id", "row"))
-    least = near.withColumn("rank", rank).where(F.col("rank") == k).select(F.col("query_row").alias("row"), F.col("score").alias("least"))
-    far = searched(known.join(least, "row", "left"), False)
+    least = near.withColumn("rank", rank).where(F.col("rank") == k).select(F.col("query_row").alias("row"), F.col("score").alias("tenth"))
+    reached = first.join(least, "row", "left").withColumn("least", F.greatest("least", "tenth"))
+    far = searched(descended(reached.select("row", "id", "packed", "block", "home", "least")))
     best = near.unionByName(far).withColumn("rank", rank).where(F.col("rank") <= k)
     shown = {c: F.when(F.col(c) != NONE, F.col(c)) for c in ("query_id", "id")}
     return best.select(shown["query_id"].alias("query_id"), "rank", shown["id"].alias(key), "score")

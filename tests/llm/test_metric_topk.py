@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -32,9 +33,9 @@ def clustered(seed, n, width=6):
     return (centres[rng.integers(0, 7, n)] + rng.normal(0, 0.1, (n, width)) * rng.choice([0, 1], (n, 1))).astype(np.float32).tolist()
 
 
-@pytest.mark.parametrize(("per_pivot", "page", "queries"), [(2048, 4096, 2048), (40, 16, 7)])
-def test_equal_to_brute_force(spark, monkeypatch, per_pivot, page, queries):
-    for name, value in (("PER_PIVOT", per_pivot), ("PAGE", page), ("QUERIES", queries), ("NODE", 4)):
+@pytest.mark.parametrize(("per_pivot", "page", "queries", "fan", "levels"), [(2048, 4096, 2048, 16, 12), (40, 16, 7, 3, 12), (1000, 8, 9, 2, 12), (1000, 8, 9, 2, 1)])
+def test_equal_to_brute_force(spark, monkeypatch, per_pivot, page, queries, fan, levels):
+    for name, value in (("PER_PIVOT", per_pivot), ("PAGE", page), ("QUERIES", queries), ("NODE", 4), ("FAN", fan), ("LEVELS", levels)):
         monkeypatch.setattr(metric_topk, name, value)
     rows = list(enumerate(clustered(1, 300)))
     rows += [(500, None), (510, []), (520, [1.0, None]), (530, [float("nan")] * 6), (540, [float("inf")] * 6), (550, [0.5, 0.25])]
@@ -83,3 +84,18 @@ def test_every_point_is_covered():
         low, high = page.starts[i], page.starts[i + 1]
         away = distances(points[low:high], routers[i : i + 1])[:, 0]
         assert np.allclose(away, page.entry_away[low:high], atol=1e-3) and (away <= page.radius[i] + 1e-3).all()
+
+
+def test_computed_distances_grow_slower_than_vectors(spark, tmp_path, monkeypatch):
+    """Clustered vectors, a page of 256 of them, and few pivots: the tree has to be deep."""
+    for name, value in (("PIVOTS", 4), ("PAGE", 256)):
+        monkeypatch.setattr(metric_topk, name, value)
+    rng, counts = np.random.default_rng(8), []
+    centres = rng.normal(0, 1, (400, 8))
+    for n in (20_000, 40_000, 80_000):
+        v = centres[rng.integers(0, 400, n)] + rng.normal(0, 0.05, (n, 8))
+        pd.DataFrame({"vec_id": np.arange(n), "embedding": list(v.astype(np.float32))}).to_parquet(tmp_path / f"{n}.parquet")
+        rows, computed = spark.read.parquet(str(tmp_path / f"{n}.parquet")), spark.sparkContext.accumulator(0)
+        assert top_products(rows, F.col("vec_id") % (n // 40) == 0, computed=computed).count() == 400
+        counts.append(computed.value / 40)
+    assert counts[1] < 1.8 * counts[0] and counts[2] < 1.8 * counts[1] and counts[2] < 0.2 * 80_000
