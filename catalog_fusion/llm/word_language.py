@@ -240,8 +240,15 @@ def sample_labelled(documents: DataFrame, training: Training, key: str = "doc_id
     """``(lang, text)`` of up to ``training.documents`` rows of each language, by a hash of the key.
 
     A rate from the languages' counts thins the rows before they are ranked, so that
-    what is shuffled is bounded as well.
+    what is shuffled is bounded as well. Of a text only the up to ``training.words`` words
+    that the fit reads reach the driver.
     """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [" ".join(_spread(words_of(t), training.words)) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["lang", "text"])
+
     labelled = documents.where("text is not null and lang is not null").select(
         F.col("lang").cast("string").alias("lang"), F.xxhash64(F.col(key), "text").alias("draw"), "text"
     )
@@ -252,7 +259,8 @@ def sample_labelled(documents: DataFrame, training: Training, key: str = "doc_id
         chosen = chosen | ((F.col("lang") == lang) & (F.pmod("draw", F.lit(1 << 30)) < int(rate * (1 << 30)) + 1))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "text"))
     rows = labelled.where(chosen).withColumn("rank", rank).where(F.col("rank") <= training.documents)
-    return sorted((r["lang"], r["text"]) for r in rows.select("lang", "text").collect())
+    bound_batches(documents.sparkSession)
+    return sorted((r["lang"], r["text"]) for r in rows.select("lang", "text").mapInArrow(cut, "lang string, text string").collect())
 
 
 def _spread(words: list[str], most: int) -> list[str]:
@@ -271,22 +279,28 @@ def fit_language_field(labelled: list[tuple[str, str]], training: Training = Tra
     languages = sorted(lang for lang, words in streams.items() if words)
     if not languages:
         return LanguageField([UNDETERMINED], {}, np.zeros((1, 1), np.float32), np.zeros(1), np.zeros((1, 1)))
-    word_features = {w: features_of(w) for lang in languages for w in set(streams[lang])}
-    seen = Counter(f for lang in languages for w in streams[lang] for f in word_features[w])
-    kept = [f for f, n in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[: training.features] if n > 1]
-    index = {f: i for i, f in enumerate(kept)}
+    # Features are made again for each use, so that only their counts are held.
+    times = Counter(w for lang in languages for w in streams[lang])
+    seen: Counter[str] = Counter()
+    for w, n in times.items():
+        for f in features_of(w):
+            seen[f] += n
+    often = sorted((-n, f) for f, n in seen.items() if n > 1)
+    del seen
+    index = {f: i for i, (_, f) in enumerate(often[: training.features])}
     # The last row stands for no feature and keeps the weight 0.
-    k, none = len(languages), len(kept)
-    rows = {w: sorted(index[f] for f in features if f in index) for w, features in word_features.items()}
-    width = max(map(len, rows.values()), default=0) or 1
-    number = {w: i for i, w in enumerate(rows)}
-    table = np.full((len(rows), width), none, np.int32)
-    for w, ids in rows.items():
-        table[number[w], : len(ids)] = ids
+    k, none = len(languages), len(index)
+    number = {w: i for i, w in enumerate(times)}
+    at, feature = _Features(index).of(list(times))
+    first = np.searchsorted(at, np.arange(len(times)))
+    place = np.arange(len(at)) - first[at]
+    width = int(place.max(initial=0)) + 1
+    table = np.full((len(times), width), none, np.int32)
+    table[at, place] = feature
     coded = [np.array([number[w] for w in streams[lang]]) for lang in languages]
     rng = np.random.default_rng(training.seed)
     params = [np.zeros((none + 1, k)), np.zeros(k), np.zeros((k, k))]
-    first = [np.zeros_like(p) for p in params]
+    means = [np.zeros_like(p) for p in params]
     second = [np.zeros_like(p) for p in params]
     lengths = np.full(training.batch, training.length)
     for step in range(1, training.steps + 1):
@@ -314,7 +328,7 @@ def fit_language_field(labelled: list[tuple[str, str]], training: Training = Tra
         np.add.at(seen_moves, (truth[:-1].ravel(), truth[1:].ravel()), 1)
         scale = training.batch * training.length
         slopes = [slope / scale - training.decay * params[0], error[0].sum(0) / training.batch, (seen_moves - moved) / scale]
-        for p, g, m, v in zip(params, slopes, first, second, strict=True):
+        for p, g, m, v in zip(params, slopes, means, second, strict=True):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
             p += training.rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
