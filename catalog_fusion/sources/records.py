@@ -27,8 +27,9 @@ from catalog_fusion.scratch import materialize, new_scratch_path
 
 _QUOTE = '"'
 #: What a row is: a record; the start of one that does not end here; the end of one that
-#: started before, and the like without its end; how a split ends.
-_WHOLE, _START, _END, _THROUGH, _SPLIT = range(5)
+#: started before, and the like without its end; how a split ends; the start of the header.
+_WHOLE, _START, _END, _THROUGH, _SPLIT, _HEADER = range(6)
+_PIECES = (_START, _END, _THROUGH, _HEADER)
 _META = ["__file", "__block", "__kind", "__text", "__from_outside", "__from_inside"]
 _SCHEMA = "__file long, __block long, __kind int, __text string, __from_outside boolean, __from_inside boolean"
 
@@ -111,7 +112,7 @@ class _Split:
     def close(self) -> None:
         if self.pending:
             text = "\n".join(self.pending)
-            self._emit(_THROUGH if self.head else _START, text)
+            self._emit(_THROUGH if self.head else _HEADER if self.header else _START, text)
         self._emit(_SPLIT, None, (None if self.begun else self.inside, self.other))
 
 
@@ -208,12 +209,14 @@ def _inside(splits: DataFrame) -> DataFrame:
 
 
 def _joined(pieces: DataFrame) -> DataFrame:
-    """Records from their pieces: a start and the ends that follow it in the file."""
-    first = F.when(F.col("__kind") == _START, 1).otherwise(0)
+    """Records from their pieces: a start and the ends that follow it in the file. A header is none."""
+    first = F.when(F.col("__kind").isin(_START, _HEADER), 1).otherwise(0)
     order = W.partitionBy("__file").orderBy("__block", first)
     numbered = pieces.withColumn("__number", F.sum(first).over(order)).withColumn("__first", first)
     part = F.struct("__block", (1 - F.col("__first")).alias("later"), "__text")
-    whole = numbered.groupBy("__file", "__number").agg(F.min("__block").alias("__block"), F.array_sort(F.collect_list(part)).alias("parts"))
+    whole = numbered.groupBy("__file", "__number").agg(
+        F.min("__block").alias("__block"), F.array_sort(F.collect_list(part)).alias("parts"), F.max(F.col("__kind") == _HEADER).alias("header")
+    ).where("not header")
     text = F.array_join(F.transform("parts", lambda p: p["__text"]), "\n").alias("__text")
     none = F.lit(None).cast("boolean")
     return whole.select("__file", "__block", F.lit(_WHOLE).alias("__kind"), text, none.alias("__from_outside"), none.alias("__from_inside"))
@@ -248,6 +251,6 @@ def stage_records(
     # The same files, so that they are split alike.
     second = write(_records(_lines(spark, files).join(inside, place, "left_semi"), layout.sep, True), "second")
     begun = first.join(inside.withColumn("__found", F.lit(True)), place, "left").withColumn("__misread", F.col("__found").isNotNull()).drop("__found")
-    pieces = [t.where(F.col("__kind").isin(_START, _END, _THROUGH)).select(*place, "__kind", "__text") for t in (begun.where("not __misread"), second)]
+    pieces = [t.where(F.col("__kind").isin(*_PIECES)).select(*place, "__kind", "__text") for t in (begun.where("not __misread"), second)]
     third = write(_joined(pieces[0].unionByName(pieces[1])), "third")
     return _sound_records(begun).unionByName(_sound_records(second)).unionByName(_sound_records(third))

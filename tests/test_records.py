@@ -65,6 +65,15 @@ def test_a_cell_over_many_splits_and_one_that_never_ends(spark, tmp_path, split_
     assert read(spark, str(tmp_path / "open.csv"))[0] == ("1", "x")
 
 
+def test_a_header_over_many_splits(spark, tmp_path, split_size):
+    rows = [(str(i), "x\ny") for i in range(30)]
+    path = written(tmp_path / "t.csv", [("i", "long\n" * 40 + "name"), *rows])
+    split_size(64)
+    found = scan.scan_text(spark, path)
+    assert found.columns == ["i", "long\n" * 40 + "name"]
+    assert sorted(map(tuple, found.collect())) == sorted(rows)
+
+
 def test_stray_quotes_are_text(spark, tmp_path, split_size):
     (tmp_path / "t.csv").write_text('i,a,b\n' + "".join(f'{i},5" disk,say "no"\n' for i in range(200)))
     split_size(300)
