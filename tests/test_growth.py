@@ -25,3 +25,14 @@ def test_forest_is_no_column_of_the_rows(spark):
     assert "__forest" not in plan(out) and "lambda" not in plan(out)
     unknown = spark.createDataFrame([(0, 1.0, 0, *leaf, None)], tree_table.NODE_SCHEMA)
     assert {r["prediction"] for r in tree_table.score_nodes(rows, unknown, F.col("x"), 2).collect()} == {None}
+
+
+def test_requests_of_one_file_are_dealt_out_by_their_slots(spark, monkeypatch):
+    monkeypatch.setattr(requests, "TASK_SLOTS", 100)
+    wanted = spark.range(50).coalesce(1).select(F.col("id").alias("request_id"), F.lit("2026-11-01").alias("window_start"), F.lit("2026-11-02").alias("window_end"))
+    grid = requests.slot_grid(requests.spread_requests(wanted))
+    held = [len(p) for p in grid.rdd.glom().collect()]
+    assert sum(held) == 600 and len(held) == 6 and max(held) <= 200
+    assert requests.spread_requests(wanted.limit(5)).rdd.getNumPartitions() == 1
+    monkeypatch.setattr(rating_model, "_SCORED_ROWS", 10)
+    assert rating_model.RatingModel.spread(wanted).rdd.getNumPartitions() == 5
