@@ -36,3 +36,12 @@ def test_requests_of_one_file_are_dealt_out_by_their_slots(spark, monkeypatch):
     assert requests.spread_requests(wanted.limit(5)).rdd.getNumPartitions() == 1
     monkeypatch.setattr(rating_model, "_SCORED_ROWS", 10)
     assert rating_model.RatingModel.spread(wanted).rdd.getNumPartitions() == 5
+
+
+def test_ratings_alone_are_narrow_rows(spark):
+    rows = spark.createDataFrame([], UNIFIED_SCHEMA).withColumn("source_rank", F.lit(0))
+    child = collapse.collapse_by_id(rows)._jdf.queryExecution().analyzed()
+    while child.nodeName() != "Aggregate":
+        child = child.children().head()
+    names = {child.children().head().output().apply(i).name() for i in range(child.children().head().output().size())}
+    assert names == {"imdb_id", "_fields", "rating", "vote_count", "source", "source_rank"}
