@@ -38,6 +38,16 @@ def test_requests_of_one_file_are_dealt_out_by_their_slots(spark, monkeypatch):
     assert rating_model.RatingModel.spread(wanted).rdd.getNumPartitions() == 5
 
 
+def test_long_keys_are_broadcast_by_their_digest(spark):
+    rows = spark.range(300).select(F.concat(F.repeat(F.lit("k"), F.lit(3000)), F.col("id") % 100).alias("k"), (F.col("id") % 7).cast("double").alias("y"))
+    encoder = encode.TargetEncoder.fit(rows, ["k"], "y")
+    assert encoder.narrow_size == 100 * 97 and encoder.sizes["k"] > 300_000
+    tight = encoder.transform(rows, broadcast_bytes=10_000)
+    assert "BroadcastHashJoin" in tight._jdf.queryExecution().executedPlan().toString()
+    assert "_row" not in plan(tight)
+    assert sorted(tight.collect()) == sorted(encoder.transform(rows).collect())
+
+
 def test_ratings_alone_are_narrow_rows(spark):
     rows = spark.createDataFrame([], UNIFIED_SCHEMA).withColumn("source_rank", F.lit(0))
     child = collapse.collapse_by_id(rows)._jdf.queryExecution().analyzed()
