@@ -17,6 +17,7 @@ from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from urllib.parse import unquote
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -92,7 +93,8 @@ class _Split:
             # Nothing opens: each line is a record.
             lines = lines.filter(pc.not_equal(pc.utf8_length(pc.utf8_trim_whitespace(lines)), 0))
             n = len(lines)
-            self.out.append(([self.file] * n, [self.block] * n, [_WHOLE] * n, lines, [None] * n, [None] * n))
+            ids = (pa.repeat(pa.scalar(v, kind), n) for v, kind in ((self.file, pa.int64()), (self.block, pa.int64()), (_WHOLE, pa.int32())))
+            self.out.append((*ids, lines, pa.nulls(n, pa.bool_()), pa.nulls(n, pa.bool_())))
             return
         for line, has in zip(lines.to_pylist(), quoted.to_pylist(), strict=True):
             if has:
@@ -131,21 +133,21 @@ def _records(lines: DataFrame, sep: str, inside: bool) -> DataFrame:
         split: _Split | None = None
         for batch in batches:
             out: list = []
-            files, blocks = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            low = 0
-            while low < len(files):
-                place, high = (files[low], blocks[low]), low
-                if (files[-1], blocks[-1]) == place:
-                    high = len(files)
-                while high < len(files) and (files[high], blocks[high]) == place:
-                    high += 1
+            files, blocks = (batch.column(i).to_numpy() for i in (1, 2))
+            # Where another split begins.
+            cuts = np.flatnonzero((np.diff(files) != 0) | (np.diff(blocks) != 0)) + 1 if len(files) else []
+            bounds = [0, *map(int, cuts), len(files)]
+            for low, high in zip(bounds, bounds[1:], strict=False):
+                if low == high:
+                    continue
+                place = (int(files[low]), int(blocks[low]))
                 if split is None or (split.file, split.block) != place:
                     if split is not None:
+                        split.out = out  # that of the batch before has gone
                         split.close()
                     split = _Split(*place, sep, inside, out)
                 split.out = out
                 split.add(batch.column(0).slice(low, high - low).cast(pa.string()))
-                low = high
             yield batch_of(out)
         if split is not None:
             split.out = []

@@ -55,3 +55,14 @@ def test_ratings_alone_are_narrow_rows(spark):
         child = child.children().head()
     names = {child.children().head().output().apply(i).name() for i in range(child.children().head().output().size())}
     assert names == {"imdb_id", "_fields", "rating", "vote_count", "source", "source_rank"}
+
+
+def test_a_split_that_ends_with_its_batch_reports(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        lines = spark.createDataFrame([("h", 1, 0), ("a", 1, 0), ("b", 1, 9), ("c", 1, 9), ("d", 1, 18)], "value string, __file long, __block long").coalesce(1)
+        got = records._records(lines, ",", False).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(r["__block"] for r in got if r["__kind"] == records._SPLIT) == [0, 9, 18]
+    assert [r["__text"] for r in got if r["__kind"] == records._WHOLE] == ["a", "b", "c", "d"]
